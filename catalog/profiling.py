@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtab.operators import profile
 
-from .registry import over, query, table, view
+from .registry import over, query, table, view, wide_table
 
 LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 DIRTY = [("c_custkey", "int64"), ("c_name", "object"), ("c_nationkey", "int64"), ("c_acctbal", "float64"), ("c_mktsegment", "object")]
@@ -47,7 +47,7 @@ def profile_columns(spark, sf):
            count(*) filter ({c} < q1 - 1.5 * (q3 - q1) or {c} > q3 + 1.5 * (q3 - q1)) as outliers
     from lineitem, (select quantile_cont({c}::double, 0.25) as q1, quantile_cont({c}::double, 0.75) as q3 from lineitem)"""))
 def profile_numeric(spark, sf):
-    return profile.numeric_summary(table(spark, sf, "lineitem"))
+    return profile.numeric_summary(wide_table(spark, sf, "lineitem"))
 
 
 @query("profile_iqr_outliers", over("customer_outlier", each(["c_custkey", "c_nationkey", "c_acctbal", "balance_gaps"], """
@@ -68,7 +68,7 @@ HIST = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     left join (select least(floor(({c} - lo2) * 10 / (hi2 - lo2)), 9) as bin from lineitem, (select min({c}) as lo2, max({c}) as hi2 from lineitem)) h
       on h.bin = b.bin group by b.bin, lo, hi"""))
 def profile_histogram(spark, sf):
-    return profile.histogram(table(spark, sf, "lineitem"), HIST)
+    return profile.histogram(wide_table(spark, sf, "lineitem"), HIST)
 
 
 def _top_sql(src, columns, n):
@@ -80,7 +80,7 @@ def _top_sql(src, columns, n):
 
 @query("profile_top_values", _top_sql("lineitem", ["l_returnflag", "l_linestatus", "l_shipdate"], 10))
 def profile_top_values(spark, sf):
-    return profile.top_values(table(spark, sf, "lineitem"))
+    return profile.top_values(wide_table(spark, sf, "lineitem"))
 
 
 @query("profile_mode", over("customer_dirty", " union all ".join(
@@ -109,14 +109,14 @@ CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 @query("profile_corr_matrix", " union all ".join(
     f"select '{a}' as col1, '{b}' as col2, round(coalesce(corr({a}, {b}), 0), 4) as correlation from lineitem" for a in CORR for b in CORR))
 def profile_corr_matrix(spark, sf):
-    return profile.correlation_matrix(table(spark, sf, "lineitem"), CORR)
+    return profile.correlation_matrix(wide_table(spark, sf, "lineitem"), CORR)
 
 
 @query("profile_corr_top", "select *, abs(correlation) as strength from (" + " union all ".join(
     f"select '{a}' as col1, '{b}' as col2, round(corr({a}, {b}), 4) as correlation from lineitem" for i, a in enumerate(LINE) for b in LINE[i + 1:])
     + ") order by abs(correlation) desc, col1, col2 limit 15")
 def profile_corr_top(spark, sf):
-    return profile.top_correlations(table(spark, sf, "lineitem"), LINE)
+    return profile.top_correlations(wide_table(spark, sf, "lineitem"), LINE)
 
 
 def _alert_sql():

@@ -4,6 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomtab.sources.tables import spread
+
 Runner = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Runner] = {}
 ORACLE: dict[str, str] = {}
@@ -27,8 +29,26 @@ VIEWS = {
     "customer_outlier": """
         select c_custkey, c_nationkey, c_mktsegment,
                case when c_custkey % 97 = 0 then c_acctbal * 20 else c_acctbal end as c_acctbal,
-               case when c_custkey % 7 = 3 then null else c_acctbal end as balance_gaps
+               case when c_custkey % 7 = 3 then null when c_custkey % 97 = 5 then c_acctbal * 20 else c_acctbal end as balance_gaps
         from customer""",
+    "customer_mess": """
+        select c_custkey, c_nationkey, case when c_custkey % 11 = 5 then null else c_mktsegment end as c_mktsegment,
+               case when c_custkey % 7 = 3 then null when c_custkey % 97 = 0 then c_acctbal * 20 else c_acctbal end as c_acctbal
+        from customer
+        union all
+        select c_custkey, c_nationkey, case when c_custkey % 11 = 5 then null else c_mktsegment end as c_mktsegment,
+               case when c_custkey % 7 = 3 then null when c_custkey % 97 = 0 then c_acctbal * 20 else c_acctbal end as c_acctbal
+        from customer where c_custkey % 50 = 0""",
+    "rule_models": """
+        select 'discount' as model, case when l_linestatus = 'O' then 1 else 0 end as label, case when l_discount > 0.05 then 1 else 0 end as prediction from lineitem
+        union all select 'price', case when l_linestatus = 'O' then 1 else 0 end, case when l_extendedprice > 50000 then 1 else 0 end from lineitem
+        union all select 'quantity', case when l_linestatus = 'O' then 1 else 0 end, case when l_quantity > 25 then 1 else 0 end from lineitem
+        union all select 'status', case when l_linestatus = 'O' then 1 else 0 end, case when l_linestatus = 'O' then 1 else 0 end from lineitem
+        union all select 'constant', case when l_linestatus = 'O' then 1 else 0 end, 1 from lineitem""",
+    "rule_regressors": """
+        select 'cost' as model, p_retailprice as label, 900.0e0 + p_partkey / 10.0e0 as prediction from part
+        union all select 'middle', p_retailprice, 950.0e0 from part
+        union all select 'size', p_retailprice, 900.0e0 + p_size from part""",
     "orders_left": """
         select o_orderkey, case when o_orderkey % 13 = 0 then null else o_custkey end as o_custkey, o_totalprice
         from orders""",
@@ -60,6 +80,11 @@ VIEWS = {
 }
 
 
+def wide_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """For operators with much work per row."""
+    return spread(table(spark, sf, name))
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -11,7 +11,6 @@ from ..functions.columns import (
 )
 from ..functions.quantiles import exact_quantiles
 
-COLUMNS_PER_PASS = 50
 PAIRS_PER_PASS = 200
 
 
@@ -109,20 +108,17 @@ def sample_kurtosis(g2: Column, n: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
-def _moments(df: DataFrame, columns: Sequence[str], fences: dict[str, tuple[float, float]]) -> DataFrame:
-    aggs = []
-    for i, c in enumerate(columns):
-        x = col(c).cast("double")
-        aggs += [
-            F.count(x).alias(f"n{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-            F.avg(x).alias(f"avg{i}"), F.stddev_samp(x).alias(f"sd{i}"),
-            F.skewness(x).alias(f"g1_{i}"), F.kurtosis(x).alias(f"g2_{i}"),
-            count_when(x == 0).alias(f"zero{i}"), count_when(x < 0).alias(f"neg{i}"),
-        ]
-        low, high = fences.get(c, (None, None))
-        outside = (x < F.lit(low)) | (x > F.lit(high)) if low is not None else F.lit(False)
-        aggs.append(count_when(outside).alias(f"out{i}"))
-    return df.agg(*aggs)
+def numbers_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, x) rows. Grouped by column this keeps one short aggregate instead of hundreds of wide ones,
+    and only one partial row per column and task is shuffled."""
+    entries = [F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("x")) for c in columns]
+    return df.select(F.inline(F.array(*entries)))
+
+
+def lookup(values: dict[str, object], key: str = "column", kind: str = "double") -> Column:
+    """A literal per column name, for use beside ``numbers_long``."""
+    pairs = [F.lit(v) for c, x in values.items() for v in (c, x)]
+    return F.try_element_at(F.create_map(*pairs), F.col(key)).cast(kind) if pairs else F.lit(None).cast(kind)
 
 
 NUMERIC_STATS = ["min", "max", "mean", "median", "std", "skewness", "kurtosis", "zeros", "negatives", "outliers"]
@@ -132,28 +128,23 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, digits:
     """Location, spread, shape and outlier count of each numeric column."""
     columns = list(columns or numeric_columns(df))
     quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
-    out = None
-    for part in chunks(columns, COLUMNS_PER_PASS):
-        fences = {
-            c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-            for c in part for q1, _, q3 in [quartiles[c]] if q1 is not None
-        }
-        wide = _moments(df, part, fences)
-        exprs = {}
-        for i, c in enumerate(part):
-            n, flat = F.col(f"n{i}"), F.col(f"sd{i}") == 0
-            skew = F.when(flat, 0.0).otherwise(sample_skewness(F.col(f"g1_{i}"), n))
-            kurt = F.when(flat, 0.0).otherwise(sample_kurtosis(F.col(f"g2_{i}"), n))
-            median = F.lit(quartiles[c][1]).cast("double")
-            exprs[c] = [
-                *[F.round(e, digits) for e in (
-                    F.col(f"min{i}"), F.col(f"max{i}"), F.col(f"avg{i}"), median, F.col(f"sd{i}"), skew, kurt,
-                )],
-                F.col(f"zero{i}"), F.col(f"neg{i}"), F.col(f"out{i}"),
-            ]
-        long = to_long(wide, exprs, NUMERIC_STATS)
-        out = long if out is None else out.unionByName(long)
-    return out
+    known = {c: q for c, q in quartiles.items() if q[0] is not None}
+    low = lookup({c: q1 - 1.5 * (q3 - q1) for c, (q1, _, q3) in known.items()})
+    high = lookup({c: q3 + 1.5 * (q3 - q1) for c, (q1, _, q3) in known.items()})
+    x, n, flat = F.col("x"), F.col("n"), F.col("sd") == 0
+    stats = numbers_long(df, columns).groupBy("column").agg(
+        F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("avg"),
+        F.stddev_samp(x).alias("sd"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
+        count_when(x == 0).alias("zeros"), count_when(x < 0).alias("negatives"),
+        count_when((x < low) | (x > high)).alias("outliers"),
+    )
+    skew = F.when(flat, 0.0).otherwise(sample_skewness(F.col("g1"), n))
+    kurt = F.when(flat, 0.0).otherwise(sample_kurtosis(F.col("g2"), n))
+    median = lookup({c: q[1] for c, q in known.items()})
+    shown = [F.col("lo"), F.col("hi"), F.col("avg"), median, F.col("sd"), skew, kurt]
+    return stats.select(
+        "column", *[F.round(e, digits).alias(name) for e, name in zip(shown, NUMERIC_STATS)], "zeros", "negatives", "outliers"
+    )
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
@@ -266,20 +257,23 @@ def feature_ranges(df: DataFrame, columns: Sequence[str] | None = None, digits:
 
 # pairs of columns ----------------------------------------------------------------------------------
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(col1, col2, correlation) for i < j, each over the rows where both are present."""
+    """(col1, col2, correlation) for i < j, each over the rows where both are present.
+
+    Pairs of columns, not of rows: each row adds one entry per pair to a partial aggregate of its task.
+    """
     columns = list(columns or numeric_columns(df))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    out = None
-    for part in chunks(pairs, PAIRS_PER_PASS):
-        wide = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        rows = [
-            F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.nanvl(F.col(f"r{i}"), F.lit(None).cast("double")).alias("correlation"))
-            for i, (a, b) in enumerate(part)
-        ]
-        long = wide.select(F.inline(F.array(*rows)))
-        out = long if out is None else out.unionByName(long)
-    if out is None:
+    if not pairs:
         return df.sparkSession.createDataFrame([], "col1 string, col2 string, correlation double")
+    entries = [
+        F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), col(a).cast("double").alias("x"), col(b).cast("double").alias("y"))
+        for a, b in pairs
+    ]
+    out = None
+    for part in chunks(entries, PAIRS_PER_PASS):
+        long = df.select(F.inline(F.array(*part)))
+        one = long.groupBy("col1", "col2").agg(F.nanvl(F.corr("x", "y"), F.lit(None).cast("double")).alias("correlation"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
