@@ -270,14 +270,13 @@ STANDARD = {
     "transformation": {"encoding": "auto", "scaling": "standard"},
     "feature_engineering": {"time_features": True},
     "splitting": {"method": "stratified", "test_size": 0.2},
-    "exclude_columns": ["o_orderkey"],
     "models": ["random_forest", "logistic_regression", "decision_tree"],
     "model_params": {"random_forest": {"n_estimators": 20, "max_depth": 6}},
 }
 
 
 def flagship(spark, sf):
-    result = automl.run(_orders(spark, sf), "grade", config=STANDARD)
+    result = automl.run(_orders(spark, sf), "grade", config=STANDARD, key="o_orderkey")
     if result.status != "completed":
         raise RuntimeError(result.error)
     return result.scores_table(spark)
@@ -288,16 +287,16 @@ query("automl_run")(flagship)
 
 @query("auto_explore")
 def auto_explore(spark, sf):
-    config = {"models": ["decision_tree", "logistic_regression"], "exclude_columns": ["o_orderkey"], "shap": False}
-    result, tried = automl.auto_explore(_orders(spark, sf), "grade", config=config, folds=3, trees=5)
+    config = {"models": ["decision_tree", "logistic_regression"], "shap": False}
+    result, tried = automl.auto_explore(_orders(spark, sf), "grade", config=config, key="o_orderkey", folds=3, trees=5)
     rows = [(name, score, deviation, name == max(tried, key=lambda t: t[1])[0], result.best) for name, score, deviation, _ in tried]
     return spark.createDataFrame(rows, "preset string, score double, deviation double, winner boolean, best_model string")
 
 
 @query("goal_loop")
 def goal_loop(spark, sf):
-    config = {"models": ["decision_tree", "logistic_regression"], "exclude_columns": ["o_orderkey"], "shap": False, "stacking": False}
-    _, history, status = automl.optimise_until(_orders(spark, sf), "grade", goal={"metric": "f1", "target": 0.9}, max_iterations=2, config=config)
+    config = {"models": ["decision_tree", "logistic_regression"], "shap": False, "stacking": False}
+    _, history, status = automl.optimise_until(_orders(spark, sf), "grade", goal={"metric": "f1", "target": 0.9}, max_iterations=2, config=config, key="o_orderkey")
     return spark.createDataFrame([(h["iteration"], h["status"], h["score"], h["best_model"], h["is_best"], status) for h in history],
                                  "iteration int, status string, score double, best_model string, is_best boolean, outcome string")
 
@@ -307,12 +306,12 @@ def external_test(spark, sf):
     rows = _orders(spark, sf)
     late = F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")
     config = {**STANDARD, "models": ["decision_tree"], "shap": False}
-    result = automl.run(rows.filter(~late), "grade", config=config, test=rows.filter(late))
+    result = automl.run(rows.filter(~late), "grade", config=config, key="o_orderkey", test=rows.filter(late))
     return result.scores_table(spark)
 
 
 @query("report_json")
 def report_json(spark, sf):
     config = {**STANDARD, "models": ["decision_tree", "logistic_regression"]}
-    result = automl.run(_orders(spark, sf), "grade", config=config)
+    result = automl.run(_orders(spark, sf), "grade", config=config, key="o_orderkey")
     return save_report(result.report.table(spark), new_path(spark, "report"))
