@@ -1,50 +1,53 @@
-"""Exact quantiles (linear interpolation) that stay distributed on large tables.
+"""Exact quantiles (linear interpolation) by counting, for tables of any size.
 
-``F.percentile`` keeps every distinct value of a column in one aggregation buffer. That is the fastest
-form for a modest table and unusable for billions of values, so above ``SMALL_ROWS`` the order
-statistics are bracketed with ``percentile_approx`` and the bracket is narrowed by counting.
+No task ever sorts or holds a column. A quantile is one or two order statistics; each is located by counting
+values in equal-width buckets and narrowing to the bucket that holds the rank, for all columns in one
+grouped aggregate per pass. Smooth columns take three passes, very uneven ones a few more.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .columns import col, count_when
 
-SMALL_ROWS = 2_000_000
-_BRACKET_ROWS = 100_000
-_ACCURACY = 10_000
+BUCKETS = 1024
+FEW_VALUES = 2000
 
+Spot = tuple[str, int]
 
-def exact_quantiles(
-    df: DataFrame, wanted: dict[str, Sequence[float]], small_rows: int | None = None
-) -> dict[str, list[float | None]]:
+
+def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
     """{column: [quantile for each probability]}; None for a column without values."""
-    small_rows = SMALL_ROWS if small_rows is None else small_rows
     names = list(wanted)
     if not names:
         return {}
-    counts = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    sizes = {c: counts[f"n{i}"] for i, c in enumerate(names)}
-    if max(sizes.values()) <= small_rows:
-        aggs = [
-            F.percentile(col(c).cast("double"), F.array(*[F.lit(float(p)) for p in wanted[c]])).alias(f"q{i}")
-            for i, c in enumerate(names)
-        ]
-        row = df.agg(*aggs).first()
-        return {c: list(row[f"q{i}"] or [None] * len(wanted[c])) for i, c in enumerate(names)}
-
-    spots = {}
-    for c in names:
-        for p in wanted[c]:
-            at = (sizes[c] - 1) * p
-            for r in (math.floor(at), math.ceil(at)):
-                if sizes[c]:
-                    spots[(c, r)] = None
-    values = _select_ranks(df, sizes, list(spots))
+    low_inf, high_inf = F.lit(float("-inf")), F.lit(float("inf"))
+    aggs = []
+    for i, c in enumerate(names):
+        x = col(c).cast("double")
+        finite = F.when((x > low_inf) & (x < high_inf), x)
+        aggs += [F.count(x).alias(f"n{i}"), F.min(finite).alias(f"a{i}"), F.max(finite).alias(f"b{i}"),
+                 count_when(x == low_inf).alias(f"l{i}"), count_when(x == high_inf).alias(f"h{i}")]
+    row = df.agg(*aggs).first()
+    sizes = {c: row[f"n{i}"] for i, c in enumerate(names)}
+    known: dict[Spot, float] = {}
+    spans: dict[Spot, tuple[float, float, int, int]] = {}
+    for i, c in enumerate(names):
+        below, above = row[f"l{i}"], row[f"h{i}"]
+        for at in ((sizes[c] - 1) * p for p in wanted[c] if sizes[c]):
+            for rank in (math.floor(at), math.ceil(at)):
+                if rank < below:
+                    known[(c, rank)] = float("-inf")
+                elif rank >= sizes[c] - above:
+                    known[(c, rank)] = float("inf")
+                else:
+                    spans[(c, rank)] = (row[f"a{i}"], row[f"b{i}"], below, sizes[c] - below - above)
+    known.update(_narrow(df, spans))
     out: dict[str, list[float | None]] = {}
     for c in names:
         found: list[float | None] = []
@@ -53,56 +56,46 @@ def exact_quantiles(
                 found.append(None)
                 continue
             at = (sizes[c] - 1) * p
-            low, high = values[(c, math.floor(at))], values[(c, math.ceil(at))]
-            found.append(low + (high - low) * (at - math.floor(at)))
+            low, high = known[(c, math.floor(at))], known[(c, math.ceil(at))]
+            found.append(low if low == high else low + (high - low) * (at - math.floor(at)))
         out[c] = found
     return out
 
 
-def _select_ranks(df: DataFrame, sizes: dict[str, int], spots: list[tuple[str, int]]) -> dict[tuple[str, int], float]:
-    """Values at 0-based ranks, by narrowing a value bracket around each of them."""
-    state = {s: (None, None, 0, sizes[s[0]]) for s in spots}  # low, high, rows below low, rows inside
-    done: dict[tuple[str, int], float] = {}
-
-    def inside(name: str, low: float | None, high: float | None) -> Column:
-        value = col(name).cast("double")
-        test = value.isNotNull()
-        if low is not None:
-            test = test & (value >= F.lit(low)) & (value <= F.lit(high))
-        return F.when(test, value)
-
-    while len(done) < len(spots):
-        open_spots = [s for s in spots if s not in done]
-        aggs = []
-        for i, s in enumerate(open_spots):
-            low, high, below, rows = state[s]
-            value = inside(s[0], low, high)
-            if rows <= _BRACKET_ROWS:
-                aggs.append(F.element_at(F.sort_array(F.collect_list(value)), int(s[1] - below + 1)).alias(f"v{i}"))
+def _narrow(df: DataFrame, spans: dict[Spot, tuple[float, float, int, int]]) -> dict[Spot, float]:
+    """``spans`` holds (low, high, rows below, rows inside) of the values that can have the rank."""
+    done: dict[Spot, float] = {}
+    while True:
+        for s, (low, high, _, _) in list(spans.items()):
+            if low == high:
+                done[s] = low
+                del spans[s]
+        if not spans:
+            return done
+        intervals = sorted({(s[0], low, high, below, rows) for s, (low, high, below, rows) in spans.items()})
+        entries, tests = [], []
+        for k, (c, low, high, _, rows) in enumerate(intervals):
+            x = col(c).cast("double")
+            if rows <= FEW_VALUES:
+                place = x  # few enough: every distinct value is its own bucket
             else:
-                share, slack = (s[1] - below + 0.5) / rows, 2.0 / _ACCURACY
-                probs = [max(0.0, share - slack), min(1.0, share + slack)]
-                aggs.append(F.percentile_approx(value, probs, _ACCURACY).alias(f"v{i}"))
-        row = df.agg(*aggs).first()
-        checks, pending = [], []
-        for i, s in enumerate(open_spots):
-            if state[s][3] <= _BRACKET_ROWS:
-                done[s] = row[f"v{i}"]
-                continue
-            low, high = row[f"v{i}"]
-            value = col(s[0]).cast("double")
-            checks += [count_when(value < F.lit(low)).alias(f"b{i}"), count_when(value <= F.lit(high)).alias(f"u{i}")]
-            pending.append((i, s, low, high))
-        if pending:
-            tally = df.agg(*checks).first()
-            for i, s, low, high in pending:
-                below, upto = tally[f"b{i}"], tally[f"u{i}"]
-                if not below <= s[1] < upto:
-                    raise RuntimeError(f"bracket of {s[0]} lost rank {s[1]}")
-                if low == high:
-                    done[s] = low
-                state[s] = (low, high, below, upto - below)
-    return done
+                place = F.least(F.floor((x - F.lit(low)) * F.lit(BUCKETS / (high - low))), F.lit(BUCKETS - 1)).cast("double")
+            tests.append((x >= F.lit(low)) & (x <= F.lit(high)))
+            entries.append(F.struct(F.lit(k).alias("k"), F.when(tests[-1], place).alias("b"), x.alias("x")))
+        # after the first pass few rows are inside any interval: drop the others before they are expanded
+        near = df.filter(reduce(lambda a, b: a | b, tests))
+        inside = near.select(F.inline(F.array(*entries))).filter(F.col("b").isNotNull())
+        counted = inside.groupBy("k", "b").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        # at most BUCKETS (or FEW_VALUES) rows per interval
+        tables: dict[int, list] = {}
+        for r in counted.collect():
+            tables.setdefault(r["k"], []).append((r["b"], r["n"], r["low"], r["high"]))
+        for k, (c, low, high, below, rows) in enumerate(intervals):
+            upto = below
+            for _, n, new_low, new_high in sorted(tables.get(k, [])):
+                for s in [s for s, span in spans.items() if s[0] == c and span[:2] == (low, high) and upto <= s[1] < upto + n]:
+                    spans[s] = (new_low, new_high, upto, n)
+                upto += n
 
 
 def outlier_fences(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> dict[str, tuple[float, float]]:

@@ -15,7 +15,7 @@ from ..functions.staging import new_path
 from .models import TrainedModel
 
 TOP_GLOBAL, TOP_LOCAL, GRID = 10, 15, 50
-PERMUTATIONS = 8
+PERMUTATIONS = 4
 
 
 # linear models -------------------------------------------------------------------------------------
@@ -185,7 +185,9 @@ def sampled_contributions(trained: Any, df: DataFrame, key: str, background: Seq
     """
     names, d = trained.features, len(trained.features)
     rng = np.random.default_rng(seed)
-    orders = [rng.permutation(d).tolist() for _ in range(permutations)]
+    # each order is followed by its reverse, which evens out early and late switches
+    drawn = [rng.permutation(d).tolist() for _ in range((permutations + 1) // 2)]
+    orders = [o for p in drawn for o in (p, p[::-1])][:permutations]
     steps = []
     for order in orders:
         for j in range(d + 1):

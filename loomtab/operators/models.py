@@ -186,7 +186,7 @@ def train(name: str, df: DataFrame, features: Sequence[str], task: str = "classi
     return trained
 
 
-def train_many(names: Sequence[str] | None, df: DataFrame, features: Sequence[str], task: str = "classification", params: dict[str, dict[str, Any]] | None = None, parallelism: int = 2) -> dict[str, TrainedModel | str]:
+def train_many(names: Sequence[str] | None, df: DataFrame, features: Sequence[str], task: str = "classification", params: dict[str, dict[str, Any]] | None = None, parallelism: int = 4) -> dict[str, TrainedModel | str]:
     """Each model or the text of its error: one failure leaves the others alone."""
     names = list(names or [n for n in available_models(task) if n != "dbscan"])
     params = params or {}
@@ -302,17 +302,26 @@ def _meta_array(bases: Sequence[TrainedModel]):
     ])
 
 
-def stack_models(top: Sequence[TrainedModel], df: DataFrame, key: str, folds: int = 3) -> StackedModel | None:
+def stack_models(top: Sequence[TrainedModel], df: DataFrame, key: str, folds: int = 3, parallelism: int = 4) -> StackedModel | None:
     """Out-of-fold scores of the base models feed a logistic or ridge model; the bases stay fitted on all rows."""
     if len(top) < 2:
         return None
     start, task, n_classes = time.time(), top[0].task, top[0].n_classes
     folded = kfold(df, key, folds, "label" if task == "classification" else None).persist()
     try:
+        sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+
+        def fit(job: tuple[int, TrainedModel]) -> TrainedModel:
+            f, b = job
+            rows = sum(sizes.values()) - sizes.get(f, 0)
+            return train(b.name, folded.filter(F.col("fold") != f), b.features, task, b.params, rows, n_classes or None)
+
+        # folds x bases are independent jobs on one cached table
+        with ThreadPoolExecutor(parallelism) as pool:
+            fitted = list(pool.map(fit, [(f, b) for f in range(folds) for b in top]))
         parts = None
         for f in range(folds):
-            inside = folded.filter(F.col("fold") != f)
-            fold_bases = [train(b.name, inside, b.features, task, b.params, n_classes=n_classes or None) for b in top]
+            fold_bases = fitted[f * len(top):(f + 1) * len(top)]
             one = _base_columns(fold_bases, folded.filter(F.col("fold") == f).select("label", "features"))
             one = one.select("label", array_to_vector(_meta_array(fold_bases)).alias("features"))
             parts = one if parts is None else parts.unionByName(one)

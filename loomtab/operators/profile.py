@@ -129,14 +129,18 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, digits:
     columns = list(columns or numeric_columns(df))
     quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
     known = {c: q for c, q in quartiles.items() if q[0] is not None}
-    low = lookup({c: q1 - 1.5 * (q3 - q1) for c, (q1, _, q3) in known.items()})
-    high = lookup({c: q3 + 1.5 * (q3 - q1) for c, (q1, _, q3) in known.items()})
+    fences = {c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for c, (q1, _, q3) in known.items()}
     x, n, flat = F.col("x"), F.col("n"), F.col("sd") == 0
-    stats = numbers_long(df, columns).groupBy("column").agg(
+    entries = []
+    for c in columns:
+        v = col(c).cast("double")
+        low, high = fences.get(c, (0.0, 0.0))
+        entries.append(F.struct(F.lit(c).alias("column"), v.alias("x"), ((v < F.lit(low)) | (v > F.lit(high))).alias("out")))
+    stats = df.select(F.inline(F.array(*entries))).groupBy("column").agg(
         F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("avg"),
         F.stddev_samp(x).alias("sd"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
         count_when(x == 0).alias("zeros"), count_when(x < 0).alias("negatives"),
-        count_when((x < low) | (x > high)).alias("outliers"),
+        count_when(F.col("out")).alias("outliers"),
     )
     skew = F.when(flat, 0.0).otherwise(sample_skewness(F.col("g1"), n))
     kurt = F.when(flat, 0.0).otherwise(sample_kurtosis(F.col("g2"), n))

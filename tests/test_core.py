@@ -25,12 +25,15 @@ def skewed(spark):
 def test_selection_finds_exact_quantiles(spark, skewed, monkeypatch):
     from loomtab.functions import quantiles
     df, pdf = skewed
-    monkeypatch.setattr(quantiles, "_BRACKET_ROWS", 50)
+    monkeypatch.setattr(quantiles, "FEW_VALUES", 20)
+    monkeypatch.setattr(quantiles, "BUCKETS", 8)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = exact_quantiles(df, {"x": probs, "y": probs}, small_rows=0)
+    got = exact_quantiles(df, {"x": probs, "y": probs})
     for c in ("x", "y"):
         want = np.quantile(pdf[c].dropna(), probs)
         assert np.allclose(got[c], want, rtol=1e-12)
+    ends = df.select("id").withColumn("v", F.when(F.col("id") < 1000, float("-inf")).when(F.col("id") >= 3500, float("inf")).otherwise(F.exp(F.col("id") / 100.0)))
+    assert exact_quantiles(ends, {"v": [0.1, 0.5, 1.0]})["v"] == [float("-inf"), np.quantile(np.exp(np.arange(4000) / 100.0), 0.5), float("inf")]
     assert exact_quantiles(df.withColumn("e", F.lit(None).cast("double")), {"e": [0.5]}) == {"e": [None]}
 
 

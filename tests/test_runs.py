@@ -99,7 +99,7 @@ def test_run_with_reduction_balance_and_regression(spark, table):
     assert result.status == "completed", result.error
     assert result.prepared.columns == ["PC1", "PC2", "PC3"] and "imbalance_handling" in result.report.steps
     regression = automl.run(table.drop("grade"), "x", config={
-        "models": ["linear_regression"], "feature_engineering": {"polynomial": True, "selection": "correlation"}, "tuning": {"enable": False}}, key="id")
+        "models": ["linear_regression"], "feature_engineering": {"polynomial": True, "selection": "mutual_info"}, "tuning": {"enable": False}}, key="id")
     assert regression.status == "completed" and regression.task == "regression" and "tuning" not in regression.report.steps
     lost = automl.run(table, "not there")
     assert lost.status == "error" and "not there" in lost.error
