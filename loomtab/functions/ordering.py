@@ -78,12 +78,14 @@ def hash_cuts(
     seed: int,
     ranks: Callable[[Column], list[Column]],
     within: Sequence[str] = (),
+    few_groups: bool = False,
 ) -> DataFrame:
     """Hash of the row at each requested 1-based rank of the shuffled order, per group.
 
     ``ranks`` gets the group size and returns the wanted ranks (0 = before every row). The result has one
     row per group with the columns ``n_rows, cut_0, cut_1, ...``. Only bucket counts and the rows of the
     buckets that hold a cut are shuffled: the hash is uniform, so a bucket is 1/65536 of its group.
+    ``few_groups`` says that the caller has counted the groups and found them small enough to broadcast.
     """
     groups = [col(c) for c in within]
     hashed = df.select(*groups, shuffle_key(seed, col(key)).alias("__h"))
@@ -101,6 +103,8 @@ def hash_cuts(
         .filter((F.col("__r") <= F.col("__upto")) & (F.col("__r") > F.col("__upto") - F.col("__n")))
         .select(*groups, "__b", "__i", (F.col("__r") - F.col("__upto") + F.col("__n")).alias("__need"))
     )
+    if few_groups or not within:  # one row per group and rank
+        boundary = F.broadcast(boundary)
     near = null_safe_join(hashed, boundary, [*within, "__b"])
     rank = F.row_number().over(W.partitionBy(*groups, "__i").orderBy("__h"))
     hits = near.withColumn("__rn", rank).filter(F.col("__rn") == F.col("__need"))

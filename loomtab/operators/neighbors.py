@@ -20,6 +20,7 @@ from ..functions.staging import materialise
 
 CHUNK_ROWS = 2048
 MAX_CELLS = 1024
+BROADCAST_CELLS = 100_000
 DISTANCE_DIGITS = 9
 CLASS_GAP = 1e12
 NO_NEED = -1
@@ -28,11 +29,12 @@ CANDIDATES = "qid long, need int, id long, dist double, value double"
 
 
 # block join ----------------------------------------------------------------------------------------
-def blocked(queries: DataFrame, points: DataFrame, chunk: int, fn: Callable, schema: str) -> DataFrame:
+def blocked(queries: DataFrame, points: DataFrame, chunk: int, fn: Callable, schema: str, few_cells: bool = False) -> DataFrame:
     """Run ``fn(key, queries, points)`` on every (cell, query chunk, point chunk).
 
     Both tables have a ``cell``; queries a ``qid`` and points an ``id``. Only cells above the chunk size
-    appear in the side table of chunk numbers.
+    appear in the side table of chunk numbers; it is broadcast when its size is known to be small, so that a
+    crowded cell is cut up before it is shuffled.
     """
 
     def chunks_of(df: DataFrame, name: str) -> DataFrame:
@@ -40,6 +42,11 @@ def blocked(queries: DataFrame, points: DataFrame, chunk: int, fn: Callable, sch
         return sizes.select("cell", F.ceil(F.col("n") / chunk).cast("int").alias(name))
 
     hot = chunks_of(queries, "__nq").join(chunks_of(points, "__np"), "cell", "full")
+    if not few_cells:
+        hot = materialise(hot, "crowded")
+        few_cells = hot.count() <= BROADCAST_CELLS
+    if few_cells:
+        hot = F.broadcast(hot)
 
     def tagged(df: DataFrame, own: str, key: str, own_tag: str, other: str, other_tag: str) -> DataFrame:
         own_columns = df.toDF(*df.columns)  # queries and points may come from one table
@@ -203,14 +210,14 @@ def search(queries: DataFrame, points: DataFrame, dims: int, k: int, skip_self:
     find = _top_k(k, skip_self)
     if n <= chunk:
         one = F.lit(0).cast("long")
-        return _best(blocked(queries.withColumn("cell", one), points.withColumn("cell", one), chunk, find, CANDIDATES), k)
+        return _best(blocked(queries.withColumn("cell", one), points.withColumn("cell", one), chunk, find, CANDIDATES, few_cells=True), k)
     celled, cells = _build_cells(points, n, dims, chunk, max_cells)
     plan_schema = "qid long, need int, vec array<double>, cells array<long>"
     enough = k + (1 if skip_self else 0)
 
     def visit(planned: DataFrame) -> DataFrame:
         q = planned.select("qid", "need", "vec", F.explode("cells").alias("cell"))
-        return blocked(q, celled, chunk, find, CANDIDATES)
+        return blocked(q, celled, chunk, find, CANDIDATES, few_cells=True)
 
     near = materialise(_best(visit(queries.mapInPandas(_first_cells(cells, enough), plan_schema)), k), "near")
     reach = near.filter(F.col("rank") == k).select("qid", "need", F.col("dist").alias("reach"))

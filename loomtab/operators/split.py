@@ -14,12 +14,13 @@ from ..functions.columns import col, null_safe_join, shuffle_key
 from ..functions.ordering import hash_cuts, row_index
 
 SEED = 42
+FEW_CLASSES = 10_000
 
 
-def _label_parts(df: DataFrame, cuts: DataFrame, key: str, seed: int, within: Sequence[str], names: Sequence[str], last: str, column: str) -> DataFrame:
+def _label_parts(df: DataFrame, cuts: DataFrame, key: str, seed: int, within: Sequence[str], few: bool, names: Sequence[str], last: str, column: str) -> DataFrame:
     h = shuffle_key(seed, col(key))
     if within:
-        joined = null_safe_join(df, F.broadcast(cuts), within)  # one row per class
+        joined = null_safe_join(df, F.broadcast(cuts) if few else cuts, within)
         bounds = [F.col(f"cut_{i}") for i in range(len(names))]
     else:
         row = cuts.first()
@@ -40,21 +41,24 @@ def _sizes(n: Column, test_size: float, val_size: float) -> list[Column]:
     return [test, test + val]
 
 
-def smallest_class(df: DataFrame, label: str) -> int:
-    row = df.groupBy(col(label)).agg(F.count("*").alias("n")).agg(F.min("n").alias("n")).first()
-    return row["n"] or 0
+def class_sizes(df: DataFrame, label: str) -> tuple[int, int]:
+    """(number of classes, rows of the smallest one)"""
+    row = df.groupBy(col(label)).agg(F.count("*").alias("n")).agg(F.count("*").alias("k"), F.min("n").alias("n")).first()
+    return row["k"], row["n"] or 0
 
 
 def split(df: DataFrame, key: str, method: str = "random", label: str | None = None, test_size: float = 0.2, val_size: float = 0.0, seed: int = SEED, column: str = "part") -> DataFrame:
     """Add ``part``: train, val or test. A class with fewer than two rows turns stratified into random."""
     within: list[str] = []
-    if method == "stratified" and label and smallest_class(df, label) >= 2:
-        within = [label]
+    few = True
+    if method == "stratified" and label:
+        classes, smallest = class_sizes(df, label)
+        within, few = ([label] if smallest >= 2 else []), classes <= FEW_CLASSES
     elif method not in ("random", "stratified"):
         raise ValueError(f"unknown split method: {method}")
     names = ["test"] if val_size <= 0 else ["test", "val"]
-    cuts = hash_cuts(df, key, seed, lambda n: _sizes(n, test_size, val_size), within)
-    return _label_parts(df, cuts, key, seed, within, names, "train", column)
+    cuts = hash_cuts(df, key, seed, lambda n: _sizes(n, test_size, val_size), within, few)
+    return _label_parts(df, cuts, key, seed, within, few, names, "train", column)
 
 
 def split_by_time(df: DataFrame, order: Sequence[str], test_size: float = 0.2, column: str = "part") -> DataFrame:
@@ -84,9 +88,10 @@ def time_folds(df: DataFrame, order: Sequence[str], k: int = 5) -> DataFrame:
 def kfold(df: DataFrame, key: str, k: int = 5, label: str | None = None, seed: int = SEED, column: str = "fold") -> DataFrame:
     """Add a fold number 0..k-1: equal blocks of the shuffled order, inside each class if a label is given."""
     within = [label] if label else []
-    cuts = hash_cuts(df, key, seed, lambda n: [F.ceil(n * F.lit(i) / F.lit(k)) for i in range(1, k)], within)
+    few = not label or class_sizes(df, label)[0] <= FEW_CLASSES
+    cuts = hash_cuts(df, key, seed, lambda n: [F.ceil(n * F.lit(i) / F.lit(k)) for i in range(1, k)], within, few)
     names = [str(i) for i in range(k - 1)]
-    out = _label_parts(df, cuts, key, seed, within, names, str(k - 1), column)
+    out = _label_parts(df, cuts, key, seed, within, few, names, str(k - 1), column)
     return out.withColumn(column, F.col(column).cast("int"))
 
 
