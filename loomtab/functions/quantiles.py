@@ -17,6 +17,7 @@ from .columns import col, count_when
 
 BUCKETS = 1024
 FEW_VALUES = 2000
+COLUMNS_PER_JOB, INTERVALS_PER_JOB = 16, 64
 
 Spot = tuple[str, int]
 
@@ -26,6 +27,11 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[s
     names = list(wanted)
     if not names:
         return {}
+    if len(names) > COLUMNS_PER_JOB:
+        out = {}
+        for i in range(0, len(names), COLUMNS_PER_JOB):
+            out.update(exact_quantiles(df, {c: wanted[c] for c in names[i:i + COLUMNS_PER_JOB]}))
+        return out
     low_inf, high_inf = F.lit(float("-inf")), F.lit(float("inf"))
     aggs = []
     for i, c in enumerate(names):
@@ -73,29 +79,35 @@ def _narrow(df: DataFrame, spans: dict[Spot, tuple[float, float, int, int]]) ->
         if not spans:
             return done
         intervals = sorted({(s[0], low, high, below, rows) for s, (low, high, below, rows) in spans.items()})
-        entries, tests = [], []
-        for k, (c, low, high, _, rows) in enumerate(intervals):
-            x = col(c).cast("double")
-            if rows <= FEW_VALUES:
-                place = x  # few enough: every distinct value is its own bucket
-            else:
-                place = F.least(F.floor((x - F.lit(low)) * F.lit(BUCKETS / (high - low))), F.lit(BUCKETS - 1)).cast("double")
-            tests.append((x >= F.lit(low)) & (x <= F.lit(high)))
-            entries.append(F.struct(F.lit(k).alias("k"), F.when(tests[-1], place).alias("b"), x.alias("x")))
-        # after the first pass few rows are inside any interval: drop the others before they are expanded
-        near = df.filter(reduce(lambda a, b: a | b, tests))
-        inside = near.select(F.inline(F.array(*entries))).filter(F.col("b").isNotNull())
-        counted = inside.groupBy("k", "b").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-        # at most BUCKETS (or FEW_VALUES) rows per interval
-        tables: dict[int, list] = {}
-        for r in counted.collect():
-            tables.setdefault(r["k"], []).append((r["b"], r["n"], r["low"], r["high"]))
-        for k, (c, low, high, below, rows) in enumerate(intervals):
-            upto = below
-            for _, n, new_low, new_high in sorted(tables.get(k, [])):
-                for s in [s for s, span in spans.items() if s[0] == c and span[:2] == (low, high) and upto <= s[1] < upto + n]:
-                    spans[s] = (new_low, new_high, upto, n)
-                upto += n
+        for i in range(0, len(intervals), INTERVALS_PER_JOB):
+            _count_inside(df, intervals[i:i + INTERVALS_PER_JOB], spans)
+
+
+def _count_inside(df: DataFrame, intervals: list[tuple[str, float, float, int, int]], spans: dict[Spot, tuple[float, float, int, int]]) -> None:
+    """One pass over some intervals; moves the spots of each into the bucket that holds their rank."""
+    entries, tests = [], []
+    for k, (c, low, high, _, rows) in enumerate(intervals):
+        x = col(c).cast("double")
+        if rows <= FEW_VALUES:
+            place = x  # few enough: every distinct value is its own bucket
+        else:
+            place = F.least(F.floor((x - F.lit(low)) * F.lit(BUCKETS / (high - low))), F.lit(BUCKETS - 1)).cast("double")
+        tests.append((x >= F.lit(low)) & (x <= F.lit(high)))
+        entries.append(F.struct(F.lit(k).alias("k"), F.when(tests[-1], place).alias("b"), x.alias("x")))
+    # after the first pass few rows are inside any interval: drop the others before they are expanded
+    near = df.filter(reduce(lambda a, b: a | b, tests))
+    inside = near.select(F.inline(F.array(*entries))).filter(F.col("b").isNotNull())
+    counted = inside.groupBy("k", "b").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    # at most BUCKETS (or FEW_VALUES) rows per interval
+    tables: dict[int, list] = {}
+    for r in counted.collect():
+        tables.setdefault(r["k"], []).append((r["b"], r["n"], r["low"], r["high"]))
+    for k, (c, low, high, below, _) in enumerate(intervals):
+        upto = below
+        for _, n, new_low, new_high in sorted(tables.get(k, [])):
+            for s in [s for s, span in spans.items() if s[0] == c and span[:2] == (low, high) and upto <= s[1] < upto + n]:
+                spans[s] = (new_low, new_high, upto, n)
+            upto += n
 
 
 def outlier_fences(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> dict[str, tuple[float, float]]:
