@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _SESSION_FOLDERS: dict[str, str] = {}
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only on a local master."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one on a local master only.
+
+    The setting is fixed when a session starts, so the temporary folder is remembered here, not written back.
+    """
     root = spark.conf.get(_SETTING, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError(f"set {_SETTING} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="loomtab-")
-        spark.conf.set(_SETTING, root)
+        root = _LOCAL_ROOTS.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="loomtab-")
+        _LOCAL_ROOTS[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 
