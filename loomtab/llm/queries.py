@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import shard
+from . import decontaminate, shard
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": lambda spark, sf: shard.digest(table(spark, sf, "documents")),
+    "op7_decontamination": lambda spark, sf: decontaminate.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
 }
 
 ORACLE: dict[str, str] = {
     "op3_sharding": shard.SQL,
+    "op7_decontamination": decontaminate.SQL,
 }
