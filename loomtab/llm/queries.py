@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, shard
+from . import decontaminate, packing, shard, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": lambda spark, sf: shard.digest(table(spark, sf, "documents")),
+    "op5_token_counts": lambda spark, sf: token_counts.digest(table(spark, sf, "documents")),
     "op7_decontamination": lambda spark, sf: decontaminate.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op8_packing": lambda spark, sf: packing.digest(table(spark, sf, "documents")),
 }
