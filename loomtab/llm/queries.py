@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, shard, token_counts
+from . import chat, decontaminate, packing, shard, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_formatting": lambda spark, sf: chat.digest(table(spark, sf, "conversations")),
     "op3_sharding": lambda spark, sf: shard.digest(table(spark, sf, "documents")),
     "op5_token_counts": lambda spark, sf: token_counts.digest(table(spark, sf, "documents")),
     "op7_decontamination": lambda spark, sf: decontaminate.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_chat_formatting": chat.SQL,
     "op3_sharding": shard.SQL,
     "op7_decontamination": decontaminate.SQL,
 }
