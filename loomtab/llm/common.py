@@ -44,6 +44,29 @@ def ragged(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(values))
 
 
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of ``text`` by prefix doubling. Every 0 counts as its own smallest symbol, earlier first."""
+    n = len(text)
+    zeros = int((text == 0).sum())
+    rank = text.astype(np.int64) + zeros
+    rank[text == 0] = np.arange(zeros)
+    order = np.argsort(rank, kind="stable")
+    step = 1
+    sorted_rank = rank[order]
+    new = np.concatenate([[0], np.cumsum(sorted_rank[1:] != sorted_rank[:-1])])
+    rank[order] = new
+    while n and new[-1] < n - 1:
+        after = np.full(n, -1, dtype=np.int64)
+        after[: n - step] = rank[step:]
+        both = rank * (n + 1) + after + 1
+        order = np.argsort(both, kind="stable")
+        ordered = both[order]
+        new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        rank[order] = new
+        step *= 2
+    return order
+
+
 def text_key(text: Column) -> Column:
     """128 bits of a text: equal for equal texts, so copies share it."""
     return F.unhex(F.md5(text))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ragged, raw, slices
+from .common import ragged, raw, slices, suffix_order
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SHARD_WORDS = 1 << 20  # words in one index
@@ -48,29 +48,6 @@ class Windows:
         self.shortest = min((g.shape[1] for g, _ in self.groups), default=0)
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of ``text`` by prefix doubling. Every 0 counts as its own smallest symbol, earlier first."""
-    n = len(text)
-    zeros = int((text == 0).sum())
-    rank = text.astype(np.int64) + zeros
-    rank[text == 0] = np.arange(zeros)
-    order = np.argsort(rank, kind="stable")
-    step = 1
-    sorted_rank = rank[order]
-    new = np.concatenate([[0], np.cumsum(sorted_rank[1:] != sorted_rank[:-1])])
-    rank[order] = new
-    while n and new[-1] < n - 1:
-        after = np.full(n, -1, dtype=np.int64)
-        after[: n - step] = rank[step:]
-        both = rank * (n + 1) + after + 1
-        order = np.argsort(both, kind="stable")
-        ordered = both[order]
-        new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank[order] = new
-        step *= 2
-    return order
-
-
 class WaveletTree:
     """Ranks of symbols in a sequence: one bit vector with running counts per bit of the symbols, high bit first."""
 
@@ -98,7 +75,7 @@ class FMIndex:
     """Backward search and location of word sequences in stretches of words parted by 0."""
 
     def __init__(self, text: np.ndarray) -> None:
-        order = suffix_array(text)
+        order = suffix_order(text)
         self.last = text[order - 1] if len(text) else text  # text ends with 0, so the first suffix wraps to a separator
         self.tree = WaveletTree(self.last, max(1, int(text.max(initial=0)).bit_length()))
         counts = np.bincount(text, minlength=int(text.max(initial=0)) + 2)

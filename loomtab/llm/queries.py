@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, packing, shard, token_counts
+from . import chat, decontaminate, language, packing, shard, substrings, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,10 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": lambda spark, sf: language.digest(table(spark, sf, "documents")),
     "op7_decontamination": lambda spark, sf: decontaminate.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op8_packing": lambda spark, sf: packing.digest(table(spark, sf, "documents")),
+    "op10_substring_dedup": lambda spark, sf: substrings.digest(table(spark, sf, "documents")),
 }
 
 ORACLE: dict[str, str] = {
     "op2_chat_formatting": chat.SQL,
     "op3_sharding": shard.SQL,
     "op7_decontamination": decontaminate.SQL,
+    "op10_substring_dedup": substrings.SQL,
 }
