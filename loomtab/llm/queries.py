@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, packing, shard, substrings, token_counts
+from . import chat, decontaminate, jaccard, language, packing, shard, substrings, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": lambda spark, sf: jaccard.digest(table(spark, sf, "documents")),
     "op2_chat_formatting": lambda spark, sf: chat.digest(table(spark, sf, "conversations")),
     "op3_sharding": lambda spark, sf: shard.digest(table(spark, sf, "documents")),
     "op5_token_counts": lambda spark, sf: token_counts.digest(table(spark, sf, "documents")),
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_jaccard_join": jaccard.SQL,
     "op2_chat_formatting": chat.SQL,
     "op3_sharding": shard.SQL,
     "op7_decontamination": decontaminate.SQL,
