@@ -17,7 +17,7 @@ import regex
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _UNSAFE = re.compile(r" \s|\s |\A | \Z")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")  # fixed: the vocabulary's own pattern
-_MEMORY = 200_000  # pieces remembered; then the memory starts anew
+_MEMORY = 400_000  # pieces and words remembered; then the memory starts anew
 
 Id = np.dtype("<u4")
 
@@ -54,34 +54,38 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of one word of the pre-tokenizer: the merges alone."""
-        found = self.words.get(word)
+        plain = word[0] == " " and word[1:].isalpha()  # as a piece of its own
+        memory, name = (self.known, word[1:]) if plain else (self.words, word)
+        found = memory.get(name)
         if found is None:
-            spelt = ("\u0120" + word[1:]) if word[0] == " " and word[1:].isalnum() and word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-            found = self.words[word] = array("I", [x.id for x in self.merge(spelt)]).tobytes()
+            spelt = "\u0120" + name if plain and name.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+            found = memory[name] = array("I", [x.id for x in self.merge(spelt)]).tobytes()
         return found
 
+    def _piece(self, piece: str) -> bytes:
+        if piece.isalpha():  # letters after a space are one word of the pre-tokenizer
+            return self._word(" " + piece)
+        own = piece[1:] if piece[:1] == "\n" else " " + piece
+        if own.isascii() or max(own, default="") < "\u0250":
+            ids = b"".join(map(self._word, _WORDS.findall(own)))
+        else:  # leave other scripts and symbols to the library's own character classes
+            ids = array("I", self.tokenizer.encode(own, add_special_tokens=False).ids).tobytes()
+        self.known[piece] = ids
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. No special tokens are added."""
         pieces = [self._pieces(t) if t else [] for t in texts]
-        if len(self.known) > _MEMORY:
+        if len(self.known) + len(self.words) > _MEMORY:
             self.known.clear()
             self.words.clear()
-        new = list({p for own in pieces for p in own if p not in self.known})
-        if new:
-            rare = []
-            for p in new:
-                own = p[1:] if p[:1] == "\n" else " " + p
-                if p.isalpha():  # letters after a space are one word of the pre-tokenizer
-                    self.known[p] = self._word(own)
-                elif own.isascii() or max(own) < "\u0250":
-                    self.known[p] = b"".join(map(self._word, _WORDS.findall(own)))
-                else:  # leave other scripts and symbols to the library's own character classes
-                    rare.append(p)
-            whole = [p[1:] if p[:1] == "\n" else " " + p for p in rare]
-            for p, e in zip(rare, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-                self.known[p] = array("I", e.ids).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, own)) for own in pieces]
+        get, out = self.known.get, []
+        for own in pieces:
+            found = list(map(get, own))
+            if None in found:
+                found = [self._piece(p) if f is None else f for p, f in zip(own, found)]
+            out.append(b"".join(found))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
