@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, language, packing, shard, substrings, token_counts
+from . import chat, decontaminate, hnsw, jaccard, language, packing, shard, substrings, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": lambda spark, sf: language.digest(table(spark, sf, "documents")),
     "op7_decontamination": lambda spark, sf: decontaminate.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op8_packing": lambda spark, sf: packing.digest(table(spark, sf, "documents")),
+    "op9_embedding_dedup": lambda spark, sf: hnsw.digest(table(spark, sf, "embeddings")),
     "op10_substring_dedup": lambda spark, sf: substrings.digest(table(spark, sf, "documents")),
 }
 
@@ -25,5 +26,6 @@ ORACLE: dict[str, str] = {
     "op2_chat_formatting": chat.SQL,
     "op3_sharding": shard.SQL,
     "op7_decontamination": decontaminate.SQL,
+    "op9_embedding_dedup": hnsw.SQL,
     "op10_substring_dedup": substrings.SQL,
 }
