@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, hnsw, jaccard, language, packing, shard, substrings, token_counts
+from . import chat, decontaminate, hnsw, jaccard, language, lm, packing, shard, substrings, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": lambda spark, sf: jaccard.digest(table(spark, sf, "documents")),
     "op2_chat_formatting": lambda spark, sf: chat.digest(table(spark, sf, "conversations")),
     "op3_sharding": lambda spark, sf: shard.digest(table(spark, sf, "documents")),
+    "op4_lm_scoring": lambda spark, sf: lm.digest(table(spark, sf, "documents")),
     "op5_token_counts": lambda spark, sf: token_counts.digest(table(spark, sf, "documents")),
     "op6_language_id": lambda spark, sf: language.digest(table(spark, sf, "documents")),
     "op7_decontamination": lambda spark, sf: decontaminate.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
