@@ -77,8 +77,9 @@ class FMIndex:
     def __init__(self, text: np.ndarray) -> None:
         order = suffix_order(text)
         self.last = text[order - 1] if len(text) else text  # text ends with 0, so the first suffix wraps to a separator
-        self.tree = WaveletTree(self.last, max(1, int(text.max(initial=0)).bit_length()))
-        counts = np.bincount(text, minlength=int(text.max(initial=0)) + 2)
+        self.largest = int(text.max(initial=0))
+        self.tree = WaveletTree(self.last, max(1, self.largest.bit_length()))
+        counts = np.bincount(text, minlength=self.largest + 1)
         self.first = np.concatenate([[0], np.cumsum(counts)])
         # kept positions: every SAMPLE-th, and starts of stretches, so that a walk never crosses a separator
         keep = (order % SAMPLE == 0) | (self.last == 0)
@@ -91,7 +92,7 @@ class FMIndex:
         high = np.full(len(windows), len(self.last), dtype=np.int64)
         for j in range(windows.shape[1] - 1, -1, -1):
             c = windows[:, j].astype(np.int64)
-            known = c < len(self.first) - 1
+            known = c <= self.largest
             c = np.where(known, c, 0)
             low, high = self.first[c] + self.tree.rank(c, low), self.first[c] + self.tree.rank(c, high)
             high = np.where(known, high, low)
