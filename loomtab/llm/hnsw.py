@@ -304,7 +304,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             both = np.unique(np.minimum(a, b).astype(np.int64) * len(ids) + np.maximum(a, b))
             a, b = both // len(ids), both % len(ids)
             a, b = a[a != b], b[a != b]
-            counts = np.bincount(a, weights=copies[b], minlength=len(ids)) + np.bincount(b, weights=copies[a], minlength=len(ids))
+            counts = np.zeros(len(ids)) + np.bincount(a, weights=copies[b], minlength=len(ids)) + np.bincount(b, weights=copies[a], minlength=len(ids))
             local = _local_components(len(ids), a, b)
             held.clear()
 
