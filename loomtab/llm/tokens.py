@@ -73,6 +73,13 @@ class Encoder:
         self.known[piece] = ids
         return ids
 
+    def words_after_space(self, words: list[bytes]) -> list[bytes]:
+        """The ids of single words, none empty, each as it stands after a space."""
+        if len(self.known) + len(self.words) > _MEMORY // 4:
+            self.known.clear()
+            self.words.clear()
+        return [self._piece(w.decode()) for w in words]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. No special tokens are added."""
         pieces = [self._pieces(t) if t else [] for t in texts]
