@@ -25,60 +25,23 @@ from pyspark.sql import DataFrame, functions as F
 from loomtab.functions.staging import materialise
 
 from .common import raw, slices, suffix_order, text_key
+from .hashing import run_hashes, word_hashes
 
 WIDTH = 35
 GRAM = 10
 FREQUENT = 2_000  # occurrences from which an anchor's windows are dealt singly
 BLOCK_WORDS = 300_000
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n (odd numbers have inverses)."""
-    key = int(base)
-    if key not in _POWERS or len(_POWERS[key][0]) < n:
-        size = 1 << max(16, int(n).bit_length())
-        both = []
-        for b in (key, pow(key, -1, 1 << 64)):
-            row = np.full(size, b, dtype=np.uint64)
-            row[0] = 1
-            both.append(np.multiply.accumulate(row))
-        _POWERS[key] = (both[0], both[1])
-    up, down = _POWERS[key]
-    return up[:n], down[:n]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
-
-
-def _running(values: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(base, len(values) + 1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:-1], dtype=np.uint64)]), down
-
 
 def anchors(texts: list[bytes | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, anchor hash, first window, number of windows) of each run of windows that share an anchor."""
     gram = min(GRAM, width)
-    buffer = np.frombuffer(b"\n".join([b"", *[t or b"" for t in texts], b""]), dtype=np.uint8)
-    word = ~_SPACE[buffer]
-    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-    start, end = edge[::2], edge[1::2]
     none = np.zeros(0, np.int64)
-    if len(start) < width:
+    hashed, owner = word_hashes(texts)
+    if len(hashed) < width:
         return none, none, none, none
-    owner = np.searchsorted(np.cumsum([len(t or b"") + 1 for t in texts]), start - 1, "right")
-    total, down = _running(buffer.astype(np.uint64), _BASE)
-    hashed = _mix((total[end] - total[start]) * down[start])
-    total, down = _running(hashed, _STEP)
     n = len(hashed) - gram + 1
-    grams = _mix((total[gram:] - total[:n]) * down[:n])
+    grams = run_hashes(hashed, gram)
     mask = np.uint64((1 << 28) - 1)
     least = (grams & ~mask) | (mask - np.arange(n, dtype=np.uint64))
     span, have = width - gram + 1, 1
@@ -183,8 +146,10 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, sha: b
 
     marks = materialise(docs.select("key", "text").filter("text is not null").mapInArrow(mark, "key binary, anchor bigint, first int, n int"), "anchors")
     shared = marks.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1")
-    shared = shared.select("anchor", (F.col("times") > FREQUENT).alias("frequent"))
+    # written before it is joined: only joins of plain shuffles are split where a key is hot
+    shared = materialise(shared.select("anchor", (F.col("times") > FREQUENT).alias("frequent")), "shared")
     suspects = marks.join(shared, "anchor").groupBy("key").agg(F.collect_set(F.struct("first", "n", "anchor", "frequent")).alias("runs"))
+    suspects = materialise(suspects, "suspects")
 
     plain = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
     lead = f"{plain}, " if names else ""
@@ -265,9 +230,10 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, sha: b
     reference = pieces.filter("words is not null").select("route", "segment", "words")
     parsed = reference.repartition("route").sortWithinPartitions("route").mapInArrow(parse, "segment binary, a int, b int")
     often = pieces.groupBy("segment").agg(F.count("*").alias("times"), F.first("n").alias("n")).filter("times > 1")
-    repeated = parsed.union(often.select("segment", F.lit(0).alias("a"), F.col("n").alias("b")))
+    repeated = materialise(parsed.union(often.select("segment", F.lit(0).alias("a"), F.col("n").alias("b"))), "repeated")
     spans = pieces.select("segment", "key", "first").join(repeated, "segment").groupBy("key").agg(
         F.collect_set(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))).alias("windows"))
+    spans = materialise(spans, "spans")
 
     def cut(batches):
         for batch in slices(batches, "text"):
