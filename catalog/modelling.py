@@ -9,7 +9,9 @@ from loomtab.operators import explain, isolation, models, reduce as reducing, tu
 from loomtab.operators.split import split
 from loomtab.plans import automl
 from loomtab.plans.report import save_report
+from loomtab.sources.history import RunHistory
 from loomtab.sources.models import load_model, save_model
+from loomtab.sources.tables import StepCheckpoints
 
 from .neighbours import FEATURES, _vectors
 from .registry import query, view, wide_table
@@ -47,12 +49,14 @@ def _trained(spark, sf, name, task, params=None, label=None):
         test_rows.unpersist()
 
 
-FEWER = {"n_estimators": 20}
+# Boosted trees take a fifth of the usual rounds: MLlib runs every level of every round as a job, which on tables of
+# this size is waiting, not work. All other models have their usual settings.
+BOOSTED = {"n_estimators": 20}
 for _name in models.CLASSIFICATION:
-    _params = {"random_forest": FEWER, "mlp": {"max_iter": 40, "hidden_layer_sizes": (16, 8)}}.get(_name, {"n_estimators": 10, "max_depth": 4} if _name in models.BOOSTING else {})
+    _params = BOOSTED if _name in models.BOOSTING else {}
     query(f"train_{_name}_classification")(lambda spark, sf, n=_name, p=_params: _trained(spark, sf, n, "classification", p))
 for _name in models.REGRESSION:
-    _params = FEWER if _name == "random_forest" else {"n_estimators": 10, "max_depth": 4} if _name in models.BOOSTING else {}
+    _params = BOOSTED if _name in models.BOOSTING else {}
     if _name != "linear_regression":
         query(f"train_{_name}_regression")(lambda spark, sf, n=_name, p=_params: _trained(spark, sf, n, "regression", p))
 
@@ -73,7 +77,7 @@ def _clusters(name):
     def run(spark, sf):
         rows = models.assemble(_vectors(spark, sf), FEATURES, ["vec_id"]).persist()
         try:
-            model = models.train(name, rows, FEATURES, "clustering", {"n_init": 3})
+            model = models.train(name, rows, FEATURES, "clustering")
             return model.predict(rows).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
         finally:
             rows.unpersist()
@@ -99,7 +103,7 @@ def train_many(spark, sf):
 def stacking(spark, sf):
     train_rows, test_rows = _parts(spark, sf, HEAVY)
     try:
-        bases = [models.train(n, train_rows, LINE, params=p) for n, p in (("logistic_regression", {}), ("decision_tree", {"max_depth": 4}), ("random_forest", {"n_estimators": 10, "max_depth": 4}))]
+        bases = [models.train(n, train_rows, LINE, params=p) for n, p in (("logistic_regression", {}), ("decision_tree", {"max_depth": 4}), ("random_forest", {}))]
         stacked = models.stack_models(bases, train_rows, "line_key")
         return models.results_table(spark, {"stacking": models.evaluate(stacked, test_rows)})
     finally:
@@ -171,8 +175,8 @@ def _tuned(name, method, space, n_trials):
 
 
 query("tune_grid")(_tuned("decision_tree", "grid", {"max_depth": [2, 4, 6]}, 0))
-query("tune_random")(_tuned("decision_tree", "random", {"max_depth": ("int", 2, 8), "min_samples_leaf": [1, 5, 20]}, 3))
-query("tune_bayesian")(_tuned("decision_tree", "bayesian", None, 7))
+query("tune_random")(_tuned("decision_tree", "random", {"max_depth": ("int", 2, 8), "min_samples_leaf": [1, 5, 20]}, 10))
+query("tune_bayesian")(_tuned("decision_tree", "bayesian", None, 10))
 
 
 # explanation ----------------------------------------------------------------------------------------
@@ -271,7 +275,6 @@ STANDARD = {
     "feature_engineering": {"time_features": True},
     "splitting": {"method": "stratified", "test_size": 0.2},
     "models": ["random_forest", "logistic_regression", "decision_tree"],
-    "model_params": {"random_forest": {"n_estimators": 20, "max_depth": 6}},
 }
 
 
@@ -285,6 +288,24 @@ def flagship(spark, sf):
 query("automl_run")(flagship)
 
 
+@query("run_roundtrip", """
+    select count(*) as n_rows, cast(0 as bigint) as differing, cast(3 as bigint) as steps, cast(1 as bigint) as runs, 'decision_tree' as best_model
+    from orders join customer on o_custkey = c_custkey""")
+def run_roundtrip(spark, sf):
+    """A run that keeps everything, read back: the reloaded run must predict the same for every row."""
+    rows, folder = _orders(spark, sf), new_path(spark, "run")
+    config = {**STANDARD, "models": ["decision_tree"], "shap": False}
+    result = automl.run(rows, "grade", config=config, key="o_orderkey", folder=folder)
+    if result.status != "completed":
+        raise RuntimeError(result.error)
+    keyed = rows.withColumn(automl.KEY, F.col("o_orderkey"))
+    one, two = (r.predict(keyed).select(automl.KEY, F.col("predicted").alias(n)) for r, n in ((result, "a"), (automl.load_run(spark, folder), "b")))
+    both = one.join(two, automl.KEY).agg(F.count("*").alias("n_rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differing"))
+    steps = StepCheckpoints(spark, f"{folder}/steps").log().count()
+    runs = RunHistory(spark, f"{folder}/history").all().collect()
+    return both.select("n_rows", "differing", F.lit(steps).cast("long").alias("steps"), F.lit(len(runs)).cast("long").alias("runs"), F.lit(runs[0]["best_model"]).alias("best_model"))
+
+
 @query("auto_explore")
 def auto_explore(spark, sf):
     config = {"models": ["decision_tree", "logistic_regression"], "shap": False}
@@ -315,3 +336,63 @@ def report_json(spark, sf):
     config = {**STANDARD, "models": ["decision_tree", "logistic_regression"]}
     result = automl.run(_orders(spark, sf), "grade", config=config, key="o_orderkey")
     return save_report(result.report.table(spark), new_path(spark, "report"))
+
+
+# planted rules --------------------------------------------------------------------------------------
+# A label that two columns with few distinct values decide: trees, forests and boosted trees must find it exactly, so SQL
+# can say what they predict for every row.
+PLANTED = "case when l_discount > 0.05 and l_tax < 0.035 then 1 else 0 end"
+LEVEL = "case when l_discount > 0.05 then 3 else 1 end + case when l_tax < 0.035 then 10 else 0 end"
+
+
+def _planted(spark, sf, rule):
+    return models.assemble(_lines(spark, sf, rule), ["l_discount", "l_tax"], ["line_key", "label"])
+
+
+def _planted_query(name, task, rule, params=None):
+    def run(spark, sf):
+        data = _planted(spark, sf, rule).persist()
+        try:
+            model = models.train(name, data, ["l_discount", "l_tax"], task, params)
+            return model.predict(data).groupBy("label", F.round("prediction", 6).alias("prediction")).agg(F.count("*").alias("n"))
+        finally:
+            data.unpersist()
+    sql = f"select cast({rule} as double) as label, cast({rule} as double) as prediction, count(*) as n from lineitem group by 1"
+    query(f"planted_{name}_{task}", sql)(run)
+
+
+for _name in ("decision_tree", "random_forest", *models.BOOSTING):
+    _planted_query(_name, "classification", PLANTED, BOOSTED if _name in models.BOOSTING else None)
+_planted_query("decision_tree", "regression", LEVEL)
+
+
+@query("planted_roundtrip", f"select count(*) as n_rows, cast(0 as bigint) as differing, sum({PLANTED}) as predicted_ones from lineitem")
+def planted_roundtrip(spark, sf):
+    """A saved and reloaded tree predicts as before, and as the rule says."""
+    data, path = _planted(spark, sf, PLANTED), new_path(spark, "model")
+    model = models.train("decision_tree", data, ["l_discount", "l_tax"])
+    save_model(model, spark, path)
+    again = load_model(spark, path).predict(model.predict(data).select("line_key", "label", "features", F.col("prediction").alias("before")))
+    return again.agg(F.count("*").alias("n_rows"), F.count_if(F.col("before") != F.col("prediction")).alias("differing"), F.sum(F.col("prediction").cast("long")).alias("predicted_ones"))
+
+
+@query("planted_importance", "select 'l_discount' as feature, 1.0 as importance union all select 'l_tax', 0.0")
+def planted_importance(spark, sf):
+    """Only one column decides: a tree gives it all the importance."""
+    data = _planted(spark, sf, "case when l_discount > 0.05 then 1 else 0 end")
+    model = models.train("decision_tree", data, ["l_discount", "l_tax"])
+    return spark.createDataFrame([(f, float(v)) for f, v in models.importances(model)], "feature string, importance double")
+
+
+@query("planted_cross_validation", "select 'fold' || i as item, 1.0 as value from range(5) t(i) union all select 'mean', 1.0 union all select 'std', 0.0")
+def planted_cross_validation(spark, sf):
+    cv = tuning.cross_validate("decision_tree", _planted(spark, sf, PLANTED), ["l_discount", "l_tax"], "line_key", method="stratified")
+    rows = [(f"fold{i}", float(s)) for i, s in enumerate(cv.scores)] + [("mean", float(cv.mean)), ("std", float(cv.std))]
+    return spark.createDataFrame(rows, "item string, value double")
+
+
+@query("planted_tuning", "select cast(max_depth as bigint) as max_depth, max_depth >= 2 as perfect from (values (1), (2), (4)) t(max_depth)")
+def planted_tuning(spark, sf):
+    """Grid search: the rule needs two levels, so depth 1 must score below 1 and the others exactly 1."""
+    found = tuning.tune("decision_tree", _planted(spark, sf, PLANTED), ["l_discount", "l_tax"], "line_key", method="grid", space={"max_depth": [1, 2, 4]})
+    return spark.createDataFrame([(p["max_depth"], s == 1.0) for p, s in found.trials], "max_depth long, perfect boolean")

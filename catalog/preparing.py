@@ -362,9 +362,13 @@ def select_mutual_info(spark, sf):
     return select.mutual_information(df, "l_returnflag", "classification", columns=LINE).withColumn("score", F.round("score", 6))
 
 
-@query("select_apply", "select p_partkey, p_name, p_brand, p_type, p_retailprice from part")
+@query("select_apply", " union all ".join(
+    [f"select '{c}' as \"column\", coalesce(abs(corr({c}, p_retailprice)), 0) >= 0.05 as kept from part" for c in ("p_partkey", "p_size")]
+    + [f"select '{c}', true" for c in ("p_name", "p_brand", "p_type", "p_retailprice")]))
 def select_apply(spark, sf):
-    return features.engineer(table(spark, sf, "part"), {"time_features": False, "selection_method": "correlation"}, "p_retailprice", "regression")
+    df = table(spark, sf, "part")
+    kept = set(features.engineer(df, {"time_features": False, "selection_method": "correlation"}, "p_retailprice", "regression").columns)
+    return spark.createDataFrame([(c, c in kept) for c in df.columns], "column string, kept boolean")
 
 
 def _selection(name, fn):
@@ -377,7 +381,7 @@ def _selection(name, fn):
     return run
 
 
-_selection("select_rfe", lambda df: select.recursive_elimination(df, "p_retailprice", 2, "regression", trees=20))
+_selection("select_rfe", lambda df: select.recursive_elimination(df, "p_retailprice", 2, "regression"))
 _selection("select_lasso", lambda df: select.lasso(df, "p_retailprice"))
 _selection("select_ridge", lambda df: select.ridge(df, "p_retailprice"))
-_selection("select_tree", lambda df: select.tree_importance(df, "p_retailprice", "regression", trees=50))
+_selection("select_tree", lambda df: select.tree_importance(df, "p_retailprice", "regression"))

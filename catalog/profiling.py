@@ -122,11 +122,11 @@ def profile_corr_top(spark, sf):
 def _alert_sql():
     cols = [("doc_id", True), ("lang", False), ("source", False), ("n_chars", True), ("quality", True), ("toxic", True)]
     rules = ["""select case when pct > 70 then 'danger' else 'warning' end as level, 'missing' as category, name as "column",
-                printf('Column "%s" has %.1f%% missing values', name, pct) as message from stats where pct > 30""",
-             """select 'danger', 'constant', name, printf('Column "%s" is constant (only 1 unique value)', name) from stats where d <= 1""",
-             """select 'info', 'cardinality', name, printf('Column "%s" has high cardinality (%d unique values)', name, d) from stats where not num and d > 50""",
-             """select 'info', 'skewness', name, printf('Column "%s" is highly skewed (skewness = %.2f)', name, sk) from stats where num and sk > 3""",
-             """select 'warning', 'duplicates', null, printf('%d duplicate rows (%.1f%% of data)', n, n * 100.0 / t)
+                printf('%s: %.1f%% of the cells are empty', name, pct) as message from stats where pct > 30""",
+             """select 'danger', 'constant', name, printf('%s: the same value in every row', name) from stats where d <= 1""",
+             """select 'info', 'cardinality', name, printf('%s: %d different texts', name, d) from stats where not num and d > 50""",
+             """select 'info', 'skewness', name, printf('%s: lopsided, skewness %.2f', name, sk) from stats where num and sk > 3""",
+             """select 'warning', 'duplicates', null, printf('%d repeated rows, %.1f%% of all', n, n * 100.0 / t)
                 from (select count(*) - (select count(*) from (select distinct * from docs_labelled)) as n, count(*) as t from docs_labelled) where n > 0"""]
     stats = " union all ".join(
         f"select '{c}' as name, {str(num).lower()} as num, (count(*) - count({c})) * 100.0 / count(*) as pct, count(distinct {c}) as d, "

@@ -4,8 +4,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtab.sources.tables import spread
-
 Runner = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Runner] = {}
 ORACLE: dict[str, str] = {}
@@ -81,8 +79,8 @@ VIEWS = {
 
 
 def wide_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """For operators with much work per row."""
-    return spread(table(spark, sf, name))
+    """For operators with much work per row: the test tables are one row group each, so they are dealt to all cores."""
+    return table(spark, sf, name).repartition(spark.sparkContext.defaultParallelism)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

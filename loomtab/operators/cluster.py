@@ -11,13 +11,14 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col
+from ..functions.ordering import row_index
 from ..functions.staging import materialise
 from .neighbors import CHUNK_ROWS, DISTANCE_DIGITS, _count_within, _distances, _matrix, distinct_points, grid_dims, radius_blocks, vector_of
 
 NOISE = -1
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node name of each component, from undirected (a, b) edges.
 
     Every round takes the smallest label around a node and then follows labels one step further; each
@@ -25,7 +26,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(max_rounds):
+    while True:
         around = both.join(labels, both["b"] == labels["node"]).groupBy(both["a"].alias("node")).agg(F.min("label").alias("near"))
         stepped = labels.join(around, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
         target = labels.select(F.col("node").alias("t"), F.col("label").alias("t_label"))
@@ -35,7 +36,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels = new.select("node", "label")
         if not changed:
             return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _core_links(eps: float) -> Callable:
@@ -83,10 +83,8 @@ def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5, m
     core_label = core.join(named, core["fine"] == named["node"]).select("id", "first")
     border = links.filter(~F.col("core")).join(named, F.col("near") == F.col("node")).groupBy(F.col("qid").alias("id")).agg(F.min("first").alias("first"))
     firsts = materialise(core_label.unionByName(border), "firsts")
-    numbers = owner.select("first").orderBy("first").collect()  # one row per cluster
-    number = {r["first"]: i for i, r in enumerate(numbers)}
-    code = df.sparkSession.createDataFrame(list(number.items()), "first long, cluster int") if number else None
-    labelled = firsts.join(code, "first") if code is not None else firsts.withColumn("cluster", F.lit(NOISE))
+    code = row_index(owner.select("first"), ["first"], name="cluster").withColumn("cluster", F.col("cluster").cast("int"))
+    labelled = firsts.join(code, "first")
     per_vec = marked.join(labelled.select("id", "cluster"), "id", "left").select("vec", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
     rows = df.na.drop(subset=features).select(col(key), vector_of(features).alias("vec"))
     return rows.join(per_vec, "vec").select(col(key), "cluster")

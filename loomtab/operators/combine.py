@@ -44,7 +44,7 @@ def join_on(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> D
     names = [c for c in l_out.columns if c != on] + [c for c in r_out.columns if c != "__key"]
     if how == "outer":
         matched = l_out.join(r_out, match, "left").select(col(on), *[col(c) for c in names])
-        alone = r_out.join(l_out.select(col(on)), match, "left_anti")
+        alone = r_out.join(l_out.select(col(on)).distinct(), match, "left_anti")
         return matched.unionByName(alone.withColumnRenamed("__key", on), allowMissingColumns=True)
     if how == "right":
         return l_out.join(r_out, match, how).select(col("__key").alias(on), *[col(c) for c in names])

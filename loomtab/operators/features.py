@@ -32,23 +32,28 @@ def _power_name(parts: Sequence[str]) -> str:
     return "_".join(names)
 
 
-def polynomial_terms(columns: Sequence[str], degree: int = 2, interaction_only: bool = False, max_features: int = POLY_NEW) -> list[tuple[str, tuple[str, ...]]]:
+def polynomial_terms(columns: Sequence[str], degree: int = 2, interaction_only: bool = False, max_features: int | None = POLY_NEW) -> list[tuple[str, tuple[str, ...]]]:
     """Names and factors of the terms of degree 2 and more, in graded order."""
     pick = combinations if interaction_only else combinations_with_replacement
     terms = [(_power_name(t), t) for d in range(2, degree + 1) for t in pick(columns, d)]
     return terms[:max_features]
 
 
-def add_polynomial(df: DataFrame, columns: Sequence[str] | None = None, degree: int = 2, interaction_only: bool = False, max_features: int = POLY_NEW, exclude: Sequence[str] = ()) -> DataFrame:
-    columns = list(columns or numeric_columns(df, exclude))
+def add_polynomial(df: DataFrame, columns: Sequence[str] | None = None, degree: int = 2, interaction_only: bool = False, max_features: int | None = POLY_NEW, exclude: Sequence[str] = (), max_columns: int | None = POLY_COLUMNS) -> DataFrame:
+    """Products of the named columns, all of them; without names, of the first ``max_columns`` numeric ones (None: all).
+
+    ``max_features`` bounds the number of new columns (None: all terms).
+    """
+    columns = list(columns) if columns else numeric_columns(df, exclude)[:max_columns]
     if len(columns) < 2:
         return df
-    terms = polynomial_terms(columns[:POLY_COLUMNS], degree, interaction_only, max_features)
+    terms = polynomial_terms(columns, degree, interaction_only, max_features)
     return df.select("*", *[_product(t).alias(n) for n, t in terms])
 
 
-def add_interactions(df: DataFrame, columns: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> DataFrame:
-    columns = list(columns or numeric_columns(df, exclude))[:INTERACTION_COLUMNS]
+def add_interactions(df: DataFrame, columns: Sequence[str] | None = None, exclude: Sequence[str] = (), max_columns: int | None = INTERACTION_COLUMNS) -> DataFrame:
+    """Pairwise products of the named columns, all of them; without names, of the first ``max_columns`` numeric ones (None: all)."""
+    columns = list(columns) if columns else numeric_columns(df, exclude)[:max_columns]
     return df.select("*", *[_product((a, b)).alias(f"{a}_x_{b}") for a, b in combinations(columns, 2)])
 
 
@@ -77,15 +82,17 @@ def _rolling_exprs(columns: Sequence[str], windows: Sequence[int], frame) -> lis
 
 def add_rolling(
     df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None, windows: Sequence[int] = WINDOWS,
-    within: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS,
+    within: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS, max_columns: int | None = ROLLING_COLUMNS,
 ) -> DataFrame:
     """Mean and standard deviation over the last w rows, optionally inside each group.
 
+    All named columns are used; without names, the first ``max_columns`` numeric ones (None: all).
+
     Small groups are plain windows. Without groups, or when one group is larger than a bucket, rows get a
     distributed position, are cut into buckets, and the last rows of each bucket are copied into the next
     one, so no task ever holds a whole group.
     """
-    columns = list(columns or numeric_columns(df, [*order, *within]))[:ROLLING_COLUMNS]
+    columns = list(columns) if columns else numeric_columns(df, [*order, *within])[:max_columns]
     groups = [col(c) for c in within]
     largest = df.groupBy(*groups).agg(F.count("*").alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
     windows = [w for w in windows if largest["all"] and largest["all"] >= w]
@@ -135,6 +142,13 @@ class FeaturePlan:
         return self.select(self.build(df))
 
 
+def _first(plan: FeaturePlan, step: str, columns: list[str], limit: int | None) -> list[str]:
+    """The first ``limit`` columns (None: all); what is left out becomes a fact of the report."""
+    if limit is not None and len(columns) > limit:
+        plan.facts.append(("left out", step, "columns", float(len(columns) - limit)))
+    return columns[:limit]
+
+
 def fit_feature_plan(df: DataFrame, config: dict[str, Any] | None, target: str | None, task: str, exclude: Sequence[str] = ()) -> FeaturePlan:
     """Creation settings, then selection fitted on the created columns. The target is never an input."""
     from .select import select_features  # noqa: PLC0415
@@ -144,19 +158,20 @@ def fit_feature_plan(df: DataFrame, config: dict[str, Any] | None, target: str |
     plan = FeaturePlan(degree=config.get("polynomial_degree", 2))
     numeric = numeric_columns(df, skip)
     if config.get("polynomial") and len(numeric) >= 2:
-        plan.polynomial = numeric[:POLY_COLUMNS]
+        plan.polynomial = _first(plan, "polynomial", numeric, config.get("polynomial_columns", POLY_COLUMNS))
         plan.facts.append(("created", "polynomial", f"degree {plan.degree}", float(len(polynomial_terms(plan.polynomial, plan.degree)))))
     if config.get("interactions"):
         # like every later step, interactions see the columns created before them
         before = numeric_columns(plan.build(df), skip) if plan.polynomial else numeric
-        plan.interactions = before[:INTERACTION_COLUMNS]
+        plan.interactions = _first(plan, "interactions", before, config.get("interaction_columns", INTERACTION_COLUMNS))
         n = len(plan.interactions)
         plan.facts.append(("created", "interactions", "pairs", float(n * (n - 1) // 2)))
     if config.get("aggregations"):
         if not config.get("order"):
             raise ValueError("rolling features need order columns")
-        plan.rolling = {"order": config["order"], "within": config.get("within", ()), "columns": numeric[:ROLLING_COLUMNS]}
-        plan.facts.append(("created", "aggregations", "rolling", float(2 * len(WINDOWS) * len(numeric[:ROLLING_COLUMNS]))))
+        rolled = _first(plan, "aggregations", numeric, config.get("rolling_columns", ROLLING_COLUMNS))
+        plan.rolling = {"order": config["order"], "within": config.get("within", ()), "columns": rolled}
+        plan.facts.append(("created", "aggregations", "rolling", float(2 * len(WINDOWS) * len(rolled))))
     method = config.get("selection_method", config.get("selection"))
     if method and method != "none" and target and target in df.columns:
         built = plan.build(df)

@@ -50,7 +50,10 @@ def available_models(task: str | None = None) -> dict[str, str]:
 
 # estimators ----------------------------------------------------------------------------------------
 def _tree_params(params: dict[str, Any], depth: int) -> dict[str, Any]:
-    out = {"maxDepth": min(30, int(params.get("max_depth") or depth)), "seed": int(params.get("random_state", SEED))}
+    deepest = int(params.get("max_depth") or depth)
+    if deepest > 30:
+        raise ValueError("trees deeper than 30 levels are not supported")
+    out = {"maxDepth": deepest, "seed": int(params.get("random_state", SEED))}
     leaf = max(int(params.get("min_samples_leaf", 1)), -(-int(params.get("min_samples_split", 2)) // 2))
     out["minInstancesPerNode"] = leaf
     if "max_bins" in params:
@@ -88,10 +91,10 @@ def make_estimator(name: str, task: str, params: dict[str, Any], n_rows: int, n_
         if not classify:
             return GBTRegressor(**_boosting(name, params))
         base = GBTClassifier(**_boosting(name, params))
-        return base if n_classes <= 2 else OneVsRest(classifier=base)
+        return base if n_classes <= 2 else OneVsRest(classifier=base, parallelism=4)
     if name == "svm" and classify:
         base = LinearSVC(regParam=1.0 / (float(params.get("C", 1.0)) * n_rows), maxIter=int(params.get("max_iter", 100)))
-        return base if n_classes <= 2 else OneVsRest(classifier=base)
+        return base if n_classes <= 2 else OneVsRest(classifier=base, parallelism=4)
     if name == "svm":
         return LinearRegression(loss="huber", maxIter=int(params.get("max_iter", 100)))
     if name == "mlp" and classify:

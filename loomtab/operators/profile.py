@@ -11,7 +11,7 @@ from ..functions.columns import (
 )
 from ..functions.quantiles import exact_quantiles
 
-PAIRS_PER_PASS = 200
+PAIRS_PER_PASS = 50
 
 
 def chunks(items: Sequence, size: int) -> list[Sequence]:
@@ -19,15 +19,23 @@ def chunks(items: Sequence, size: int) -> list[Sequence]:
 
 
 # one row about the table ---------------------------------------------------------------------------
+def _row_groups(df: DataFrame, *also: Column) -> DataFrame:
+    """Identical rows together, by a 128-bit hash of the row with its missing cells marked: only hashes are shuffled."""
+    gaps = F.concat(F.lit(""), *[F.when(col(c).isNull(), "1").otherwise("0") for c in df.columns])
+    cells = [col(c) for c in df.columns]
+    keys = (F.xxhash64(F.lit(1), gaps, *cells).alias("__a"), F.xxhash64(F.lit(2), gaps, *cells[::-1]).alias("__b"))
+    return df.select(*keys, *also).groupBy("__a", "__b")
+
+
 def overview(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells, duplicates: identical rows are counted once and weighted."""
-    grouped = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("__n"))
     nulls = sum((F.when(col(c).isNull(), 1).otherwise(0) for c in df.columns), F.lit(0))
+    grouped = _row_groups(df, nulls.alias("__nulls")).agg(F.count("*").alias("__n"), F.sum("__nulls").alias("__nulls"))
     cells = F.col("n_rows") * F.lit(len(df.columns))
     return grouped.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicates"),
-        F.coalesce(F.sum(F.col("__n") * nulls), F.lit(0)).alias("total_missing"),
+        F.coalesce(F.sum("__nulls"), F.lit(0)).alias("total_missing"),
     ).select(
         "n_rows",
         F.lit(len(df.columns)).alias("n_columns"),
@@ -41,8 +49,7 @@ def overview(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each identical group; missing equals missing."""
-    grouped = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("__n"))
-    return grouped.agg(
+    return _row_groups(df).agg(F.count("*").alias("__n")).agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicates"),
     )
@@ -163,6 +170,8 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, digits: in
         low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         aggs.append(count_when((col(c) < F.lit(low)) | (col(c) > F.lit(high))).alias(f"o{i}"))
         exprs[c] = [F.round(F.lit(low), digits), F.round(F.lit(high), digits), F.col(f"o{i}")]
+    if not aggs:
+        return df.sparkSession.createDataFrame([], "column string, lower_bound double, upper_bound double, outliers bigint")
     return to_long(df.agg(*aggs), exprs, ["lower_bound", "upper_bound", "outliers"])
 
 
@@ -183,6 +192,8 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 1
         entries.append(F.struct(F.lit(c).alias("column"), place.cast("int").alias("bin")))
         width = (high - low) / bins
         zero_rows += [(c, b, round(low + b * width, 4), round(low + (b + 1) * width, 4)) for b in range(bins)]
+    if not entries:
+        return df.sparkSession.createDataFrame([], "column string, bin int, left_edge double, right_edge double, n bigint")
     counted = (
         df.select(F.inline(F.array(*entries))).filter(F.col("bin").isNotNull())
         .groupBy("column", "bin").agg(F.count("*").alias("n"))
@@ -263,20 +274,16 @@ def feature_ranges(df: DataFrame, columns: Sequence[str] | None = None, digits:
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(col1, col2, correlation) for i < j, each over the rows where both are present.
 
-    Pairs of columns, not of rows: each row adds one entry per pair to a partial aggregate of its task.
+    Plain aggregates, ``PAIRS_PER_PASS`` at a time: a row stays one row.
     """
     columns = list(columns or numeric_columns(df))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col1 string, col2 string, correlation double")
-    entries = [
-        F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), col(a).cast("double").alias("x"), col(b).cast("double").alias("y"))
-        for a, b in pairs
-    ]
     out = None
-    for part in chunks(entries, PAIRS_PER_PASS):
-        long = df.select(F.inline(F.array(*part)))
-        one = long.groupBy("col1", "col2").agg(F.nanvl(F.corr("x", "y"), F.lit(None).cast("double")).alias("correlation"))
+    for part in chunks(pairs, PAIRS_PER_PASS):
+        wide = df.agg(*[F.nanvl(F.corr(col(a).cast("double"), col(b).cast("double")), F.lit(None).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(part)])
+        one = wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"r{i}").alias("correlation")) for i, (a, b) in enumerate(part)])))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -325,34 +332,34 @@ def quality_alerts(df: DataFrame) -> DataFrame:
 
     rules = [alert(
         F.lit(repeated > 0), F.lit("warning"), "duplicates", None,
-        F.format_string("%d duplicate rows (%.1f%% of data)", F.lit(repeated), F.lit(repeated) * 100.0 / F.greatest(n, F.lit(1))),
+        F.format_string("%d repeated rows, %.1f%% of all", F.lit(repeated), F.lit(repeated) * 100.0 / F.greatest(n, F.lit(1))),
     )]
     for i, c in enumerate(df.columns):
         share = F.try_divide((n - F.col(f"f{i}")) * 100.0, n)
         distinct = F.col(f"d{i}")
         rules.append(alert(
             share > 30, F.when(share > 70, "danger").otherwise("warning"), "missing", c,
-            F.format_string('Column "%s" has %.1f%% missing values', F.lit(c), share),
+            F.format_string('%s: %.1f%% of the cells are empty', F.lit(c), share),
         ))
         rules.append(alert(
             distinct <= 1, F.lit("danger"), "constant", c,
-            F.format_string('Column "%s" is constant (only 1 unique value)', F.lit(c)),
+            F.format_string('%s: the same value in every row', F.lit(c)),
         ))
         if c in text:
             rules.append(alert(
                 distinct > 50, F.lit("info"), "cardinality", c,
-                F.format_string('Column "%s" has high cardinality (%d unique values)', F.lit(c), distinct),
+                F.format_string('%s: %d different texts', F.lit(c), distinct),
             ))
         if c in numeric:
             skew = F.abs(F.when(F.col(f"s{i}") > 0, sample_skewness(F.col(f"g{i}"), F.col(f"f{i}"))))
             rules.append(alert(
                 skew > 3, F.lit("info"), "skewness", c,
-                F.format_string('Column "%s" is highly skewed (skewness = %.2f)', F.lit(c), skew),
+                F.format_string('%s: lopsided, skewness %.2f', F.lit(c), skew),
             ))
     found = F.array_compact(F.array(*rules))
     clean = F.array(F.struct(
         F.lit("success").alias("level"), F.lit("quality").alias("category"), F.lit(None).cast("string").alias("column"),
-        F.lit("No data quality issues detected").alias("message"),
+        F.lit("nothing found").alias("message"),
     ))
     return wide.select(F.inline(F.when(F.size(found) > 0, found).otherwise(clean)))
 

@@ -70,13 +70,12 @@ def label_index(target: str, classes: list[str]):
 
 
 def find_datetime_column(df: DataFrame) -> str | None:
-    """First date column, else the first text column whose first five values all parse."""
+    """First date column, else the first text column with values that all parse; one pass over all text columns."""
     for f in df.schema:
         if is_temporal(f.dataType):
             return f.name
-    for c in text_columns(df):
-        values = df.select(col(c).alias("v")).filter(F.col("v").isNotNull()).limit(5)
-        parsed = values.agg(F.count("*").alias("n"), F.count(F.try_to_timestamp("v")).alias("ok")).first()
-        if parsed["n"] and parsed["n"] == parsed["ok"]:
-            return c
-    return None
+    names = text_columns(df)
+    if not names:
+        return None
+    row = df.agg(*[f.alias(f"{t}{i}") for i, c in enumerate(names) for t, f in (("n", F.count(col(c))), ("ok", F.count(F.try_to_timestamp(col(c)))))]).first()
+    return next((c for i, c in enumerate(names) if row[f"n{i}"] and row[f"n{i}"] == row[f"ok{i}"]), None)

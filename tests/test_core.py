@@ -186,3 +186,44 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(120) if i != 60], "a string, b string")
     out = {r["node"]: r["component"] for r in cluster.connected_components(edges).collect()}
     assert out["n060"] == "n000" and out["n120"] == "n061"
+
+
+def test_quantiles_of_extreme_and_uneven_values(spark):
+    import numpy as np
+    from loomtab.functions.quantiles import exact_quantiles
+    rng = np.random.default_rng(5)
+    wide = np.concatenate([rng.standard_normal(3000) * 1e308 / 4, [1.7e308, -1.7e308, 5e-324, -5e-324, 0.0, -0.0]])
+    heavy = np.concatenate([np.exp(rng.standard_normal(3000) * 100), np.full(1600, 0.125), -np.exp(rng.standard_normal(40) * 200)])
+    n = min(len(wide), len(heavy))
+    rng.shuffle(wide), rng.shuffle(heavy)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(wide[:n], heavy[:n])], "a double, b double")
+    asked = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = exact_quantiles(df, {"a": asked, "b": asked})
+    for c, values in (("a", wide[:n]), ("b", heavy[:n])):
+        order = np.sort(values)
+        for p, v in zip(asked, got[c]):
+            at = (n - 1) * p
+            low, high = order[int(np.floor(at))], order[int(np.ceil(at))]
+            assert low <= v <= high, (c, p)
+
+
+def test_duplicates_by_row_hash_tell_gaps_apart(spark):
+    from loomtab.operators.profile import duplicate_rows, overview
+    rows = [(None, "a"), ("a", None), ("a", "a"), (None, None), ("a", None), (None, None)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert tuple(duplicate_rows(df).first()) == (6, 2)
+    assert overview(df).first()["total_missing"] == 7
+
+
+def test_profiles_of_empty_columns(spark):
+    from loomtab.operators.profile import histogram, iqr_outliers
+    df = spark.createDataFrame([(None, None)], "x double, y double")
+    assert histogram(df).count() == 0 and iqr_outliers(df).count() == 0
+
+
+def test_named_columns_are_all_used(spark):
+    from loomtab.operators.features import add_interactions
+    names = [f"c{i}" for i in range(10)]
+    df = spark.createDataFrame([tuple(float(i) for i in range(10))], ", ".join(f"{n} double" for n in names))
+    assert len(add_interactions(df, names).columns) == 10 + 45
+    assert len(add_interactions(df).columns) == 10 + 28
