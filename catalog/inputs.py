@@ -94,6 +94,21 @@ def runs_delete(spark, sf):
     return runs.all().groupBy("best_model").agg(F.count("*").alias("n_runs"))
 
 
+@query("runs_clear", f"with runs as ({RUN_ROWS}) select count(*) as removed, cast(0 as bigint) as n_left from runs")
+def runs_clear(spark, sf):
+    runs = _history(spark, sf)
+    removed = runs.clear()
+    return runs.all().agg(F.count("*").alias("n_left")).withColumn("removed", F.lit(removed).cast("long"))
+
+
+@query("src_load_csv", "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
+def src_load_csv(spark, sf):
+    """The table written as CSV with a header and read back with inferred types."""
+    path = new_path(spark, "customer") + ".csv"
+    table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment").write.option("header", True).csv(path)
+    return load_table(spark, path)
+
+
 @query("preview_head", """
     select c_custkey, concat('{"c_custkey":', c_custkey, ',"c_name":"', c_name, '","c_nationkey":', c_nationkey,
            ',"c_mktsegment":"', c_mktsegment, '"}') as record

@@ -140,6 +140,18 @@ def outlier_remove(spark, sf):
     return _outlier_rows(clean.handle_outliers(view(spark, sf, "customer_outlier"), "iqr", "remove", OUT_COLUMNS))
 
 
+def _z_limits(c):
+    return f"(select avg({c}) - 3 * stddev_pop({c}) as lo, avg({c}) + 3 * stddev_pop({c}) as hi from customer_outlier)"
+
+
+@query("outlier_remove_zscore", over("customer_outlier", f"""
+    select c_custkey, round(c_acctbal, 6) as c_acctbal, round(balance_gaps, 6) as balance_gaps
+    from customer_outlier, {_z_limits('c_acctbal')} a, {_z_limits('balance_gaps')} b
+    where c_acctbal between a.lo and a.hi and balance_gaps between b.lo and b.hi"""))
+def outlier_remove_zscore(spark, sf):
+    return _outlier_rows(clean.handle_outliers(view(spark, sf, "customer_outlier"), "zscore", "remove", OUT_COLUMNS))
+
+
 CLEANED = f"""
     d as (select distinct * from customer_mess),
     k as (select c_custkey, c_nationkey, c_mktsegment, case when c_acctbal is null then null else least(greatest(c_acctbal, lo), hi) end as c_acctbal

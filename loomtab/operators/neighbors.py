@@ -22,6 +22,7 @@ CHUNK_ROWS = 2048
 MAX_CELLS = 1024
 BROADCAST_CELLS = 100_000
 DISTANCE_DIGITS = 9
+MAX_GROUPS = 10_000
 CLASS_GAP = 1e12
 NO_NEED = -1
 
@@ -235,10 +236,16 @@ def knn_join(df: DataFrame, key: str, features: Sequence[str], k: int = 5, withi
     """The k nearest other rows of each row as (key, neighbor, distance, rank).
 
     ``key`` is a unique whole number; ties go to the smaller key. Rows with a missing feature take no part.
-    With ``within`` only rows of the same (numeric) group are neighbours.
+    With ``within`` only rows of the same group (of any type, at most ``MAX_GROUPS`` groups) are neighbours.
     """
     parts = [*features]
-    extra = [col(within).cast("double") * F.lit(CLASS_GAP)] if within else []
+    extra = []
+    if within:
+        found = df.select(col(within).cast("string").alias("g")).filter("g is not null").distinct().limit(MAX_GROUPS + 1).collect()
+        if len(found) > MAX_GROUPS:
+            raise ValueError(f"{within!r} has more than {MAX_GROUPS} groups")
+        numbers = F.create_map(*[F.lit(v) for i, g in enumerate(sorted(r["g"] for r in found)) for v in (g, float(i))]) if found else F.lit(None)
+        extra = [(F.try_element_at(numbers, col(within).cast("string")) if found else F.lit(0.0)) * F.lit(CLASS_GAP)]
 
     def shaped(t: DataFrame, name: str) -> DataFrame:
         rows = t.na.drop(subset=[*parts, *([within] if within else [])])

@@ -35,6 +35,9 @@ def task_per_column(df: DataFrame) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
+MAX_CLASSES = 10_000
+
+
 def detect_task(df: DataFrame, target: str) -> str:
     if target not in df.columns:
         raise ValueError(f"target column {target!r} not found")
@@ -49,18 +52,24 @@ def detect_task(df: DataFrame, target: str) -> str:
 
 
 def prepare_label(df: DataFrame, target: str, task: str, name: str = "label") -> tuple[DataFrame, list[str] | None]:
-    """Add a double label. Classes that are not numeric are numbered in sorted order.
+    """Add a double label. Classes are numbered in sorted order unless they already are the numbers 0, 1, 2 and so on.
 
-    Returns the table and the sorted class names (None for a numeric target). Rows without a target are
-    kept with a missing label.
+    Returns the table and the sorted class names (None if the target is the label already). Rows without a target are
+    kept with a missing label. More than ``MAX_CLASSES`` classes are an error.
     """
     dtype = df.schema[target].dataType
     if task == "regression":
         return df.withColumn(name, col(target).cast("double")), None
-    if is_numeric(dtype) or isinstance(dtype, T.BooleanType):
+    if isinstance(dtype, T.BooleanType):
         return df.withColumn(name, col(target).cast("int").cast("double")), None
-    found = [r[0] for r in df.select(col(target).cast("string")).distinct().filter(col(target).isNotNull()).collect()]
-    classes = sorted(found)
+    seen = df.select(col(target).cast("string").alias("c")).filter("c is not null").distinct().limit(MAX_CLASSES + 1)
+    found = [r["c"] for r in seen.collect()]
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{target!r} has more than {MAX_CLASSES} classes")
+    numeric = is_numeric(dtype)
+    classes = sorted(found, key=float) if numeric else sorted(found)
+    if numeric and [float(c) for c in classes] == list(range(len(classes))):
+        return df.withColumn(name, col(target).cast("double")), None
     return df.withColumn(name, label_index(target, classes)), classes
 
 

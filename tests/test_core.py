@@ -227,3 +227,16 @@ def test_named_columns_are_all_used(spark):
     df = spark.createDataFrame([tuple(float(i) for i in range(10))], ", ".join(f"{n} double" for n in names))
     assert len(add_interactions(df, names).columns) == 10 + 45
     assert len(add_interactions(df).columns) == 10 + 28
+
+
+def test_labels_of_any_kind(spark):
+    from loomtab.operators.balance import smote
+    from loomtab.operators.roles import prepare_label
+    df = spark.createDataFrame([(i, [3, 7, -1][i % 3], float(i % 5), float(i % 7)) for i in range(30)], "id long, y int, a double, b double")
+    out, classes = prepare_label(df, "y", "classification")
+    assert classes == ["-1", "3", "7"] and {(r.y, r.label) for r in out.collect()} == {(-1, 0.0), (3, 1.0), (7, 2.0)}
+    kept, none = prepare_label(df.selectExpr("id % 3 as y"), "y", "classification")
+    assert none is None and {r.label for r in kept.collect()} == {0.0, 1.0, 2.0}
+    text = df.selectExpr("id", "a", "b", "case when id % 5 = 0 then 'rare' else 'usual' end as kind")
+    counts = {r["kind"]: r["count"] for r in smote(text, "id", ["a", "b"], "kind").groupBy("kind").count().collect()}
+    assert counts == {"rare": 24, "usual": 24}
