@@ -38,23 +38,46 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node of each node's tree over the edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
 def _core_links(eps: float) -> Callable:
-    """For each query, the fine cells of the core points within the radius: distinct cells, not pairs of points."""
+    """Which fine cells of core points hang together inside a block, as a forest: each cell with the root of its tree.
+
+    A border query gets one row per tree that reaches it. So a block returns at most one row per cell or border point
+    and tree, however dense it is.
+    """
     def link(key, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"qid": pd.Series(dtype="int64"), "fine": pd.Series(dtype=str), "near": pd.Series(dtype=str), "core": pd.Series(dtype=bool)})
         if not len(queries) or not len(points):
             return empty
         near = np.round(_distances(_matrix(queries["vec"]), _matrix(points["vec"])), DISTANCE_DIGITS) <= eps
-        fines, code = np.unique(points["fine"].to_numpy().astype(str), return_inverse=True)
         rows, cols = np.nonzero(near)
         if not len(rows):
             return empty
-        pairs = np.unique(np.stack([rows, code[cols]], axis=1), axis=0)
-        q = queries.iloc[pairs[:, 0]]
-        out = pd.DataFrame({"qid": q["qid"].to_numpy(), "fine": q["fine"].to_numpy(), "near": fines[pairs[:, 1]], "core": q["core"].to_numpy()})
-        # core queries only matter through their cell
-        core = out[out["core"]].drop_duplicates(["fine", "near"])
-        return pd.concat([core, out[~out["core"]]])
+        m = len(queries)
+        names, code = np.unique(np.concatenate([queries["fine"].to_numpy().astype(str), points["fine"].to_numpy().astype(str)]), return_inverse=True)
+        core = queries["core"].to_numpy().astype(bool)
+        linked = core[rows]
+        root = _roots(len(names), code[rows[linked]], code[m + cols[linked]])
+        # a cell takes part if it holds core points: those of core queries, and all of the points
+        cells = np.unique(np.concatenate([code[:m][core], code[m:]]))
+        forest = pd.DataFrame({"qid": 0, "fine": names[cells], "near": names[root[cells]], "core": True})
+        pairs = np.unique(np.stack([rows[~linked], root[code[m + cols[~linked]]]], axis=1), axis=0)
+        border = queries.iloc[pairs[:, 0]]
+        reached = pd.DataFrame({"qid": border["qid"].to_numpy(), "fine": border["fine"].to_numpy(), "near": names[pairs[:, 1]], "core": False})
+        return pd.concat([forest, reached]).astype({"qid": "int64"})
     return link
 
 
