@@ -239,19 +239,19 @@ def _verify(groups: DataFrame, texts: DataFrame, threshold: float, n: int) -> Da
 
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS,
                  recall: float = RECALL) -> DataFrame:
-    """(key, class_id, n_links, component_id), one row per row of ``df``.
+    """(key, copies_id, n_links, class_id), one row per row of ``df``.
 
     Two rows are linked if the Jaccard similarity of their sets of ``words``-word shingles is at least the threshold (words:
-    parted by ASCII white space, unchanged; a shorter text is one shingle). ``class_id``: the smallest key with the same
-    shingle set. ``n_links``: other rows linked directly, copies included. ``component_id``: the smallest key reachable by
-    links. Null, empty and blank texts have no shingles: no links, class and component are their own key. ``key`` should
+    parted by ASCII white space, unchanged; a shorter text is one shingle). ``copies_id``: the smallest key with the same
+    shingle set. ``n_links``: other rows linked directly, copies included. ``class_id``: the smallest key reachable by
+    links, the row's own included. Null, empty and blank texts have no shingles: no links, class and component are their own key. ``key`` should
     identify rows; rows that repeat a key are counted as further copies. An empty table gives no rows. Other columns
     of ``df`` are not read.
     """
     docs = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     docs = docs.withColumn("tkey", text_key(F.col("text")))
     signed = materialise(_signatures(docs.filter("text is not null"), words), "signed")
-    classes = signed.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.min("labels").alias("labels"),
+    classes = signed.groupBy("class").agg(F.min("id").alias("copies_id"), F.count("*").alias("copies"), F.min("labels").alias("labels"),
                                          F.min_by("tkey", F.struct(F.col("id").isNull(), "id", "tkey")).alias("tkey"))
     classes = materialise(classes, "classes")
     depth = forest_depth(threshold, recall)
@@ -259,10 +259,10 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
         found = materialise(_candidates(classes, depth, threshold), "pairs")
         ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
         groups = materialise(components(ends, found).withColumnRenamed("node", "class"), "groups")
-        one = groups.join(classes.select("class", "class_id", "copies", F.col("tkey").alias("its_key")), "class")
+        one = groups.join(classes.select("class", "copies_id", "copies", F.col("tkey").alias("its_key")), "class")
         # the text of one row per class of a group
-        at = (F.col("tkey") == F.col("its_key")) & F.col("id").eqNullSafe(F.col("class_id"))
-        texts = docs.join(one.select("class_id", "class", "its_key"), at).dropDuplicates(["class"]).select("class", "text")
+        at = (F.col("tkey") == F.col("its_key")) & F.col("id").eqNullSafe(F.col("copies_id"))
+        texts = docs.join(one.select("copies_id", "class", "its_key"), at).dropDuplicates(["class"]).select("class", "text")
         verified = materialise(_verify(one.select("component", "class", "copies"), texts, threshold, words), "verified")
         seen = verified.filter("s is not null").groupBy("s").agg(F.sum("links").alias("n")).collect()  # at most 1001 rows
         chance = {r.s: 1 - (1 - min(1.0, r.s + 0.0005) ** depth) ** TREES for r in seen}
@@ -271,21 +271,21 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
             break
         depth -= 1
     counts = verified.filter("class is not null").groupBy("class").agg(F.sum("links").alias("links"))
-    nodes = classes.select(F.col("class_id").alias("node")).distinct()
+    nodes = classes.select(F.col("copies_id").alias("node")).distinct()
     named = verified.filter("a is not null").select("a", "b")
-    named = named.join(classes.select(F.col("class").alias("a"), F.col("class_id").alias("x")), "a").join(
-        classes.select(F.col("class").alias("b"), F.col("class_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    named = named.join(classes.select(F.col("class").alias("a"), F.col("copies_id").alias("x")), "a").join(
+        classes.select(F.col("class").alias("b"), F.col("copies_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     joined = components(nodes, named)
-    rows = classes.join(counts, "class", "left").join(joined, F.col("class_id") == F.col("node"), "left").select(
-        "class", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
-    with_words = signed.select("id", "class").join(rows, "class").select(F.col("id").alias(key), "class_id", "n_links", "component_id")
+    rows = classes.join(counts, "class", "left").join(joined, F.col("copies_id") == F.col("node"), "left").select(
+        "class", "copies_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("component").alias("class_id"))
+    with_words = signed.select("id", "class").join(rows, "class").select(F.col("id").alias(key), "copies_id", "n_links", "class_id")
     none = docs.filter(F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
-    return with_words.union(none.select(F.col("id").alias(key), F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")))
+    return with_words.union(none.select(F.col("id").alias(key), F.col("id").alias("copies_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("class_id")))
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``df`` with one row per group of near copies: the one with the smallest key. Rows that repeat a key stay together."""
-    found = jaccard_join(df, key, text, **settings).select(F.col(key).alias("__k"), F.col("component_id").alias("__c")).distinct()
+    found = jaccard_join(df, key, text, **settings).select(F.col(key).alias("__k"), F.col("class_id").alias("__c")).distinct()
     keep = found.filter(F.col("__k").eqNullSafe(F.col("__c"))).select("__k")
     return df.join(keep, F.col(f"`{key}`").eqNullSafe(F.col("__k")), "left_semi")
 
@@ -302,6 +302,6 @@ size as (select doc_id, count(*) as n from gram group by doc_id),
 pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from gram a join gram b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
 link as (select x, y, c = sx.n and c = sy.n as same from pairs join size sx on x = sx.doc_id join size sy on y = sy.doc_id where c >= 0.8e0 * (sx.n + sy.n - c) - 1e-9),
 reach(a, b) as (select doc_id, doc_id from documents union select reach.a, link.y from reach join link on reach.b = link.x)
-select d.doc_id, least(d.doc_id, (select min(y) from link where x = d.doc_id and same)) as class_id,
-       (select count(*) from link where x = d.doc_id) as n_links, (select min(b) from reach where a = d.doc_id) as component_id
+select d.doc_id, least(d.doc_id, (select min(y) from link where x = d.doc_id and same)) as copies_id,
+       (select count(*) from link where x = d.doc_id) as n_links, (select min(b) from reach where a = d.doc_id) as class_id
 from documents d"""
