@@ -49,7 +49,7 @@ def dbscan(spark, sf):
     return cluster.dbscan(_vectors(spark, sf), "vec_id", FEATURES, EPS, 5)
 
 
-GAP_DIMS = 8
+GAP_DIMS = DIMS
 GAPS = FEATURES[:GAP_DIMS]
 
 
@@ -94,9 +94,20 @@ def smote(spark, sf):
     return out.select("vec_id", *[F.round(c, 6).alias(c) for c in FEATURES], "rare", "synthetic")
 
 
-@query("adasyn")
+def _made(extra: str = "") -> str:
+    return f"""select vec_id || '#' || i as vec_id, {', '.join(f'round(v[{j + 1}] + u * (w[{j + 1}] - v[{j + 1}]), 6) as e{j}' for j in range(DIMS))}, 1 as rare, true as synthetic from made
+    union all select vec_id::varchar, {', '.join(f'round(v[{j + 1}], 6)' for j in range(DIMS))}, rare, false from emb"""
+
+
+ADASYN = SMOTE.replace(SMOTE[SMOTE.index("    asked as"):SMOTE.index("    made as")], """    share as (select q as vec_id, avg((y.rare <> 1)::double) as r from near join emb x on x.vec_id = q join emb y on y.vec_id = s where x.rare = 1 and rn <= 5 group by 1),
+    asked as (select mine.vec_id, v, unnest(range(round_even(r * (top - n) / (select sum(r) from share), 0)::bigint)) as i from share join mine using (vec_id), sizes),
+""")
+
+
+@query("adasyn", f"with {EMB}, {NEAR}, {ADASYN} {_made()}")
 def adasyn(spark, sf):
-    return balance.adasyn(_vectors(spark, sf), "vec_id", FEATURES, "rare")
+    out = balance.adasyn(_vectors(spark, sf), "vec_id", FEATURES, "rare")
+    return out.select("vec_id", *[F.round(c, 6).alias(c) for c in FEATURES], "rare", "synthetic")
 
 
 @query("tomek_links", f"""
@@ -115,9 +126,18 @@ def enn(spark, sf):
     return balance.enn(_vectors(spark, sf), "vec_id", FEATURES, "rare").select("vec_id", "rare")
 
 
-@query("smote_enn")
+@query("smote_enn", f"""
+    with {EMB}, {SMOTE},
+    grown as materialized (
+      select vec_id || '#' || i as id, list_transform(range({DIMS}), lambda j: v[j + 1] + u * (w[j + 1] - v[j + 1])) as v, 1 as rare, true as synthetic from made
+      union all select vec_id::varchar, v, rare, false from emb),
+    close as (select q, other, row_number() over (partition by q order by d, s) as rn from (
+      select a.id as q, b.id as s, b.rare <> a.rare as other, {DIST} as d from grown a join grown b on a.id <> b.id))
+    select id as vec_id, {', '.join(f'round(v[{j + 1}], 6) as e{j}' for j in range(DIMS))}, rare, synthetic from grown
+    where id not in (select q from close where rn <= 3 and other)""")
 def smote_enn(spark, sf):
-    return balance.smote_enn(_vectors(spark, sf), "vec_id", FEATURES, "rare")
+    out = balance.smote_enn(_vectors(spark, sf), "vec_id", FEATURES, "rare")
+    return out.select("vec_id", *[F.round(c, 6).alias(c) for c in FEATURES], "rare", "synthetic")
 
 
 @query("imbalance_report", f"""
