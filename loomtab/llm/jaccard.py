@@ -244,9 +244,9 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     Two rows are linked if the Jaccard similarity of their sets of ``words``-word shingles is at least the threshold (words:
     parted by ASCII white space, unchanged; a shorter text is one shingle). ``copies_id``: the smallest key with the same
     shingle set. ``n_links``: other rows linked directly, copies included. ``class_id``: the smallest key reachable by
-    links, the row's own included. Null, empty and blank texts have no shingles: no links, class and component are their own key. ``key`` should
-    identify rows; rows that repeat a key are counted as further copies. An empty table gives no rows. Other columns
-    of ``df`` are not read.
+    links, the row's own included. Null, empty and blank texts have no shingles: no links, both ids are their own key.
+    ``key`` should identify rows; rows that repeat a key are counted as further copies. An empty table gives no rows.
+    Other columns of ``df`` are not read.
     """
     docs = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     docs = docs.withColumn("tkey", text_key(F.col("text")))

@@ -8,13 +8,11 @@ fuller bin gets fuller. Bins that lose their last piece are gone.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import raw, slices
+from .common import slices
 from .tokens import Id, encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -38,7 +36,7 @@ def pieces(documents: DataFrame, text: str = "text", path: str | None = None, ca
         end = np.array([END], dtype=Id).tobytes()
         for batch in slices(batches, "__text"):
             rows, out = [], ([], [], [], [])
-            for i, ids in enumerate(encode([(t or b"").decode() for t in raw(batch.column("__text"))])):
+            for i, ids in enumerate(encode([t or "" for t in batch.column("__text").to_pylist()])):
                 ids += end
                 total = len(ids) // 4
                 at, k = 0, 0

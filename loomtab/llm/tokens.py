@@ -17,7 +17,7 @@ import regex
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _UNSAFE = re.compile(r" \s|\s |\A | \Z")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")  # fixed: the vocabulary's own pattern
-_MEMORY = 400_000  # pieces and words remembered; then the memory starts anew
+_MEMORY = 400_000  # pieces and words remembered, half of them young
 
 Id = np.dtype("<u4")
 
@@ -44,8 +44,14 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # control strings inside a text are ordinary text
         self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def _age(self, most: int) -> None:
+        """Start a new memory when the young one is full; what is asked again comes over from the old one."""
+        if len(self.known) + len(self.words) > most:
+            self.old, self.known, self.words = self.known, {}, {}
+
     def _pieces(self, text: str) -> list[str]:
         parts = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
         # the first piece has no space before it: it is marked by one that no later piece can start with
@@ -57,6 +63,8 @@ class Encoder:
         plain = word[0] == " " and word[1:].isalpha()  # as a piece of its own
         memory, name = (self.known, word[1:]) if plain else (self.words, word)
         found = memory.get(name)
+        if found is None and plain and (found := self.old.get(name)) is not None:
+            memory[name] = found
         if found is None:
             spelt = "\u0120" + name if plain and name.isascii() else word.encode().decode("latin-1").translate(_BYTES)
             found = memory[name] = array("I", [x.id for x in self.merge(spelt)]).tobytes()
@@ -65,8 +73,11 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         if piece.isalpha():  # letters after a space are one word of the pre-tokenizer
             return self._word(" " + piece)
+        ids = self.old.get(piece)
         own = piece[1:] if piece[:1] == "\n" else " " + piece
-        if own.isascii() or max(own, default="") < "\u0250":
+        if ids is not None:
+            pass
+        elif own.isascii() or max(own, default="") < "\u0250":
             ids = b"".join(map(self._word, _WORDS.findall(own)))
         else:  # leave other scripts and symbols to the library's own character classes
             ids = array("I", self.tokenizer.encode(own, add_special_tokens=False).ids).tobytes()
@@ -75,17 +86,20 @@ class Encoder:
 
     def words_after_space(self, words: list[bytes]) -> list[bytes]:
         """The ids of single words, none empty, each as it stands after a space."""
-        if len(self.known) + len(self.words) > _MEMORY // 4:
-            self.known.clear()
-            self.words.clear()
-        return [self._piece(w.decode()) for w in words]
+        self._age(_MEMORY // 8)
+        out, merge = [], self.merge
+        for w in words:
+            p = w.decode()
+            if p.isalpha():  # distinct words are not worth remembering
+                out.append(array("I", [x.id for x in merge("\u0120" + (p if p.isascii() else w.decode("latin-1").translate(_BYTES)))]).tobytes())
+            else:
+                out.append(self._piece(p))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. No special tokens are added."""
         pieces = [self._pieces(t) if t else [] for t in texts]
-        if len(self.known) + len(self.words) > _MEMORY:
-            self.known.clear()
-            self.words.clear()
+        self._age(_MEMORY // 2)
         get, out = self.known.get, []
         for own in pieces:
             found = list(map(get, own))
