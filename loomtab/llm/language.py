@@ -99,7 +99,22 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", smoothing: float
     return Model(names, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32) if names else counts)
 
 
-def mixtures(texts: list[str | None], model: Model, penalty: float, rounds: int = 12, floor: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+SETTLED = 0.01  # EM ends when no proportions can raise the log likelihood by more
+
+
+def _best_shares(ratio: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(share, gain) of each text: the share of one more language that gains most while the others keep their proportions.
+    ``ratio``: likelihood of each word by that language over the one so far. The gain is concave: its slope is halved."""
+    low, high = np.zeros(len(size)), np.ones(len(size))
+    for _ in range(20):
+        t = (low + high) / 2
+        up = np.add.reduceat((ratio - 1) / (1 + np.repeat(t, size) * (ratio - 1)), first) > 0
+        low, high = np.where(up, t, low), np.where(up, high, t)
+    t = (low + high) / 2
+    return t, np.add.reduceat(np.log1p(np.repeat(t, size) * (ratio - 1)), first)
+
+
+def mixtures(texts: list[str | None], model: Model, penalty: float, floor: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(proportions [texts, languages], number of words). Rows of texts without a letter are 0."""
     n_languages, d = len(model.names), len(texts)
     share = np.zeros((d, n_languages), dtype=np.float64)
@@ -120,26 +135,42 @@ def mixtures(texts: list[str | None], model: Model, penalty: float, rounds: int
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
         now = share[active]
         old = np.einsum("ij,ij->i", own, np.repeat(now, size, axis=0))
-        # the language that helps most at a tenth of the words
-        gain = np.stack([np.add.reduceat(np.log1p(0.1 * (own[:, j] / old - 1)), first) for j in range(n_languages)], axis=1)
-        gain[now > 0] = -np.inf
-        new = gain.argmax(axis=1)
-        useful = gain[np.arange(len(active)), new] > -penalty * np.log(size + 1)  # a cheap sieve: far from any gain
+        # the log likelihood is concave in the proportions, so its slopes bound what a language can gain
+        slope = np.add.reduceat(own / old[:, None], first, axis=0) - size[:, None]
+        slope[now > 0] = -np.inf
+        need = penalty * np.log(size + 1)
+        useful = (slope > need[:, None]).any(axis=1)
         keep = np.repeat(useful, size)
-        active, pick, now, size, old = active[useful], pick[keep], now[useful], size[useful], old[keep]
+        active, pick, now, size, old, slope, need = active[useful], pick[keep], now[useful], size[useful], old[keep], slope[useful], need[useful]
         if not len(active):
             break
-        own, new = like[pick], new[useful]
+        own = own[keep]
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        # of the languages that may gain enough the one that gains most
+        best, at, new = np.full(len(active), -np.inf), np.zeros(len(active)), np.zeros(len(active), dtype=np.int64)
+        for j in range(n_languages):
+            some = np.flatnonzero(slope[:, j] > need)
+            if not len(some):
+                continue
+            words_ = np.repeat(slope[:, j] > need, size)
+            t, gain = _best_shares(own[words_, j] / old[words_], np.concatenate([[0], np.cumsum(size[some])[:-1]]), size[some])
+            more = gain > best[some]
+            best[some[more]], at[some[more]], new[some[more]] = gain[more], t[more], j
         before = np.add.reduceat(np.log(old), first)
-        now = 0.8 * now
-        now[np.arange(len(active)), new] = 0.2
-        for _ in range(rounds):
-            part = own * np.repeat(now, size, axis=0)
-            part /= part.sum(axis=1, keepdims=True)
-            now = np.add.reduceat(part, first, axis=0) / size[:, None]
-        after = np.add.reduceat(np.log(np.einsum("ij,ij->i", own, np.repeat(now, size, axis=0))), first)
-        better = after - before > penalty * np.log(size + 1)
+        now = now * (1 - at)[:, None]
+        now[np.arange(len(active)), new] = at
+        better = np.zeros(len(active), dtype=bool)
+        live, part, n_words = np.arange(len(active)), own, size
+        while len(live):
+            start = np.concatenate([[0], np.cumsum(n_words)[:-1]])
+            mix = np.einsum("ij,ij->i", part, np.repeat(now[live], n_words, axis=0))
+            pull = np.add.reduceat(part / mix[:, None], start, axis=0)
+            left = np.where(now[live] > 0, pull, -np.inf).max(axis=1) - n_words  # bounds what is still to gain
+            gain = np.add.reduceat(np.log(mix), start) - before[live]
+            better[live] = gain > need[live]
+            go = (left > SETTLED) & (gain + left > need[live])
+            now[live[go]] *= pull[go] / n_words[go][:, None]
+            part, live, n_words = part[np.repeat(go, n_words)], live[go], n_words[go]
         share[active[better]] = now[better]
         pick, active = pick[np.repeat(better, size)], active[better]
         if not len(active):

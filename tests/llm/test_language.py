@@ -76,3 +76,13 @@ def test_odd_inputs(spark):
     empty = df.limit(0)
     assert L.digest(empty).count() == 0
     assert {r.lang_pred for r in L.predict(df, L.fit(empty)).collect()} == {"und"}
+
+
+def test_few_words_of_a_second_language_in_a_long_text():
+    one, two = "the quick brown fox jumps over lazy dogs ", "größe über straße wüßten mädchen schön zwölf können "
+    counts = np.stack([np.bincount(L.words([t * 50]).grams, minlength=1 << L.BITS) + 0.5 for t in (one, two)])
+    model = L.Model(["one", "two"], np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
+    for long, few in ((2_475, 25), (250, 3)):  # repeats of eight words: 1 % of a text
+        share, n = L.mixtures([one * long + two * few, one * long], model, 4.0)
+        assert n[0] == 8 * (long + few) and abs(share[0, 1] - few / (long + few)) < 0.002, share
+        assert share[1].tolist() == [1.0, 0.0]
