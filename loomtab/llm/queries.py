@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fill_middle, hnsw, jaccard, language, lm, packing, shard, substrings, token_counts
+from . import chat, decontaminate, fill_middle, hnsw, jaccard, language, lexical, lm, packing, projected, shard, substrings, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": lambda spark, sf: packing.digest(table(spark, sf, "documents")),
     "op9_embedding_dedup": lambda spark, sf: hnsw.digest(table(spark, sf, "embeddings")),
     "op10_substring_dedup": lambda spark, sf: substrings.digest(table(spark, sf, "documents")),
+    "op11_lexical_search": lambda spark, sf: lexical.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
+    "op12_neighbours": lambda spark, sf: projected.digest(table(spark, sf, "embeddings")),
     "op13_fill_middle": lambda spark, sf: fill_middle.digest(table(spark, sf, "documents")),
 }
 
@@ -30,5 +32,7 @@ ORACLE: dict[str, str] = {
     "op7_decontamination": decontaminate.SQL,
     "op9_embedding_dedup": hnsw.SQL,
     "op10_substring_dedup": substrings.SQL,
+    "op11_lexical_search": lexical.SQL,
+    "op12_neighbours": projected.SQL,
     "op13_fill_middle": fill_middle.SQL,
 }
