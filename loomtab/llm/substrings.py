@@ -9,8 +9,10 @@ one, and a document is parsed only against the blocks that can hold a copy of a
 2. Anchors that occur once cannot hold duplicates and are dropped. For the others the segment of text that their windows
    cover goes to the reference block of the anchor. A frequent anchor is dealt by whole windows instead.
 3. A block is a suffix-sorted reference of its distinct segments. Each segment is parsed greedily into the longest factors
-   that occur elsewhere in the block; a factor of at least ``width`` words is a duplicate span, and window
-   starts that a factor's end cuts off are checked on their own. Words are compared, not hashes.
+   that occur elsewhere in the block. A factor of at least ``width`` words is a duplicate span. A duplicate window that a
+   factor's end cuts in two must end inside the next factor, because that is the longest match from there on; so only
+   the starts from which a window fits into two neighbouring factors are checked, and between short factors there are
+   none. Words are compared, not hashes.
 4. Duplicate windows of a segment hold for every occurrence of the segment; their spans go back to the documents.
 """
 
@@ -58,6 +60,36 @@ def anchors(texts: list[bytes | None], width: int = WIDTH) -> tuple[np.ndarray,
     return owner[first], grams[chosen[new]].view(np.int64), first - doc_start, np.diff(new, append=len(chosen))
 
 
+def _duplicate_starts(longest: np.ndarray, begin: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """Which positions start a window that also starts elsewhere; ``longest``: the longest match elsewhere by position.
+
+    All segments are parsed side by side, one factor of each at a time: inside a factor the starts up to ``width`` before its
+    end; across its end those from which a window reaches no further than the end of the next factor, if they match.
+    """
+    span = np.zeros(len(longest) + 1, dtype=np.int64)
+    at, stop = begin[sizes > 0], (begin + sizes)[sizes > 0]
+    maybe = []
+    while len(at):
+        factor = longest[at]
+        long = factor >= width
+        np.add.at(span, at[long], 1)
+        np.add.at(span, at[long] + factor[long] - width + 1, -1)
+        end = at + np.maximum(factor, 1)
+        inside = end < stop
+        low = np.maximum(at + 1, end - width + 1)[inside]
+        high = np.minimum(end - 1, end + longest[end] - width)[inside]  # last start whose window ends in the next factor
+        some = np.flatnonzero(high >= low)
+        if len(some):
+            n = high[some] - low[some] + 1
+            maybe.append(np.repeat(low[some] - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+        at, stop = end[inside], stop[inside]
+    found = np.cumsum(span)[: len(longest) - 1] > 0
+    if maybe:
+        cut = np.concatenate(maybe)
+        found[cut[longest[cut] >= width]] = True
+    return found
+
+
 def parse_block(segments: list[bytes], width: int) -> list[list[tuple[int, int]]]:
     """For each distinct segment the ranges [from, to) of window starts that occur elsewhere in the block."""
     number: dict[bytes, int] = {}
@@ -80,22 +112,10 @@ def parse_block(segments: list[bytes], width: int) -> list[list[tuple[int, int]]
         k += 1
     longest = np.zeros(len(text) + 1, dtype=np.int64)  # match elsewhere, by position
     longest[order] = np.maximum(np.concatenate([[0], common]), np.concatenate([common, [0]]))
-    # greedy factors of all segments side by side
-    repeated = np.zeros(len(text) + 2, dtype=np.int64)
-    at, stop = begin.copy(), begin + sizes
-    while len(at):
-        factor = longest[at]
-        long = factor >= width
-        np.add.at(repeated, at[long], 1)
-        np.add.at(repeated, at[long] + factor[long] - width + 1, -1)
-        at = at + np.maximum(factor, 1)
-        at, stop = at[at < stop], stop[at < stop]
-    found = np.cumsum(repeated)[: len(text)] > 0
-    cut_off = np.flatnonzero(~found)  # starts at most width - 1 words before a factor's end
-    found[cut_off] = longest[cut_off] >= width
+    repeated = _duplicate_starts(longest, begin, sizes, width)
     out = []
     for b, n in zip(begin, sizes):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], found[b : b + n].view(np.int8), [0]])))
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], repeated[b : b + n].view(np.int8), [0]])))
         out.append(list(zip(edge[::2].tolist(), edge[1::2].tolist())))
     return out
 

@@ -3,6 +3,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from loomtab.llm import substrings as S
@@ -42,6 +43,45 @@ def test_against_brute_force(spark, monkeypatch, frequent, block, width):
         assert got[i].key == "k"
 
 
+def test_factors_decide(monkeypatch):
+    """Starts by factors equal the starts of all long matches, from few looks at the matches."""
+    rng = random.Random(9)
+    for k in range(60):
+        width = rng.choice([3, 5, 12])
+        say = lambda n: [f"{rng.randint(0, rng.choice([2, 6, 300]))}" for _ in range(n)]
+        shared = [say(rng.randint(1, 3 * width)) for _ in range(4)]
+        segments = list({" ".join(say(rng.randint(0, 20)) + rng.choice(shared) + rng.choice(shared) + say(rng.randint(1, 20))).encode() for _ in range(25)})
+        words = [x.split() for x in segments]
+        count = Counter(tuple(w[i : i + width]) for w in words for i in range(len(w) - width + 1))
+        want = [[i for i in range(len(w) - width + 1) if count[tuple(w[i : i + width])] > 1] for w in words]
+        got = [[i for a, b in own for i in range(a, b)] for own in S.parse_block(segments, width)]
+        assert got == want
+    seen = []
+    duplicate_starts = S._duplicate_starts
+
+    def watched(longest, begin, sizes, width):
+        class Counting(np.ndarray):
+            def __getitem__(self, i):
+                seen.append(np.size(i) if isinstance(i, np.ndarray) else 0)
+                return np.asarray(self)[i]
+        return duplicate_starts(longest.view(Counting), begin, sizes, width)
+
+    monkeypatch.setattr(S, "_duplicate_starts", watched)
+    text = [" ".join(f"{rng.randint(0, 60)}" for _ in range(400)).encode() for _ in range(50)]
+    assert not any(S.parse_block(text, 35))
+    assert sum(seen) < 1.5 * 2 * 50 * 400 and len(seen) > 0  # the factors only: no start was worth a check
+
+
+@pytest.mark.parametrize("key", ["text", "words", "segment", "n", "first", "route", "windows", "c0"])
+def test_clashing_names_and_long_texts(spark, key):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, long, "x"), (2, long[1000:] + " end", "y"), (3, None, "z")], f"doc_id long, body string, {key} string")
+    got = {r.doc_id: (r[key], r.n_words, r.n_removed) for r in S.remove_repeats(df, text="body").collect()}
+    total, rest = len(long.split()), len(long[1000:].split())
+    assert got[1][::2] == ("x", rest - 1 if not long[999].isspace() else rest) and got[1][1] == total
+    assert got[2] == ("y", rest + 1, rest - 1 if not long[999].isspace() else rest) and got[3] == ("z", 0, 0)
+
+
 def test_texts_and_empty(spark):
     p = " ".join(f"p{i}" for i in range(40))
     df = spark.createDataFrame([(1, f"one  two\n{p} end"), (2, f"{p}"), (3, "left  alone"), (None, None)], "doc_id long, text string")
