@@ -3,8 +3,8 @@
 Equal vectors are one class; classes are dealt to shards. A shard's task builds a layered graph of its classes, in
 batches: many nodes at a time search the graph so far, link to diverse neighbours and are linked back. Every other
 shard's classes query it, each pair of shards once. Beams start narrow and are widened until an audit against brute force in
-the shard passes; a query whose whole beam lies within the threshold is asked again with a wider one, at last by a
-scan of the shard. Matches are verified in double precision. A task returns link counts and, instead of pairs, one
+the shard passes; a query whose whole beam lies within the threshold is answered by a scan of the shard, whose pairs are
+folded strip by strip. Matches are verified in double precision. A task returns link counts and, instead of pairs, one
 link per query and local component.
 """
 
@@ -24,7 +24,9 @@ TREE = 4  # links of a base node to nodes that were inserted later and count on
 BUILD_BEAM = 48
 BEAM = 32
 TARGET = 0.99  # audited recall
-AUDIT = 1024  # queries of a shard's audit
+AUDIT = 1024  # queries of a shard's audit, of its own and again of others, at most
+AUDIT_MATCHES = 200  # true matches that are enough for it
+STRIP = 1 << 20  # cosines of a scan held at a time
 SHARDS = 13  # at least; odd, so that each pair of shards has one direction
 SHARD_SIZE = 200_000
 
@@ -197,72 +199,167 @@ class Graph:
         return self._beam(queries, self._entries(queries, 0), width, 0)
 
 
+class Labels:
+    """Components of a shard's nodes: the smallest node of each, many unions at a time."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = np.arange(n, dtype=np.int32)
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.parent[self.parent]
+            if np.array_equal(up, self.parent):
+                return up
+            self.parent = up
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            root = self.roots()
+            a, b = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            a, b = a[a != b], b[a != b]
+            np.minimum.at(self.parent, b, a)
+
+
+def _touched(hit: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, label) of the distinct labels among each row's hits."""
+    low = np.where(hit, label, np.int32(len(label))).min(axis=1)
+    high = np.where(hit, label, np.int32(-1)).max(axis=1)
+    one = np.flatnonzero((high >= 0) & (low == high))
+    rows, found = [one], [low[one]]
+    for r in np.flatnonzero(low < high):
+        own = np.unique(label[hit[r]])
+        rows.append(np.full(len(own), r))
+        found.append(own)
+    return np.concatenate(rows), np.concatenate(found)
+
+
 class Shard:
-    """Range search by cosine in one shard, with audited beams."""
+    """Range search by cosine in one shard, with audited beams.
+
+    A query whose beam is not filled by matches is answered by the graph, all others by a scan of the shard in strips. The
+    pairs of a strip are folded into counts and components at once, so memory does not grow with the number of pairs.
+    The beam is widened by an audit: queries, first some of the shard's own and then those of other shards, are answered
+    by both ways until ``AUDIT_MATCHES`` true matches were seen at the present width (or ``AUDIT`` queries of each kind).
+    """
 
     def __init__(self, vectors: np.ndarray, threshold: float) -> None:
         self.vectors = vectors.astype(np.float64)
         self.norm = np.linalg.norm(self.vectors, axis=1)
         self.unit = (self.vectors / self.norm[:, None]).astype(np.float32)
         self.threshold = threshold
+        self.slack = 1e-5 + 1.5e-7 * vectors.shape[1]  # more than single precision can be off
         self.graph = Graph(self.unit)
         self.block = max(16, min(1024, (1 << 25) // max(1, len(vectors))))
+        self.strip = max(1, STRIP // max(1, len(vectors)))
         self.width = min(BEAM, len(vectors))
-        while self.width < len(vectors) and self.recall() < TARGET:
-            self.width = min(2 * self.width, len(vectors))
-
-    def recall(self) -> float:
-        """Share of the true matches of the audit's queries (other than themselves) that are found; 1 if there are none."""
-        n = len(self.unit)
-        asked = np.random.default_rng(n).permutation(n)[:AUDIT]
-        want = self.unit[asked] @ self.unit.T >= self.threshold  # AUDIT x the shard
-        want[np.arange(len(asked)), asked] = False
-        q, node = self.matches(self.vectors[asked])
-        return float(want[q, node].sum() / want.sum()) if want.any() else 1.0
-
-    def matches(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of all pairs found with a cosine of at least the threshold, in double precision."""
+        self.foreign = self.true = self.seen = 0
+        some = np.random.default_rng(len(vectors)).permutation(len(vectors))[:AUDIT]
+        for lo in range(0, len(some), 256):
+            if self.true >= AUDIT_MATCHES:
+                break
+            own = some[lo : lo + 256]
+            self._audit(self._ready(self.vectors[own]), own)
+
+    @staticmethod
+    def _ready(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         vectors = vectors.astype(np.float64)
         norm = np.linalg.norm(vectors, axis=1)
-        unit = (vectors / norm[:, None]).astype(np.float32)
-        least, out = self.threshold - 1e-4, []
-        for lo in range(0, len(unit), self.block):
-            todo, width = np.arange(lo, min(lo + self.block, len(unit))), self.width
-            while len(todo):
-                if width >= len(self.unit) or width > 2048:
-                    r, node = np.nonzero(unit[todo] @ self.unit.T >= least)  # a scan of the shard
-                    full = np.zeros(len(todo), dtype=bool)
-                else:
-                    ids, sims = self.graph.search(unit[todo], width)
-                    full = sims[:, -1] >= least
-                    r, c = np.nonzero((sims >= least) & (ids >= 0) & ~full[:, None])
-                    node = ids[r, c]
-                out.append((todo[r], node))
-                todo, width = todo[full], 4 * width
-        q = np.concatenate([a for a, _ in out]) if out else np.zeros(0, int)
-        node = np.concatenate([b for _, b in out]) if out else np.zeros(0, int)
+        return vectors, norm, (vectors / norm[:, None]).astype(np.float32)
+
+    def _exact(self, asked, q: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Which pairs reach the threshold in double precision."""
         good = np.zeros(len(q), dtype=bool)
         for lo in range(0, len(q), 1 << 16):
             s = slice(lo, lo + (1 << 16))
-            dot = np.einsum("ij,ij->i", vectors[q[s]], self.vectors[node[s]])
-            good[s] = dot / (norm[q[s]] * self.norm[node[s]]) >= self.threshold
-        return q[good], node[good]
+            dot = np.einsum("ij,ij->i", asked[0][q[s]], self.vectors[node[s]])
+            good[s] = dot / (asked[1][q[s]] * self.norm[node[s]]) >= self.threshold
+        return good
+
+    def pairs(self, asked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node) of the links that the graph finds, and which queries need a scan instead."""
+        unit, none = asked[2], np.zeros(0, np.int64)
+        if self.width >= len(self.unit):
+            return none, none, np.ones(len(unit), dtype=bool)
+        full, q, node = np.zeros(len(unit), dtype=bool), [none], [none]
+        for lo in range(0, len(unit), self.block):
+            ids, sims = self.graph.search(unit[lo : lo + self.block], self.width)
+            own = (sims >= self.threshold - self.slack) & (ids >= 0)
+            more = own[:, -1]
+            full[lo : lo + self.block] = more
+            r, c = np.nonzero(own & ~more[:, None])
+            q.append(r + lo)
+            node.append(ids[r, c].astype(np.int64))
+        q, node = np.concatenate(q), np.concatenate(node)
+        good = self._exact(asked, q, node)
+        return q[good], node[good], full
+
+    def scan(self, asked, rows: np.ndarray):
+        """(rows, hit) strips: the exact links of some queries with all nodes."""
+        for lo in range(0, len(rows), self.strip):
+            own = rows[lo : lo + self.strip]
+            sims = asked[2][own] @ self.unit.T
+            hit = sims >= self.threshold + self.slack
+            r, c = np.nonzero((sims >= self.threshold - self.slack) & ~hit)
+            hit[r, c] = self._exact(asked, own[r], c)
+            yield own, hit
+
+    def _audit(self, asked, own: np.ndarray | None = None) -> None:
+        """Compare the graph with a scan; ``own``: the queries are these nodes, which do not count as their own matches."""
+        q, node, full = self.pairs(asked)
+        if own is not None:
+            q = q[own[q] != node]
+        self.seen += len(q)
+        for rows, hit in self.scan(asked, np.flatnonzero(~full)):
+            if own is not None:
+                hit[np.arange(len(rows)), own[rows]] = False
+            self.true += int(hit.sum())
+        if self.seen < TARGET * self.true:
+            self.width, self.true, self.seen = min(2 * self.width, len(self.unit)), 0, 0
+
+    def links_inside(self, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(links of each node's rows with others, component of each node). A pair counts if either side finds it."""
+        n, asked = len(self.unit), (self.vectors, self.norm, self.unit)
+        q, node, full = self.pairs(asked)
+        some = ~full[node] & (q != node)  # pairs with a scanned node come from its scan
+        both = np.unique(np.minimum(q, node)[some] * n + np.maximum(q, node)[some])
+        a, b = both // n, both % n
+        counts = 0.0 + np.bincount(a, weights=copies[b], minlength=n) + np.bincount(b, weights=copies[a], minlength=n)
+        labels = Labels(n)
+        labels.join(a, b)
+        rest = np.flatnonzero(~full)
+        for rows, hit in self.scan(asked, np.flatnonzero(full)):
+            hit[np.arange(len(rows)), rows] = False
+            counts[rows] += hit @ copies
+            counts[rest] += copies[rows] @ hit[:, rest]
+            r, label = _touched(hit, labels.roots())
+            labels.join(rows[r], label)
+        return counts, labels.roots()
+
+    def links_to(self, vectors: np.ndarray, weight: np.ndarray, copies: np.ndarray, label: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(links of each query, and (query, component) of the components it touches); ``counts`` of the nodes are raised."""
+        asked = self._ready(vectors)
+        if self.foreign < AUDIT and self.true < AUDIT_MATCHES:
+            self.foreign += len(vectors)
+            self._audit(asked)
+        q, node, full = self.pairs(asked)
+        links = np.bincount(q, weights=copies[node], minlength=len(vectors)).astype(np.float64)
+        counts += np.bincount(node, weights=weight[q], minlength=len(counts))
+        ties = [(q, label[node])]
+        for rows, hit in self.scan(asked, np.flatnonzero(full)):
+            links[rows] += hit @ copies
+            counts += weight[rows] @ hit
+            r, touched = _touched(hit, label)
+            ties.append((rows[r], touched))
+        both = np.unique(np.concatenate([q for q, _ in ties]).astype(np.int64) * len(label) + np.concatenate([t for _, t in ties]))
+        return links.astype(np.int64), both // len(label), both % len(label)
 
 
-def _local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``audited_near_duplicates`` alone."""
+    return audited_near_duplicates(df, key, vector, threshold)[0]
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+def audited_near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(key, n_links long, component_id, kept boolean), one row per row of ``df``.
 
     Two rows are linked if the cosine of their vectors is at least the threshold, found by the graphs and verified in double
@@ -272,6 +369,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     gives no rows. Other columns are not read.
 
     The number of shards is 13, or more for over 2.6 million vectors, so that a shard fits a task.
+
+    The second table is the audit: (shard, width, matches, found) with the beam of each shard in the end, the true matches that
+    its audit saw at that width, and how many of them the graph found.
     """
     rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").alias("v"))
     good = F.expr("""v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity'))
@@ -289,33 +389,31 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         (F.col("ask") > 0).cast("int").alias("asks"), "id", "copies", "v",
     )
     id_kind = rows.schema["id"].dataType.simpleString()
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_kind, pa.int64())
+    id_arrow = rows.select("id").limit(0).toArrow().schema.field("id").type
 
     def link(batches):
-        target, shard, ids, copies, counts, local = None, None, [], None, None, None
+        target, shard, ids, copies, counts, local = None, None, None, None, None, None
         held: list = []
 
         def build():
             nonlocal shard, ids, copies, counts, local
             ids = np.array([i for h in held for i in h[0]], dtype=object)
-            copies = np.concatenate([h[1] for h in held])
+            copies = np.concatenate([h[1] for h in held]).astype(np.float64)
             shard = Shard(np.concatenate([h[2] for h in held]), threshold)
-            a, b = shard.matches(shard.vectors)
-            both = np.unique(np.minimum(a, b).astype(np.int64) * len(ids) + np.maximum(a, b))
-            a, b = both // len(ids), both % len(ids)
-            a, b = a[a != b], b[a != b]
-            counts = np.zeros(len(ids)) + np.bincount(a, weights=copies[b], minlength=len(ids)) + np.bincount(b, weights=copies[a], minlength=len(ids))
-            local = _local_components(len(ids), a, b)
             held.clear()
+            counts, local = shard.links_inside(copies)
 
-        def rows_(a, n, b):
-            return pa.RecordBatch.from_arrays([pa.array(list(a), id_arrow), pa.array(n, pa.int64()), pa.array(list(b), id_arrow)], ["a", "links", "b"])
+        def rows_(a, n, b, audit=None):
+            more = [pa.array([x] * len(a), pa.int64()) for x in audit or [None] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(list(a), id_arrow), pa.array(n, pa.int64()), pa.array(list(b), id_arrow), *more],
+                                              ["a", "links", "b", "shard", "width", "matches", "found"])
 
         def close():
             some = np.flatnonzero(counts)
             tied = np.flatnonzero(local != np.arange(len(local)))
             yield rows_(ids[some], counts[some].astype(np.int64), [None] * len(some))
             yield rows_(ids[tied], [None] * len(tied), ids[local[tied]])
+            yield rows_([None], [None], [None], [int(target), shard.width, shard.true, shard.seen])
 
         for batch in batches:
             goals = batch.column("target").to_numpy()
@@ -337,28 +435,28 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                     build()
                 if shard is None:  # the shard itself is empty
                     continue
-                asking, weight = np.array(part.column("id").to_pylist(), dtype=object), part.column("copies").to_numpy()
-                q, node = shard.matches(vectors)
-                counts += np.bincount(node, weights=weight[q], minlength=len(ids))
-                links = np.bincount(q, weights=copies[node], minlength=len(asking)).astype(np.int64)
-                some = np.flatnonzero(links)
-                yield rows_(asking[some], links[some], [None] * len(some))
-                ties = np.unique(q.astype(np.int64) * len(ids) + local[node])
-                yield rows_(asking[ties // len(ids)], [None] * len(ties), ids[ties % len(ids)])
+                asking, weight = np.array(part.column("id").to_pylist(), dtype=object), part.column("copies").to_numpy().astype(np.float64)
+                for at in range(0, len(asking), 1024):
+                    own = asking[at : at + 1024]
+                    links, q, component = shard.links_to(vectors[at : at + 1024], weight[at : at + 1024], copies, local, counts)
+                    some = np.flatnonzero(links)
+                    yield rows_(own[some], links[some], [None] * len(some))
+                    yield rows_(own[q], [None] * len(q), ids[component])
         if held:
             build()
         if shard is not None:
             yield from close()
 
     spread = dealt.repartitionByRange(shards, "target").sortWithinPartitions("target", "asks", "id")
-    found = materialise(spread.mapInArrow(link, f"a {id_kind}, links bigint, b {id_kind}"), "links")
+    found = materialise(spread.mapInArrow(link, f"a {id_kind}, links bigint, b {id_kind}, shard bigint, width bigint, matches bigint, found bigint"), "links")
     counts = found.filter("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
     joined = components(classes.select(F.col("id").alias("node")).distinct(), found.filter("b is not null").select("a", "b"))
     per_class = classes.join(counts, F.col("id") == F.col("a"), "left").join(joined, F.col("id") == F.col("node"), "left").select(
         F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
     out = rows.filter("good").join(per_class, F.col("v") == F.col("w")).select("id", "n_links", "component_id").union(
         rows.filter("not good").select("id", F.lit(0).cast("bigint"), "id"))
-    return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    result = out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return result, found.filter("shard is not null").select("shard", "width", "matches", "found")
 
 
 def digest(embeddings: DataFrame) -> DataFrame:
