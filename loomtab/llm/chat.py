@@ -200,7 +200,7 @@ def conversation_digests(formatted: DataFrame, key: str = "conv_id", order: tupl
     kind = slim.schema["__key"].dataType.simpleString()
 
     def digest(batches):
-        state, rows = None, []
+        state, rows, kind_of_key = None, [], None
 
         def close():
             if state is not None:
@@ -208,6 +208,7 @@ def conversation_digests(formatted: DataFrame, key: str = "conv_id", order: tupl
                 rows.append((key_, n, turns.hexdigest(), chars, loss.hexdigest(), total))
 
         for batch in slices(batches, "formatted"):
+            kind_of_key = batch.schema.field("__key").type
             for k, text, start, length in zip(*(c.to_pylist() for c in batch.columns)):
                 if state is None or state[0] != k:
                     close()
@@ -221,18 +222,18 @@ def conversation_digests(formatted: DataFrame, key: str = "conv_id", order: tupl
                     state[4] += len(own)
                 state[5] += len(text)
             if rows:
-                yield _rows(rows)
+                yield _rows(rows, kind_of_key)
                 rows = []
         close()
         if rows:
-            yield _rows(rows)
+            yield _rows(rows, kind_of_key)
 
     fields = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
     names_out = ("key", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
-    def _rows(rows):
+    def _rows(rows, kind_of_key):
         columns = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(columns[0]), *[pa.array(c, t) for c, t in zip(columns[1:], fields)]], list(names_out))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], kind_of_key), *[pa.array(c, t) for c, t in zip(columns[1:], fields)]], list(names_out))
 
     schema = f"key {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     return dealt.mapInArrow(digest, schema).withColumnRenamed("key", key)

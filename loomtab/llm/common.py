@@ -18,6 +18,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it (whatever the case of its letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(names: list[str]) -> tuple[list[Column], list[Column]]:
+    """Columns of any name as c0, c1 and so on, which clash with nothing an operator adds, and back again."""
+    return ([F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(names)], [F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the strings of ``column`` in a slice hold about ``limit`` bytes; one row at least.
 

@@ -18,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ragged, raw, slices, suffix_order
+from .common import numbered, ragged, raw, slices, suffix_order
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SHARD_WORDS = 1 << 20  # words in one index
-BLOCK_BYTES = 32 << 20  # text of the items searched at a time
+BLOCK_BYTES = 8 << 20  # text of the items searched at a time
 SAMPLE = 16  # every 16th suffix position is kept
 
 
@@ -31,21 +31,36 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a block of items: word ids by length, and the items that own each window."""
+    """The distinct windows of a block of items, by length, and the items that own each of them, all as arrays.
+
+    ``groups``: (windows, first, owners) per length; the owners of window w are ``owners[first[w] : first[w + 1]]``, numbers
+    of ``names`` in ascending order.
+    """
 
     def __init__(self, items: list[tuple[str, bytes | None]], width: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            size = min(width, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                owners.setdefault(tuple(ids[i : i + size]), set()).add(name)
-        self.groups: list[tuple[np.ndarray, list[list[str]]]] = []
-        for size in sorted({len(w) for w in owners}):
-            own = [w for w in owners if len(w) == size]
-            self.groups.append((np.array(own, dtype=np.int32), [sorted(owners[w]) for w in own]))
-        self.shortest = min((g.shape[1] for g, _ in self.groups), default=0)
+        self.names = sorted({name for name, _ in items})
+        number = {name: i for i, name in enumerate(self.names)}
+        parts = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], dtype=np.int32) for _, text in items]
+        owner = np.array([number[name] for name, _ in items], dtype=np.int32)
+        length = np.array([len(p) for p in parts], dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(length)])
+        flat = np.concatenate([*parts, np.zeros(0, np.int32)])
+        size = np.minimum(length, width)
+        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == n)
+            count = length[own] - n + 1
+            start = np.repeat(begin[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            rows = np.lib.stride_tricks.sliding_window_view(flat, n)[start]
+            by = np.repeat(owner[own], count)
+            order = np.lexsort((by, *rows.T[::-1]))
+            rows, by = rows[order], by[order]
+            new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
+            once = new | np.concatenate([[True], by[1:] != by[:-1]])  # a window that an item has twice is one of its own
+            first = np.concatenate([np.flatnonzero(new[once]), [once.sum()]])
+            self.groups.append((rows[new], first, by[once]))
+        self.shortest = min((g.shape[1] for g, *_ in self.groups), default=0)
 
 
 class WaveletTree:
@@ -110,13 +125,13 @@ class FMIndex:
         return self.position[self.kept_upto[at]] + steps
 
 
-def search_shard(docs: list[np.ndarray], windows: Windows) -> list[tuple[np.ndarray, set[str]]]:
-    """For each document (word ids, 0: unknown): which words are hit, and the items found."""
+def search_shard(docs: list[np.ndarray], windows: Windows) -> list[tuple[np.ndarray, set[int]]]:
+    """For each document (word ids, 0: unknown): which words are hit, and the numbers of the items found."""
     sizes = np.array([len(d) for d in docs], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     flat = np.concatenate(docs) if docs else np.zeros(0, np.int32)
     hit = np.zeros(len(flat) + 1, dtype=np.int64)
-    items: list[set[str]] = [set() for _ in docs]
+    items: list[set[int]] = [set() for _ in docs]
     owner = np.repeat(np.arange(len(docs)), sizes)
     # stretches of known words within one document
     known = flat > 0
@@ -131,7 +146,7 @@ def search_shard(docs: list[np.ndarray], windows: Windows) -> list[tuple[np.ndar
         back = np.zeros(len(text), dtype=np.int64)
         text[at], back[at] = flat[where], where
         index = FMIndex(text)
-        for group, owners in windows.groups:
+        for group, first, owners in windows.groups:
             low, high = index.search(group)
             found = np.flatnonzero(high > low)
             n = (high - low)[found]
@@ -142,7 +157,7 @@ def search_shard(docs: list[np.ndarray], windows: Windows) -> list[tuple[np.ndar
             np.add.at(hit, begin, 1)
             np.add.at(hit, begin + group.shape[1], -1)
             for d, w in {*zip(owner[begin].tolist(), np.repeat(found, n).tolist())}:
-                items[d].update(owners[w])
+                items[d].update(owners[first[w] : first[w + 1]].tolist())
     covered = np.cumsum(hit)[:-1] > 0
     return [(covered[starts[i] : starts[i + 1]], items[i]) for i in range(len(docs))]
 
@@ -170,7 +185,7 @@ def _finder(block, text_column: str):
             edges = [np.flatnonzero(np.diff(np.concatenate([[0], c.view(np.int8), [0]]))) for c, _ in found]
             counts = np.array([len(e) // 2 for e in edges])
             flat = np.concatenate(edges).astype(np.int64) if edges else np.zeros(0, np.int64)
-            names = [sorted(i) for _, i in found]
+            names = [[windows.names[k] for k in sorted(i)] for _, i in found]
             spans = [ragged(flat[k::2], counts) for k in (0, 1)]
             arrays = [*batch.columns, pa.array([len(d) for d in ids], pa.int64()), *spans, pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "__n_words", "__from", "__to", "__items"])
@@ -201,24 +216,26 @@ def find_spans(documents: DataFrame, benchmark: DataFrame, text: str = "text", i
     One pass over the documents per block of ``BLOCK_BYTES`` of items, without a shuffle; a block is broadcast.
     """
     results = ("n_words", "spans", "n_hit", "items", "contaminated")
-    kept = [F.col(f"`{c}`") for c in documents.columns if c not in results]
+    names = [c for c in documents.columns if c not in results]
+    there, back = numbered(names)
+    body = f"c{names.index(text)}"
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    now = documents.select(*kept, none.alias("__spans"), F.expr("cast(array() as array<string>)").alias("__all"))
+    now = documents.select(*there, none.alias("__spans"), F.expr("cast(array() as array<string>)").alias("__all"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema.fields)
     schema = f"{fields}, __n_words bigint, __from array<bigint>, __to array<bigint>, __items array<string>"
     for items in _item_blocks(benchmark, item, item_text):
         block = documents.sparkSession.sparkContext.broadcast(Windows(items, width))
-        found = now.mapInArrow(_finder(block, text), schema).withColumns({
+        found = now.mapInArrow(_finder(block, body), schema).withColumns({
             "__spans": F.concat("__spans", F.arrays_zip(F.col("__from").alias("start"), F.col("__to").alias("end"))),
             "__all": F.array_union("__all", "__items"),
         })
-        now = found.select(*kept, "__spans", "__all")
+        now = found.select(*[f"c{i}" for i in range(len(names))], "__spans", "__all")
     # merge spans that meet, across blocks too
     merged = F.expr("""aggregate(array_sort(__spans), cast(array() as array<struct<start:bigint,end:bigint>>), (acc, s) ->
         case when size(acc) > 0 and element_at(acc, -1).end >= s.start
              then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).end, s.end) as end)))
              else concat(acc, array(s)) end)""")
-    out = found.select(*kept, F.col("__n_words").alias("n_words"), merged.alias("spans"), F.array_sort("__all").alias("items"))
+    out = found.select(*back, F.col("__n_words").alias("n_words"), merged.alias("spans"), F.array_sort("__all").alias("items"))
     n_hit = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")
     return out.withColumn("n_hit", n_hit).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomtab.functions.staging import materialise
 
-from .common import components, raw, slices, text_key
+from .common import components, free_name, raw, slices, text_key
 from .hashing import run_hashes, word_hashes
 
 WORDS = 5
@@ -285,9 +285,9 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``df`` with one row per group of near copies: the one with the smallest key. Rows that repeat a key stay together."""
-    found = jaccard_join(df, key, text, **settings).select(F.col(key).alias("__k"), F.col("class_id").alias("__c")).distinct()
-    keep = found.filter(F.col("__k").eqNullSafe(F.col("__c"))).select("__k")
-    return df.join(keep, F.col(f"`{key}`").eqNullSafe(F.col("__k")), "left_semi")
+    found = jaccard_join(df, key, text, **settings).select(F.col(key).alias(own := free_name(df, "__k")), "class_id").distinct()
+    keep = found.filter(F.col(own).eqNullSafe(F.col("class_id"))).select(own)
+    return df.join(keep, F.col(f"`{key}`").eqNullSafe(F.col(own)), "left_semi")
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices
+from .common import numbered, slices
 
 BITS = 16
 MAX_LANGUAGES = 256  # bound of the model: 256 languages x 65 536 buckets
@@ -186,15 +186,16 @@ def predict(df: DataFrame, model: Model, text: str = "text", penalty: float = 4.
     Rows are independent; columns with the names of the results are replaced.
     """
     kept = [c for c in df.columns if c not in ("lang_pred", "score", "languages")]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    there, back = numbered(kept)
+    source = df.select(*there, F.col(f"`{text}`").cast("string").alias("text"))
     columns = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields)
     sent = df.sparkSession.sparkContext.broadcast(model)
     limit = max(1 << 16, (1 << 23) // max(4, len(model.names)))
 
     def guess(batches):
         model = sent.value
-        for batch in slices(batches, "__text", limit):
-            share, _ = mixtures(batch.column("__text").to_pylist(), model, penalty)
+        for batch in slices(batches, "text", limit):
+            share, _ = mixtures(batch.column("text").to_pylist(), model, penalty)
             share = np.round(share, 6)
             top = share.argmax(axis=1) if model.names else np.zeros(len(share), dtype=int)
             some = share.sum(axis=1) > 0
@@ -204,7 +205,8 @@ def predict(df: DataFrame, model: Model, text: str = "text", penalty: float = 4.
             arrays = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "lang_pred", "score", "languages"])
 
-    return source.mapInArrow(guess, columns + "lang_pred string, score double, languages map<string,double>").drop("__text")
+    found = source.mapInArrow(guess, columns + "lang_pred string, score double, languages map<string,double>")
+    return found.select(*back, "lang_pred", "score", "languages")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

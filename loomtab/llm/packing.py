@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import numbered, slices
 from .tokens import Id, encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -28,15 +28,16 @@ def pieces(documents: DataFrame, text: str = "text", path: str | None = None, ca
     """
     path = path or tokenizer_path()
     kept = [c for c in documents.columns if c not in (text, "piece", "start", "length", "ids")]
-    source = documents.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    there, back = numbered(kept)
+    source = documents.select(*there, F.col(f"`{text}`").cast("string").alias("text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
 
     def cut(batches):
         encode = encoder(path).encode
         end = np.array([END], dtype=Id).tobytes()
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "text"):
             rows, out = [], ([], [], [], [])
-            for i, ids in enumerate(encode([t or "" for t in batch.column("__text").to_pylist()])):
+            for i, ids in enumerate(encode([t or "" for t in batch.column("text").to_pylist()])):
                 ids += end
                 total = len(ids) // 4
                 at, k = 0, 0
@@ -46,11 +47,12 @@ def pieces(documents: DataFrame, text: str = "text", path: str | None = None, ca
                     for column, value in zip(out, (k, at, n, ids[4 * at : 4 * (at + n)])):
                         column.append(value)
                     at, k = at + n, k + 1
-            own = batch.take(pa.array(rows, pa.int64())).drop_columns(["__text"])
+            own = batch.take(pa.array(rows, pa.int64())).drop_columns(["text"])
             arrays = [pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([*own.columns, *arrays], [*own.schema.names, "piece", "start", "length", "ids"])
 
-    return source.mapInArrow(cut, fields + "piece int, start bigint, length bigint, ids binary")
+    found = source.mapInArrow(cut, fields + "piece int, start bigint, length bigint, ids binary")
+    return found.select(*back, "piece", "start", "length", "ids")
 
 
 def _best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

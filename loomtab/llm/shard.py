@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomtab.functions.columns import col
 from loomtab.functions.ordering import row_index
 
+from .common import free_name, numbered
+
 _ST, _H, _I, _N, _F = "__stratum", "__order", "__rank", "__n", "__fraction"
 
 
@@ -27,14 +29,15 @@ def interleave(df: DataFrame, shards: int, stratum: str = "source", key: str = "
     The ``rows`` law: shard sizes differ by one at most. A null stratum is a stratum of its own; a null key
     sorts as one fixed key; rows with equal keys (repeated rows too) are each placed once, in the order of
     key and remaining ties as the layout has them. An empty table gives no rows. Columns called shard or slot
-    are replaced; other names cannot clash. Keep few columns here and use ``write_shards`` for whole rows: the
+    are replaced; other names cannot clash, since columns are numbered on the way. Keep few columns here and use ``write_shards`` for whole rows: the
     kept columns go through two range shuffles.
 
     Ranks are positions in range partitions plus the counts of the partitions before, so a source with a third
     of all rows is spread over many tasks.
     """
     kept = [c for c in (keep or df.columns) if c not in ("shard", "slot")]
-    slim = df.select(*[col(c) for c in kept], col(stratum).cast("string").alias(_ST), col(key).alias("__key"),
+    there, back = numbered(kept)
+    slim = df.select(*there, col(stratum).cast("string").alias(_ST), col(key).alias("__key"),
                      seeded_order(col(key), seed).alias(_H))
     ranked = row_index(slim, [_H, "__key"], within=[_ST], name=_I)
     sizes = ranked.groupBy(_ST).agg(F.count("*").alias(_N))
@@ -48,7 +51,7 @@ def interleave(df: DataFrame, shards: int, stratum: str = "source", key: str = "
     return (
         listed.withColumn("__shard", shard)
         .withColumn("slot", F.col("__at") - first)
-        .select(*[col(c) for c in kept], F.col("__shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+        .select(*back, F.col("__shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
     )
 
 
@@ -57,8 +60,8 @@ def write_shards(df: DataFrame, path: str, shards: int, stratum: str = "source",
 
     ``key`` must identify a row. Large shards take several files: rows are laid out by range of (shard, slot).
     """
-    where = interleave(df, shards, stratum, key, seed, keep=[key]).withColumnRenamed(key, "__k")
-    whole = df.drop("shard", "slot").join(where, col(key).eqNullSafe(F.col("__k"))).drop("__k")
+    where = interleave(df, shards, stratum, key, seed, keep=[key]).withColumnRenamed(key, own := free_name(df, "__k"))
+    whole = df.drop("shard", "slot").join(where, col(key).eqNullSafe(F.col(own))).drop(own)
     whole.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
