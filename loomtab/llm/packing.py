@@ -24,7 +24,8 @@ def pieces(documents: DataFrame, text: str = "text", path: str | None = None, ca
     """``documents`` without the text, plus piece, start, length and ids (little-endian 32-bit binary), a row per piece.
 
     A document is the ids of its whole text and then ``END``; null counts as empty and gives the end alone. Only
-    documents over ``capacity`` are cut: the first piece takes the remainder, all others are full.
+    documents over ``capacity`` are cut: the first piece takes the remainder, all others are full. The ids are
+    the library's own by default: a control string of the vocabulary inside a text is its one id.
     """
     path = path or tokenizer_path()
     kept = [c for c in documents.columns if c not in (text, "piece", "start", "length", "ids")]
@@ -33,7 +34,7 @@ def pieces(documents: DataFrame, text: str = "text", path: str | None = None, ca
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
 
     def cut(batches):
-        encode = encoder(path).encode
+        encode = encoder(path, control=True).encode
         end = np.array([END], dtype=Id).tobytes()
         for batch in slices(batches, "text"):
             rows, out = [], ([], [], [], [])
@@ -82,9 +83,10 @@ def _best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def _improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Local search between underfull bins until a sweep changes nothing.
 
-    Take a bin with room r (fuller bins first). The best change for it, from the emptier bins, is the one that
+    Take a bin with room r (fuller bins first). The best change for it, from the bins that are no fuller, is the one that
     fills it most: a move adds a piece of at most r; a swap gives one piece a for one piece b with a < b <= a + r, or
-    for two pieces with sum in the same range. Each raises the sum of squares, since the gaining bin was the fuller.
+    for two pieces of one bin with sum in the same range. Each raises the sum of squares, since the gaining bin was not
+    the emptier. Pieces are found by length and pairs by sum, in bit sets: all of them are searched.
     """
     size = [int(x) for x in lengths]
     fill = [sum(size[i] for i in b) for b in bins]
@@ -94,11 +96,58 @@ def _improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[
         # pieces of underfull bins by length, most room last: a donor is the emptiest bin that has the length
         where: list[dict[int, int]] = [{} for _ in range(capacity + 1)]
         has = 0
+        # pairs of underfull bins by sum; an entry counts while its bin has the version it was made from
+        pairs: list[list[tuple[int, int, int, int]]] = [[] for _ in range(capacity + 1)]
+        paired, version = 0, [0] * len(bins)
         for b in under:
             for i in bins[b]:
                 where[size[i]][i] = b
                 has |= 1 << size[i]
 
+        def list_pairs(b: int) -> None:
+            """Two pieces of each pair of lengths in a bin."""
+            nonlocal paired
+            version[b] += 1
+            first: dict[int, list[int]] = {}
+            for i in bins[b]:
+                if len(first.setdefault(size[i], [])) < 2:
+                    first[size[i]].append(i)
+            own = sorted(first)
+            for k, m in enumerate(own):
+                for n in own[k:]:
+                    if m + n > capacity:
+                        break
+                    if m != n:
+                        one, two = first[n][0], first[m][0]
+                    elif len(first[m]) == 2:
+                        one, two = first[m]
+                    else:
+                        continue
+                    pairs[m + n].append((one, two, b, version[b]))
+                    paired |= 1 << (m + n)
+
+        def pair(most: int, least: int, b: int) -> tuple[int, int] | None:
+            """Two pieces of one bin no fuller than b with the largest sum in [least, most]."""
+            nonlocal paired
+            at = paired & ((1 << (most + 1)) - 1)
+            while at:
+                n = at.bit_length() - 1
+                if n < least:
+                    return None
+                own = pairs[n]
+                while own and own[-1][3] != version[own[-1][2]]:
+                    own.pop()
+                if not own:
+                    paired &= ~(1 << n)
+                for one, two, home, made in reversed(own):
+                    if made == version[home] and home != b and fill[home] <= fill[b]:
+                        return one, two
+                at &= ~(1 << n)
+            return None
+
+        for b in under:
+            list_pairs(b)
+
         def drop(i: int) -> None:
             nonlocal has
             del where[size[i]][i]
@@ -110,15 +159,15 @@ def _improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[
             where[size[i]][i] = b
             has |= 1 << size[i]
 
-        def donor(most: int, least: int, b: int, not_i: int = -1) -> int:
-            """The longest piece of length in [least, most] in a bin emptier than b; -1 if none."""
+        def donor(most: int, least: int, b: int) -> int:
+            """The longest piece of length in [least, most] in a bin no fuller than b; -1 if none."""
             at = has & ((1 << (most + 1)) - 1)
             while at:
                 n = at.bit_length() - 1
                 if n < least:
                     return -1
                 for i, own in reversed(where[n].items()):
-                    if own != b and fill[own] < fill[b] and i != not_i:
+                    if own != b and fill[own] <= fill[b]:
                         return i
                 at &= ~(1 << n)
             return -1
@@ -132,29 +181,17 @@ def _improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[
                 if best is None or best[0] < room:
                     for a in sorted({size[x]: x for x in bins[b]}.values(), key=lambda x: size[x]):
                         i = donor(min(capacity, size[a] + room), size[a] + 1 + (best[0] if best else 0), b)
-                        if i >= 0 and fill[b] + size[i] - size[a] > fill[where[size[i]][i]] + size[a] - size[i]:
+                        if i >= 0:
                             best = (size[i] - size[a], [a], [i])
                             if best[0] == room:
                                 break
                 if best is None or best[0] < room:
-                    for a in bins[b]:
-                        target = size[a] + room
-                        one = donor(target - 1, 1, b)
-                        tries = 0
-                        while one >= 0 and tries < 8:
-                            home = where[size[one]][one]
-                            rest = target - size[one]
-                            two = next((x for x in sorted(bins[home], key=lambda x: -size[x]) if x != one and size[x] <= rest), -1)
-                            if two >= 0:
-                                gain = size[one] + size[two] - size[a]
-                                if gain > (best[0] if best else 0):
-                                    best = (gain, [a], [one, two])
-                            if best and best[0] == room:
+                    for a in {size[x]: x for x in bins[b]}.values():
+                        two = pair(min(capacity, size[a] + room), size[a] + 1 + (best[0] if best else 0), b)
+                        if two:
+                            best = (size[two[0]] + size[two[1]] - size[a], [a], list(two))
+                            if best[0] == room:
                                 break
-                            tries += 1
-                            one = donor(size[one] - 1, 1, b) if size[one] > 1 else -1
-                        if best and best[0] == room:
-                            break
                 if best is None:
                     break
                 gain, out, got = best
@@ -178,6 +215,10 @@ def _improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[
                         where[size[i]].pop(i, None)
                         if not where[size[i]]:
                             has &= ~(1 << size[i])
+                    version[b] += 1
+                if fill[b] < capacity:
+                    list_pairs(b)
+                list_pairs(home)
                 changed = True
         if not changed:
             return [b for b in bins if b]

@@ -35,12 +35,72 @@ def test_local_search_is_never_worse_and_mends_best_fit():
     assert len(np.unique(bins)) == 2
 
 
+def better_change(lengths, bins, capacity):
+    """A move, one-for-one or two-for-one swap that fills a bin further from one that is no fuller, by trying all."""
+    own = [np.flatnonzero(bins == b).tolist() for b in np.unique(bins)]
+    fill = [int(lengths[o].sum()) for o in own]
+    for b, mine in enumerate(own):
+        for h, other in enumerate(own):
+            room = capacity - fill[b]
+            if b == h or not room or fill[h] > fill[b]:
+                continue
+            gains = [lengths[i] for i in other]
+            gains += [lengths[i] - lengths[a] for i in other for a in mine]
+            gains += [lengths[i] + lengths[j] - lengths[a] for x, i in enumerate(other) for j in other[:x] for a in mine]
+            if any(0 < g <= room for g in gains):
+                return b, h
+    return None
+
+
+def fewest_bins(lengths, capacity):
+    """The optimum by trying every place for every piece."""
+    best = len(lengths)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for r in sorted({x for x in rooms if x >= lengths[k]}):
+            at = rooms.index(r)
+            place(k + 1, [*rooms[:at], r - lengths[k], *rooms[at + 1 :]])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    lengths = sorted((int(x) for x in lengths), reverse=True)
+    place(0, [])
+    return best
+
+
+def test_no_change_is_left_out():
+    rng = np.random.default_rng(2)
+    for k in range(150):
+        capacity = int(rng.integers(8, 120))
+        low, high = [(1, capacity), (capacity // 6 + 1, capacity // 2 + 1), (1, 5), (capacity // 4, capacity // 3 + 2)][k % 4]
+        lengths = rng.integers(max(1, low), max(2, high + 1), int(rng.integers(2, 60)))
+        lengths = np.minimum(lengths, capacity)
+        bins, offsets = P.pack_lengths(lengths, capacity)
+        check(lengths, bins, offsets, capacity)
+        assert better_change(lengths, bins, capacity) is None
+
+
+def test_small_sets_against_the_optimum():
+    rng = np.random.default_rng(3)
+    extra = []
+    for _ in range(300):
+        capacity = int(rng.integers(8, 40))
+        lengths = rng.integers(1, capacity + 1, int(rng.integers(1, 10)))
+        bins, _ = P.pack_lengths(lengths, capacity)
+        extra.append(len(np.unique(bins)) - fewest_bins(lengths, capacity))
+    assert min(extra) == 0 and max(extra) <= 1 and sum(extra) <= 3
+
+
 def test_documents(spark):
     texts = [None, "", "short", "word " * 5000, "short", "x" * 9000, "<|endoftext|> end"]
     df = spark.createDataFrame([(i, t, 3, "c") for i, t in enumerate(texts)] + [(2, "short", 3, "c")], "doc_id long, text string, piece int, ids string")
     got = P.digest(df).collect()
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     for i, t in enumerate(texts):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
         own = sorted((r for r in got if r.doc_id == i), key=lambda r: (r.piece, r.sequence_id, r.offset))
