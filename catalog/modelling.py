@@ -13,7 +13,7 @@ from loomtab.sources.history import RunHistory
 from loomtab.sources.models import load_model, save_model
 from loomtab.sources.tables import StepCheckpoints
 
-from .neighbours import FEATURES, _vectors
+from .neighbours import DBSCAN_SQL, EPS, FEATURES, _vectors
 from .registry import query, view, wide_table
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -88,6 +88,13 @@ for _name in ("kmeans", "hierarchical", "gmm"):
     query(f"train_{_name}_clustering")(_clusters(_name))
 
 
+@query("train_dbscan_clustering", "with d as (select cluster from (" + DBSCAN_SQL + ")) select cluster as prediction, count(*) as n from d group by 1")
+def train_dbscan(spark, sf):
+    rows = models.assemble(_vectors(spark, sf), FEATURES, ["vec_id"])
+    model = models.train("dbscan", rows, FEATURES, "clustering", {"eps": EPS})
+    return model.predict(rows).groupBy("prediction").agg(F.count("*").alias("n"))
+
+
 @query("train_many")
 def train_many(spark, sf):
     train_rows, test_rows = _parts(spark, sf, HEAVY)

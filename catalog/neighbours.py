@@ -34,7 +34,7 @@ def eps_join(spark, sf):
     return neighbors.eps_counts(_vectors(spark, sf), "vec_id", FEATURES, EPS)
 
 
-@query("dbscan", f"""
+DBSCAN_SQL = f"""
     with recursive {EMB},
     pairs as materialized (select a.vec_id as x, b.vec_id as y from emb a join emb b on {DIST} <= {EPS}),
     core as materialized (select x from pairs group by x having count(*) >= 5),
@@ -44,7 +44,10 @@ def eps_join(spark, sf):
     numbered as (select first, dense_rank() over (order by first) - 1 as cluster from (select distinct first from owner)),
     joined as (select x as vec_id, min(first) as first from pairs join owner on y = node
                where x not in (select x from core) group by 1 union all select node, first from owner)
-    select e.vec_id, coalesce(cluster, -1)::int as cluster from emb e left join joined using (vec_id) left join numbered using (first)""")
+    select e.vec_id, coalesce(cluster, -1)::int as cluster from emb e left join joined using (vec_id) left join numbered using (first)"""
+
+
+@query("dbscan", DBSCAN_SQL)
 def dbscan(spark, sf):
     return cluster.dbscan(_vectors(spark, sf), "vec_id", FEATURES, EPS, 5)
 

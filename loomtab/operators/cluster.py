@@ -1,4 +1,4 @@
-"""Density clustering over grid cells, and the closeness measure used to judge any clustering."""
+"""Density clustering over cells of points, and the closeness measure used to judge any clustering."""
 
 from __future__ import annotations
 
@@ -6,14 +6,15 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col
 from ..functions.ordering import row_index
 from ..functions.staging import materialise
-from .neighbors import CHUNK_ROWS, DISTANCE_DIGITS, _count_within, _distances, _matrix, distinct_points, grid_dims, radius_blocks, vector_of
+from .neighbors import CHUNK_ROWS, Points, _matrix, distinct_points, radius_blocks, radius_cells, vector_of, within_counts
 
 NOISE = -1
 
@@ -52,52 +53,61 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _load_core(points: pa.Table):
+    return Points(_matrix(points.column("vec"))), points.column("fine").to_numpy(zero_copy_only=False).astype(str)
+
+
 def _core_links(eps: float) -> Callable:
     """Which fine cells of core points hang together inside a block, as a forest: each cell with the root of its tree.
 
-    A border query gets one row per tree that reaches it. So a block returns at most one row per cell or border point
-    and tree, however dense it is.
+    A border query gets one row per tree that reaches it. So a batch of queries returns at most one row per cell or border
+    point and tree, however dense its surroundings are.
     """
-    def link(key, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": pd.Series(dtype="int64"), "fine": pd.Series(dtype=str), "near": pd.Series(dtype=str), "core": pd.Series(dtype=bool)})
-        if not len(queries) or not len(points):
-            return empty
-        near = np.round(_distances(_matrix(queries["vec"]), _matrix(points["vec"])), DISTANCE_DIGITS) <= eps
-        rows, cols = np.nonzero(near)
-        if not len(rows):
-            return empty
-        m = len(queries)
-        names, code = np.unique(np.concatenate([queries["fine"].to_numpy().astype(str), points["fine"].to_numpy().astype(str)]), return_inverse=True)
-        core = queries["core"].to_numpy().astype(bool)
-        linked = core[rows]
-        root = _roots(len(names), code[rows[linked]], code[m + cols[linked]])
+    def link(ready, queries: pa.RecordBatch):
+        points, fine = ready
+        q, m = _matrix(queries.column("vec")), queries.num_rows
+        qid, core = queries.column("qid").to_numpy(), queries.column("core").to_numpy(zero_copy_only=False).astype(bool)
+        names, code = np.unique(np.concatenate([queries.column("fine").to_numpy(zero_copy_only=False).astype(str), fine]), return_inverse=True)
+        own, other = code[:m], code[m:]
+        root = np.arange(len(names))
+        touched: list[tuple[np.ndarray, np.ndarray]] = []
+        for s in points.strips(m):
+            r, c = np.nonzero(points.within(q[s], eps))
+            r = r + s.start
+            pairs = np.unique(r * len(names) + other[c])  # each query with the fine cells around it
+            r, c = pairs // len(names), pairs % len(names)
+            linked = core[r]
+            root = _roots(len(names), np.concatenate([np.arange(len(names)), own[r[linked]]]), np.concatenate([root, c[linked]]))
+            touched.append((r[~linked], c[~linked]))
         # a cell takes part if it holds core points: those of core queries, and all of the points
-        cells = np.unique(np.concatenate([code[:m][core], code[m:]]))
-        forest = pd.DataFrame({"qid": 0, "fine": names[cells], "near": names[root[cells]], "core": True})
-        pairs = np.unique(np.stack([rows[~linked], root[code[m + cols[~linked]]]], axis=1), axis=0)
-        border = queries.iloc[pairs[:, 0]]
-        reached = pd.DataFrame({"qid": border["qid"].to_numpy(), "fine": border["fine"].to_numpy(), "near": names[pairs[:, 1]], "core": False})
-        return pd.concat([forest, reached]).astype({"qid": "int64"})
+        cells = np.unique(np.concatenate([own[core], other]))
+        yield _link_rows(np.zeros(len(cells), np.int64), names[cells], names[root[cells]], True)
+        r, c = (np.concatenate(x) for x in zip(*touched))
+        pairs = np.unique(r * len(names) + root[c])
+        r, c = pairs // len(names), pairs % len(names)
+        yield _link_rows(qid[r], names[own[r]], names[c], False)
     return link
 
 
-def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5, min_samples: int = 5, chunk: int = CHUNK_ROWS) -> DataFrame:
-    """(key, cluster): clusters are numbered by their smallest core key, noise is -1.
+def _link_rows(qid: np.ndarray, fine: np.ndarray, near: np.ndarray, core: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(fine, pa.string()), pa.array(near, pa.string()), pa.array(np.full(len(qid), core))], ["qid", "fine", "near", "core"])
+
+
+def _density(points: DataFrame, dims: int, eps: float, min_samples: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """``points`` (id, vec, weight) marked with ``core``, and (id, cluster) of all that belong to a cluster.
 
     Points of one fine cell (side eps / sqrt(d)) are all within eps of each other, so core points are
     connected cell by cell. A border point joins the lowest-numbered cluster that reaches it.
     """
-    features = list(features)
-    points = materialise(distinct_points(df, key, features), "distinct")
-    dims = grid_dims(df, features, eps)
-    counts = radius_blocks(points, dims, eps, _count_within(eps), "qid long, n long", chunk=chunk).groupBy("qid").agg(F.sum("n").alias("n"))
-    side = eps / math.sqrt(len(features))
+    celled, cells = radius_cells(points, dims, chunk)
+    counts = within_counts(celled, cells, eps, chunk)
+    side = eps / math.sqrt(dims)
     fine = F.concat_ws("|", F.transform("vec", lambda x: F.floor(x / F.lit(side)).cast("string")))
     marked = materialise(
-        points.join(counts, F.col("id") == F.col("qid")).select("id", "vec", fine.alias("fine"), (F.col("n") >= min_samples).alias("core")), "marked")
-    core = marked.filter("core").select("id", "vec", "fine")
+        celled.join(counts, F.col("id") == F.col("qid")).select("id", "vec", "cell", fine.alias("fine"), (F.col("n") >= min_samples).alias("core")), "marked")
+    core = marked.filter("core").select("id", "vec", "cell", "fine")
     queries = marked.select(F.col("id").alias("qid"), "vec", "fine", "core")
-    links = materialise(radius_blocks(core, dims, eps, _core_links(eps), "qid long, fine string, near string, core boolean", queries, chunk), "links")
+    links = materialise(radius_blocks(core, cells, eps, _load_core, _core_links(eps), "qid long, fine string, near string, core boolean", queries, chunk), "links")
     edges = links.filter("core").select(F.col("fine").alias("a"), F.col("near").alias("b"))
     components = connected_components(edges)
     # clusters are numbered by their smallest core key
@@ -107,12 +117,67 @@ def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5, m
     border = links.filter(~F.col("core")).join(named, F.col("near") == F.col("node")).groupBy(F.col("qid").alias("id")).agg(F.min("first").alias("first"))
     firsts = materialise(core_label.unionByName(border), "firsts")
     code = row_index(owner.select("first"), ["first"], name="cluster").withColumn("cluster", F.col("cluster").cast("int"))
-    labelled = firsts.join(code, "first")
-    per_vec = marked.join(labelled.select("id", "cluster"), "id", "left").select("vec", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
+    return marked, firsts.join(code, "first").select("id", "cluster")
+
+
+def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5, min_samples: int = 5, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """(key, cluster): clusters are numbered by their smallest core key, noise is -1."""
+    features = list(features)
+    points = materialise(distinct_points(df, key, features), "distinct")
+    marked, labelled = _density(points, len(features), eps, min_samples, chunk)
+    per_vec = marked.join(labelled, "id", "left").select("vec", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
     rows = df.na.drop(subset=features).select(col(key), vector_of(features).alias("vec"))
     return rows.join(per_vec, "vec").select(col(key), "cluster")
 
 
+class DbscanModel:
+    """The core points of a fitted table with their clusters.
+
+    A row belongs to the lowest-numbered cluster with a core point within ``eps`` of it, and is noise (-1) without one. For
+    the rows of the fit these are the clusters of ``dbscan``.
+    """
+
+    def __init__(self, cores: DataFrame, dims: int, eps: float, chunk: int = CHUNK_ROWS) -> None:
+        self.eps, self.chunk, self.dims, self.cores = eps, chunk, dims, cores
+
+    def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
+        """``df`` with an integer ``prediction``."""
+        rows = df.withColumn("__vec", vector_to_array(features))
+        kinds = rows.select("__vec").distinct().withColumn("qid", F.monotonically_increasing_id())
+        kinds = materialise(kinds.withColumnRenamed("__vec", "vec"), "asked")
+        if self.cores.isEmpty():
+            return df.withColumn("prediction", F.lit(NOISE))
+        celled, cells = radius_cells(self.cores, self.dims, self.chunk)
+        near = radius_blocks(celled, cells, self.eps, _load_clusters, _lowest_cluster(self.eps), "qid long, cluster int", kinds.select("qid", "vec"), self.chunk)
+        found = near.groupBy("qid").agg(F.min("cluster").alias("prediction"))
+        named = kinds.join(found, "qid", "left").select(F.col("vec").alias("__v"), F.coalesce("prediction", F.lit(NOISE)).alias("prediction"))
+        return rows.join(named, F.col("__vec") == F.col("__v")).drop("__vec", "__v")
+
+
+def _load_clusters(points: pa.Table):
+    return Points(_matrix(points.column("vec"))), points.column("cluster").to_numpy()
+
+
+def _lowest_cluster(eps: float) -> Callable:
+    def lowest(ready, queries: pa.RecordBatch):
+        points, cluster = ready
+        q, none = _matrix(queries.column("vec")), np.iinfo(np.int32).max
+        best = np.concatenate([np.where(points.within(q[s], eps), cluster, none).min(axis=1) for s in points.strips(len(q))])
+        some = np.flatnonzero(best < none)
+        yield pa.RecordBatch.from_arrays([queries.column("qid").take(pa.array(some)), pa.array(best[some].astype(np.int32))], ["qid", "cluster"])
+    return lowest
+
+
+def fit_dbscan(df: DataFrame, dims: int, eps: float = 0.5, min_samples: int = 5, chunk: int = CHUNK_ROWS) -> DbscanModel:
+    """Fit on a table with a ``features`` vector. Clusters are numbered in the order of their least core point."""
+    rows = df.select(vector_to_array("features").alias("vec"))
+    merged = rows.groupBy("vec").agg(F.count("*").alias("weight"))
+    points = row_index(merged, ["vec"], name="id").select("id", "vec", "weight")
+    marked, labelled = _density(materialise(points, "distinct"), dims, eps, min_samples, chunk)
+    cores = materialise(marked.filter("core").join(labelled, "id").select("id", "vec", "cluster"), "cores")
+    return DbscanModel(cores, dims, eps, chunk)
+
+
 def silhouette(predictions: DataFrame, features: str = "features", prediction: str = "prediction") -> float | None:
     """None when there is only one cluster to judge."""
     if predictions.select(prediction).distinct().limit(2).count() < 2:

@@ -180,6 +180,9 @@ def train(name: str, df: DataFrame, features: Sequence[str], task: str = "classi
         k, restarts = int(params.get("n_clusters", 3)), int(params.get("n_init", 10))
         fits = [KMeans(k=k, seed=SEED + i).fit(df) for i in range(restarts)]
         model = min(fits, key=lambda m: m.summary.trainingCost)
+    elif name == "dbscan":
+        from .cluster import fit_dbscan  # noqa: PLC0415
+        model = fit_dbscan(df, len(features), float(params.get("eps", 0.5)), int(params.get("min_samples", 5)))
     else:
         model = make_estimator(name, task, params, n_rows, len(features), n_classes).fit(df)
     trained = TrainedModel(ALIASES.get(name, name), task, model, list(features), n_classes, params=params, n_samples=n_rows)
@@ -191,7 +194,7 @@ def train(name: str, df: DataFrame, features: Sequence[str], task: str = "classi
 
 def train_many(names: Sequence[str] | None, df: DataFrame, features: Sequence[str], task: str = "classification", params: dict[str, dict[str, Any]] | None = None, parallelism: int = 4) -> dict[str, TrainedModel | str]:
     """Each model or the text of its error: one failure leaves the others alone."""
-    names = list(names or [n for n in available_models(task) if n != "dbscan"])
+    names = list(names or available_models(task))
     params = params or {}
     n_rows = df.count()
     n_classes = max(2, class_count(df)) if task == "classification" else None

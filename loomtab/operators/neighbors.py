@@ -1,9 +1,12 @@
-"""Exact nearest-neighbour and radius searches as bounded block joins.
-
-Points are partitioned into cells. A search visits only the cells whose bounding box can still hold an
-answer, each visited cell is cut into chunks of limited size on both sides, and one task compares one chunk
-of queries with one chunk of points. A block returns at most k candidates (or one count) per query: pairs
-are never written out, a crowded cell is spread over many tasks, and nothing is left out.
+"""Exact nearest-neighbour and radius searches over cells of points.
+
+Points belong to the nearest of some pivots, and a cell is what belongs to one. Of every cell its bounding box is known, and
+the least and largest distance of its points to each of a few pivots. Both bound the distance of a query to anything in
+the cell (the second by the triangle inequality), so a query visits only cells that can still hold an answer. The number
+of cells grows with the table: a cell is what one task can hold. A visit is planned by number alone; then the vectors of a
+cell are sent once and kept, and those of its queries stream past them. Cells with very many points or queries are dealt
+to several tasks on both sides. A task returns at most k candidates (or one count) per query: pairs are never
+written out, and nothing is left out.
 """
 
 from __future__ import annotations
@@ -13,55 +16,31 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.columns import col, shuffle_key
 from ..functions.staging import materialise
 
-CHUNK_ROWS = 2048
-MAX_CELLS = 1024
+CHUNK_ROWS = 32_768  # points of a cell that a task holds
+ASKED = 32_768  # queries that one task answers for a cell
+STRIP = 1 << 21  # distances held at a time
+MAX_CELLS = 65_536
+RINGS = 16  # pivots to which the distances of every cell are known
 BROADCAST_CELLS = 100_000
 DISTANCE_DIGITS = 9
 MAX_GROUPS = 10_000
-CLASS_GAP = 1e12
 NO_NEED = -1
 
 CANDIDATES = "qid long, need int, id long, dist double, value double"
 
 
-# block join ----------------------------------------------------------------------------------------
-def blocked(queries: DataFrame, points: DataFrame, chunk: int, fn: Callable, schema: str, few_cells: bool = False) -> DataFrame:
-    """Run ``fn(key, queries, points)`` on every (cell, query chunk, point chunk).
-
-    Both tables have a ``cell``; queries a ``qid`` and points an ``id``. Only cells above the chunk size
-    appear in the side table of chunk numbers; it is broadcast when its size is known to be small, so that a
-    crowded cell is cut up before it is shuffled.
-    """
-
-    def chunks_of(df: DataFrame, name: str) -> DataFrame:
-        sizes = df.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > chunk)
-        return sizes.select("cell", F.ceil(F.col("n") / chunk).cast("int").alias(name))
-
-    hot = chunks_of(queries, "__nq").join(chunks_of(points, "__np"), "cell", "full")
-    if not few_cells:
-        hot = materialise(hot, "crowded")
-        few_cells = hot.count() <= BROADCAST_CELLS
-    if few_cells:
-        hot = F.broadcast(hot)
-
-    def tagged(df: DataFrame, own: str, key: str, own_tag: str, other: str, other_tag: str) -> DataFrame:
-        own_columns = df.toDF(*df.columns)  # queries and points may come from one table
-        joined = own_columns.join(hot, "cell", "left").na.fill(1, ["__nq", "__np"])
-        placed = joined.withColumn(own_tag, F.pmod(F.xxhash64(key), col(own)).cast("int"))
-        return placed.withColumn(other_tag, F.explode(F.sequence(F.lit(0), col(other) - 1))).drop("__nq", "__np")
-
-    q = tagged(queries, "__nq", "qid", "qc", "__np", "pc")
-    p = tagged(points, "__np", "id", "pc", "__nq", "qc")
-    keys = ["cell", "qc", "pc"]
-    return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(fn, schema)
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
+# distances -----------------------------------------------------------------------------------------
+def _matrix(column) -> np.ndarray:
+    """Rows of numbers from a list column or a sequence of lists; gaps become NaN."""
+    if isinstance(column, (pa.Array, pa.ChunkedArray)):
+        flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
     return np.array([[np.nan if v is None else v for v in row] for row in column], dtype=float)
 
 
@@ -83,34 +62,145 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.sqrt(np.where(both > 0, total * a.shape[1] / both, np.nan))
 
 
-def _top_k(k: int, skip_self: bool) -> Callable:
-    def search(key, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(points):
-            b, ids = _matrix(points["vec"]), points["id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            b, ids = b[order], ids[order]
-            for need, group in queries.groupby("need"):
-                able = np.ones(len(ids), bool) if need == NO_NEED else ~np.isnan(b[:, int(need)])
-                if not able.any():
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of row pairs, rounded so that ties are ties."""
+    return np.round(np.sqrt(np.square(a - b).sum(axis=1)), DISTANCE_DIGITS)
+
+
+class Points:
+    """Whole vectors in a task, with fast squared distances that are off by at most ``slack``."""
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.x = vectors
+        self.square = np.einsum("ij,ij->i", vectors, vectors)
+
+    def near_squares(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = np.einsum("ij,ij->i", q, q)
+        found = own[:, None] + self.square[None, :] - 2.0 * (q @ self.x.T)
+        slack = 1e-12 * (own + self.square.max(initial=0.0)) + 1e-300
+        return found, slack
+
+    def within(self, q: np.ndarray, eps: float) -> np.ndarray:
+        """Which pairs have a (rounded) distance of at most eps."""
+        found, slack = self.near_squares(q)
+        slack = slack + 4.0 * 10.0**-DISTANCE_DIGITS * (eps + 1.0)
+        near = found <= eps * eps - slack[:, None]
+        r, c = np.nonzero((found <= eps * eps + slack[:, None]) & ~near)
+        for lo in range(0, len(r), 1 << 15):
+            s = slice(lo, lo + (1 << 15))
+            near[r[s], c[s]] = _exact(q[r[s]], self.x[c[s]]) <= eps
+        return near
+
+    def strips(self, n: int) -> Iterator[slice]:
+        step = max(1, STRIP // max(1, len(self.x)))
+        for lo in range(0, n, step):
+            yield slice(lo, min(lo + step, n))
+
+
+# block join ----------------------------------------------------------------------------------------
+def blocked(queries: DataFrame, points: DataFrame, chunk: int, load: Callable, answer: Callable, schema: str) -> DataFrame:
+    """Run ``answer(load(points), queries)`` for every cell: all its points at once, its queries batch by batch.
+
+    ``queries``: qid, vec, an array ``cells`` to visit and what ``answer`` reads. ``points``: id, vec, cell and what
+    ``load`` reads. Cells with over ``chunk`` points or ``ASKED`` visits are cut by hash on that side, and the other side is
+    sent to each part; the cuts come from counts of numbers only, before any vector moves.
+    """
+    queries = materialise(queries, "planned")
+    asked = queries.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("q"))
+    sizes = points.groupBy("cell").agg(F.count("*").alias("p")).join(asked, "cell")
+    cut = materialise(sizes.select("cell", F.ceil(F.col("q") / ASKED).cast("int").alias("nq"), F.ceil(F.col("p") / chunk).cast("int").alias("np")), "cuts")
+    units = cut.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("nq") * F.col("np")), F.lit(0)).alias("u")).first()
+    cut = F.broadcast(cut) if units["n"] <= BROADCAST_CELLS else cut
+    visits = queries.withColumn("cell", F.explode("cells")).drop("cells").join(cut, "cell")
+    visits = visits.withColumn("qc", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int")).withColumn("pc", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
+    held = points.join(cut, "cell").withColumn("pc", F.pmod(F.xxhash64("id"), F.col("np")).cast("int")).withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    both = held.drop("nq", "np").withColumn("asks", F.lit(0)).unionByName(visits.drop("nq", "np").withColumn("asks", F.lit(1)), allowMissingColumns=True)
+    order = ["cell", "pc", "qc", "asks", *(["need"] if "need" in queries.columns else [])]
+    dealt = both.repartition(int(min(max(units["u"], 1), 8192)), "cell", "pc", "qc").sortWithinPartitions(*order)
+
+    def run(batches):
+        unit, parts, ready = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "pc", "qc", "asks")])
+            edges = np.flatnonzero(np.concatenate([[True], (np.diff(keys, axis=1) != 0).any(axis=0)])) if batch.num_rows else []
+            for lo, hi in zip(edges, [*edges[1:], batch.num_rows]):
+                own = batch.slice(lo, hi - lo)
+                if tuple(keys[:3, lo]) != unit:
+                    unit, parts, ready = tuple(keys[:3, lo]), [], None
+                if not keys[3, lo]:
+                    parts.append(own)
                     continue
-                pb, pid = b[able], ids[able]
-                dist = np.round(_distances(_matrix(group["vec"]), pb), DISTANCE_DIGITS)
-                qid = group["qid"].to_numpy()
-                if skip_self:
-                    dist[qid[:, None] == pid[None, :]] = np.nan
-                dist[np.isnan(dist)] = np.inf
-                # columns are in id order, so a stable sort breaks ties by id
-                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                found = np.take_along_axis(dist, best, axis=1)
-                rows, cols = np.nonzero(np.isfinite(found))
-                hit = best[rows, cols]
-                value = pb[hit, int(need)] if need != NO_NEED else np.full(len(hit), np.nan)
-                out.append(pd.DataFrame({"qid": qid[rows], "need": np.int32(need), "id": pid[hit], "dist": found[rows, cols], "value": value}))
-        if not out:
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "need": pd.Series(dtype="int32"), "id": pd.Series(dtype="int64"), "dist": pd.Series(dtype=float), "value": pd.Series(dtype=float)})
-        return pd.concat(out)
-    return search
+                if ready is None and parts:
+                    ready, parts = load(pa.Table.from_batches(parts)), []
+                if ready is not None:  # otherwise this part of the cell is empty
+                    yield from (b for b in answer(ready, own) if b.num_rows)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _rows(schema: dict[str, pa.DataType], columns: Sequence) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.values())], list(schema))
+
+
+_CANDIDATE = {"qid": pa.int64(), "need": pa.int32(), "id": pa.int64(), "dist": pa.float64(), "value": pa.float64()}
+
+
+def _load_by_id(points: pa.Table):
+    ids, vectors = points.column("id").to_numpy(), _matrix(points.column("vec"))
+    order = np.argsort(ids, kind="stable")
+    return ids[order], vectors[order], bool(np.isnan(vectors).any())
+
+
+def _top_k(k: int, skip_self: bool) -> Callable:
+    def whole(ids: np.ndarray, points: Points, qid: np.ndarray, q: np.ndarray):
+        """k nearest on whole vectors: fast distances first, exact ones for what may be among the k."""
+        for s in points.strips(len(q)):
+            found, slack = points.near_squares(q[s])
+            if skip_self:
+                found[qid[s][:, None] == ids[None, :]] = np.inf
+            n = min(k, found.shape[1])
+            kth = np.partition(found, n - 1, axis=1)[:, n - 1]
+            kth = np.where(np.isfinite(kth), kth, np.nanmax(np.where(np.isfinite(found), found, -np.inf), axis=1, initial=-np.inf))
+            limit = kth + 2 * slack + 4.0 * 10.0**-DISTANCE_DIGITS * (np.sqrt(np.maximum(kth, 0.0)) + 1.0)
+            r, c = np.nonzero(found <= limit[:, None])
+            dist = _exact(q[s][r], points.x[c])
+            order = np.lexsort((c, dist, r))
+            r, c, dist = r[order], c[order], dist[order]
+            first = np.searchsorted(r, r, "left")
+            keep = np.arange(len(r)) - first < k
+            yield qid[s][r[keep]], c[keep], dist[keep]
+
+    def gappy(ids: np.ndarray, b: np.ndarray, qid: np.ndarray, q: np.ndarray):
+        step = max(1, STRIP // max(1, len(b)))
+        for lo in range(0, len(q), step):
+            s = slice(lo, lo + step)
+            dist = np.round(_distances(q[s], b), DISTANCE_DIGITS)
+            if skip_self:
+                dist[qid[s][:, None] == ids[None, :]] = np.nan
+            dist[np.isnan(dist)] = np.inf
+            # columns are in id order, so a stable sort breaks ties by id
+            best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+            found = np.take_along_axis(dist, best, axis=1)
+            r, c = np.nonzero(np.isfinite(found))
+            yield qid[s][r], best[r, c], found[r, c]
+
+    def answer(ready, queries: pa.RecordBatch):
+        ids, b, holes = ready
+        needs = queries.column("need").to_numpy()
+        qids, q_all = queries.column("qid").to_numpy(), _matrix(queries.column("vec"))
+        for need in np.unique(needs).tolist():
+            mine = needs == need
+            able = np.ones(len(ids), bool) if need == NO_NEED else ~np.isnan(b[:, need])
+            if not able.any():
+                continue
+            pid, pb = (ids, b) if able.all() else (ids[able], b[able])
+            qid, q = qids[mine], q_all[mine]
+            parts = gappy(pid, pb, qid, q) if holes or np.isnan(q).any() else whole(pid, Points(pb), qid, q)
+            for asked, at, dist in parts:
+                value = pb[at, need] if need != NO_NEED else np.full(len(at), np.nan)
+                yield _rows(_CANDIDATE, [asked, np.full(len(at), need), pid[at], dist, value])
+
+    return answer
 
 
 def _best(candidates: DataFrame, k: int) -> DataFrame:
@@ -121,10 +211,19 @@ def _best(candidates: DataFrame, k: int) -> DataFrame:
 
 # cells ---------------------------------------------------------------------------------------------
 class Cells:
-    """Bounding boxes of the point cells, small enough for every task."""
+    """What every task knows of the cells: boxes, distances to the ring pivots, sizes; per group if there are groups."""
 
-    def __init__(self, ids: np.ndarray, low: np.ndarray, high: np.ndarray, rows: np.ndarray, filled: np.ndarray):
-        self.ids, self.low, self.high, self.rows, self.filled = ids, low, high, rows, filled
+    def __init__(self, table: pd.DataFrame, dims: int, pivots: np.ndarray) -> None:
+        self.ids, self.group, self.rows = (table[c].to_numpy() for c in ("cell", "grp", "n"))
+
+        def column(name: str, width: int) -> np.ndarray:
+            return table[[f"{name}{j}" for j in range(width)]].to_numpy(dtype=float) if width else np.zeros((len(table), 0))
+
+        self.filled = column("f", dims)
+        partial = self.filled < self.rows[:, None]
+        self.low, self.high = np.where(partial, np.nan, column("lo", dims)), np.where(partial, np.nan, column("hi", dims))
+        self.rings = pivots[:RINGS] if len(table) and not partial.any() else pivots[:0]  # distances need whole vectors
+        self.near, self.far = column("near", len(self.rings)), column("far", len(self.rings))
 
     def lower_bounds(self, q: np.ndarray) -> np.ndarray:
         """Least possible distance of each query to each cell, on coordinates the whole cell has."""
@@ -134,96 +233,130 @@ class Cells:
             gap = np.where(np.isnan(gap), 0.0, np.maximum(gap, 0.0))
             total += gap * gap
         seen = np.maximum((~np.isnan(q)).sum(axis=1), 1)
-        return np.sqrt(total * (q.shape[1] / seen)[:, None])
-
-
-def _nearest_pivot(pivots: np.ndarray) -> Callable:
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            v = _matrix(pdf["vec"])
+        bound = np.sqrt(total * (q.shape[1] / seen)[:, None])
+        if len(self.rings):
+            to_pivot = _distances(q, self.rings)  # NaN where a query has gaps: then the boxes alone count
+            for p in range(len(self.rings)):
+                ring = np.maximum(self.near[None, :, p] - to_pivot[:, p, None], to_pivot[:, p, None] - self.far[None, :, p])
+                bound = np.fmax(bound, np.where(np.isnan(q).any(axis=1)[:, None], 0.0, ring * (1 - 1e-12)))
+        return bound
+
+
+def _place(pivots: np.ndarray, dims: int) -> Callable:
+    """Add the nearest pivot and the distances to the ring pivots (null for vectors with gaps)."""
+    def assign(batches):
+        for batch in batches:
+            v = _matrix(batch.column("vec"))
             d = np.zeros((len(v), len(pivots)))
-            for j in range(pivots.shape[1]):
+            for j in range(dims):
                 diff = v[:, j, None] - pivots[None, :, j]
                 d += np.where(np.isnan(diff), 0.0, diff * diff)
-            yield pdf.assign(cell=d.argmin(axis=1).astype("int64"))
+            rings = _distances(v, pivots[:RINGS])
+            whole = ~np.isnan(v).any(axis=1) & ~np.isnan(pivots[:RINGS]).any()
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(d.argmin(axis=1).astype(np.int64)), pa.array([r if w else None for r, w in zip(rings, whole)], pa.list_(pa.float64()))],
+                [*batch.schema.names, "pivot", "rings"])
     return assign
 
 
-def _build_cells(points: DataFrame, n: int, dims: int, chunk: int, max_cells: int) -> tuple[DataFrame, Cells]:
+def build_cells(points: DataFrame, n: int, dims: int, chunk: int, max_cells: int = MAX_CELLS) -> tuple[DataFrame, Cells]:
+    """``points`` (id, vec and more; ``grp`` if only points of one group are comparable) with their cell, and the cells."""
+    if "grp" not in points.columns:
+        points = points.withColumn("grp", F.lit(0))
     wanted = max(1, min(max_cells, math.ceil(n / chunk)))
     # a fixed number of pivots, taken in shuffled order
-    pivots = _matrix(pd.Series([r["vec"] for r in points.orderBy(shuffle_key("pivot", F.col("id"))).limit(wanted).select("vec").collect()]))
-    celled = points.mapInPandas(_nearest_pivot(pivots), "id long, vec array<double>, cell long")
-    celled = materialise(celled, "cells")
-    aggs = [F.count("*").alias("n")]
+    pivots = _matrix([r["vec"] for r in points.orderBy(shuffle_key("pivot", F.col("id"))).limit(max(wanted, RINGS)).select("vec").collect()])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
+    centres, rings = pivots[:wanted], pivots[:RINGS]
+
+    def assign(batches):
+        place_rings, place_cells = _place(rings, dims), _place(centres, dims)
+        for batch in batches:
+            for a, b in zip(place_rings([batch]), place_cells([batch])):
+                yield a.set_column(a.schema.get_field_index("pivot"), "pivot", b.column("pivot"))
+
+    placed = points.mapInArrow(assign, f"{kinds}, pivot long, rings array<double>")
+    placed = materialise(placed.withColumn("cell", F.col("grp").cast("long") * wanted + F.col("pivot")).drop("pivot"), "cells")
+    aggs = [F.count("*").alias("n"), F.min("grp").alias("grp")]
     for j in range(dims):
         v = F.col("vec")[j]
         aggs += [F.min(v).alias(f"lo{j}"), F.max(v).alias(f"hi{j}"), F.count(v).alias(f"f{j}")]
-    rows = celled.groupBy("cell").agg(*aggs).orderBy("cell").collect()  # at most max_cells rows
-
-    def column(name: str) -> np.ndarray:
-        return np.array([[np.nan if r[f"{name}{j}"] is None else r[f"{name}{j}"] for j in range(dims)] for r in rows], dtype=float)
-
-    counts, filled = np.array([r["n"] for r in rows]), column("f")
-    partial = filled < counts[:, None]
-    low, high = np.where(partial, np.nan, column("lo")), np.where(partial, np.nan, column("hi"))
-    return celled, Cells(np.array([r["cell"] for r in rows]), low, high, counts, filled)
+    for p in range(len(rings)):
+        aggs += [F.min(F.get("rings", F.lit(p))).alias(f"near{p}"), F.max(F.get("rings", F.lit(p))).alias(f"far{p}")]
+    table = placed.groupBy("cell").agg(*aggs).toPandas().sort_values("cell").reset_index(drop=True)  # a row per cell and group
+    return placed.drop("rings"), Cells(table, dims, rings)
+
+
+def _plan(cells: Cells, choose: Callable) -> Callable:
+    """Batches with a ``cells`` list added: ``choose(batch, own cells, bounds)`` gives a mask of the cells to visit."""
+    def plan(batches):
+        for batch in batches:
+            groups = batch.column("grp").to_numpy() if "grp" in batch.schema.names else np.zeros(batch.num_rows, np.int64)
+            step = max(1, STRIP // max(1, len(cells.ids)))
+            for lo in range(0, batch.num_rows, step):
+                part, group = batch.slice(lo, step), groups[lo : lo + step]
+                q = _matrix(part.column("vec"))
+                lists: list = [None] * len(q)
+                for g in np.unique(group):
+                    mine, own = np.flatnonzero(group == g), np.flatnonzero(cells.group == g)
+                    bound = cells.lower_bounds(q[mine])[:, own]
+                    mask = choose(part.take(pa.array(mine)), own, bound)
+                    for i, m in zip(mine, mask):
+                        lists[i] = cells.ids[own[m]]
+                kept = [c for c in part.schema.names if c != "reach"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(lists, pa.list_(pa.int64()))], [*kept, "cells"])
+    return plan
 
 
 def _first_cells(cells: Cells, k: int) -> Callable:
     """The nearest cells that together surely hold k answers."""
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            bound = cells.lower_bounds(_matrix(pdf["vec"]))
-            order = np.argsort(bound, axis=1, kind="stable")
-            able = np.where(pdf["need"].to_numpy()[:, None] == NO_NEED, cells.rows[None, :], cells.filled[:, np.maximum(pdf["need"], 0)].T)
-            sums = np.cumsum(np.take_along_axis(able, order, axis=1), axis=1)
-            take = np.minimum((sums < k).sum(axis=1) + 1, bound.shape[1])
-            yield pdf.assign(cells=[cells.ids[o[:t]].tolist() for o, t in zip(order, take)])
-    return plan
+    def choose(part, own, bound):
+        need = part.column("need").to_numpy()
+        order = np.argsort(bound, axis=1, kind="stable")
+        able = np.where(need[:, None] == NO_NEED, cells.rows[own][None, :], cells.filled[own][:, np.maximum(need, 0)].T)
+        sums = np.cumsum(np.take_along_axis(able, order, axis=1), axis=1)
+        take = np.minimum((sums < k).sum(axis=1) + 1, bound.shape[1])
+        mask = np.zeros(bound.shape, bool)
+        np.put_along_axis(mask, order, np.arange(bound.shape[1])[None, :] < take[:, None], axis=1)
+        return mask
+    return choose
 
 
 def _more_cells(cells: Cells, k: int) -> Callable:
     """Further cells that may hold something as near as the k-th answer so far."""
     first = _first_cells(cells, k)
 
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            done = next(first(iter([pdf])))["cells"]
-            bound = cells.lower_bounds(_matrix(pdf["vec"]))
-            open_cells = bound <= pdf["reach"].to_numpy()[:, None] * (1 + 1e-12) + 10.0 ** -DISTANCE_DIGITS
-            lists = [[c for c in cells.ids[o].tolist() if c not in set(d)] for o, d in zip(open_cells, done)]
-            yield pdf.drop(columns="reach").assign(cells=lists)
-    return plan
+    def choose(part, own, bound):
+        reach = part.column("reach").to_numpy()[:, None] * (1 + 1e-12) + 10.0**-DISTANCE_DIGITS
+        return (bound <= reach) & ~first(part, own, bound)
+    return choose
 
 
 def search(queries: DataFrame, points: DataFrame, dims: int, k: int, skip_self: bool, chunk: int = CHUNK_ROWS, max_cells: int = MAX_CELLS) -> DataFrame:
-    """(qid, need, id, dist, value, rank) for queries (qid, need, vec) among points (id, vec)."""
+    """(qid, need, id, dist, value, rank) for queries (qid, need, vec) among points (id, vec).
+
+    With a ``grp`` number on both sides only points of the query's group count.
+    """
     # k + 1 copies of a point serve every query, one of them may be the query itself
-    copy = F.row_number().over(W.partitionBy("vec").orderBy("id"))
+    groups = ["grp"] if "grp" in points.columns else []
+    copy = F.row_number().over(W.partitionBy(*groups, "vec").orderBy("id"))
     points = materialise(points.withColumn("__copy", copy).filter(F.col("__copy") <= k + 1).drop("__copy"), "points")
     queries = materialise(queries, "queries")
     n = points.count()
     find = _top_k(k, skip_self)
-    if n <= chunk:
-        one = F.lit(0).cast("long")
-        return _best(blocked(queries.withColumn("cell", one), points.withColumn("cell", one), chunk, find, CANDIDATES, few_cells=True), k)
-    celled, cells = _build_cells(points, n, dims, chunk, max_cells)
-    plan_schema = "qid long, need int, vec array<double>, cells array<long>"
+    celled, cells = build_cells(points, n, dims, chunk, max_cells)
+    planned = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields) + ", cells array<long>"
     enough = k + (1 if skip_self else 0)
 
-    def visit(planned: DataFrame) -> DataFrame:
-        q = planned.select("qid", "need", "vec", F.explode("cells").alias("cell"))
-        return blocked(q, celled, chunk, find, CANDIDATES, few_cells=True)
+    def visit(asking: DataFrame, choose: Callable) -> DataFrame:
+        return blocked(asking.mapInArrow(_plan(cells, choose), planned).drop("grp"), celled.drop("grp"), chunk, _load_by_id, find, CANDIDATES)
 
-    near = materialise(_best(visit(queries.mapInPandas(_first_cells(cells, enough), plan_schema)), k), "near")
+    near = materialise(_best(visit(queries, _first_cells(cells, enough)), k), "near")
+    if len(cells.ids) <= 1:
+        return near
     reach = near.filter(F.col("rank") == k).select("qid", "need", F.col("dist").alias("reach"))
     bounded = queries.join(reach, ["qid", "need"], "left").na.fill(float("inf"), ["reach"])
-    rest = visit(bounded.select("qid", "need", "vec", "reach").mapInPandas(_more_cells(cells, enough), plan_schema))
+    rest = visit(bounded.select(*queries.columns, "reach"), _more_cells(cells, enough))
     return _best(near.drop("rank").unionByName(rest), k)
 
 
@@ -239,22 +372,23 @@ def knn_join(df: DataFrame, key: str, features: Sequence[str], k: int = 5, withi
     With ``within`` only rows of the same group (of any type, at most ``MAX_GROUPS`` groups) are neighbours.
     """
     parts = [*features]
-    extra = []
+    group = []
     if within:
         found = df.select(col(within).cast("string").alias("g")).filter("g is not null").distinct().limit(MAX_GROUPS + 1).collect()
         if len(found) > MAX_GROUPS:
             raise ValueError(f"{within!r} has more than {MAX_GROUPS} groups")
-        numbers = F.create_map(*[F.lit(v) for i, g in enumerate(sorted(r["g"] for r in found)) for v in (g, float(i))]) if found else F.lit(None)
-        extra = [(F.try_element_at(numbers, col(within).cast("string")) if found else F.lit(0.0)) * F.lit(CLASS_GAP)]
+        numbers = F.create_map(*[F.lit(v) for i, g in enumerate(sorted(r["g"] for r in found)) for v in (g, i)]) if found else None
+        group = [(F.try_element_at(numbers, col(within).cast("string")) if found else F.lit(0)).alias("grp")]
 
     def shaped(t: DataFrame, name: str) -> DataFrame:
         rows = t.na.drop(subset=[*parts, *([within] if within else [])])
-        return rows.select(col(key).cast("long").alias(name), F.array(*[col(c).cast("double") for c in parts], *extra).alias("vec"))
+        return rows.select(col(key).cast("long").alias(name), vector_of(parts).alias("vec"), *group)
 
-    q = shaped(df if queries is None else queries, "qid").withColumn("need", F.lit(NO_NEED)).select("qid", "need", "vec")
-    found = search(q, shaped(df, "id"), len(parts) + len(extra), k, True, chunk, max_cells)
+    q = shaped(df if queries is None else queries, "qid").withColumn("need", F.lit(NO_NEED))
+    q = q.select("qid", "need", "vec", *(["grp"] if within else []))
     if within:
-        found = found.filter(F.col("dist") < CLASS_GAP / 2)
+        q = q.filter("grp is not null")  # a group without points
+    found = search(q, shaped(df, "id"), len(parts), k, True, chunk, max_cells)
     return found.select(F.col("qid").alias(key), F.col("id").alias("neighbor"), F.col("dist").alias("distance"), "rank")
 
 
@@ -284,40 +418,35 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = 5, key: str | Non
 
 
 # radius search -------------------------------------------------------------------------------------
-GRID_DIMS = 3
-
+def radius_cells(points: DataFrame, dims: int, chunk: int = CHUNK_ROWS) -> tuple[DataFrame, Cells]:
+    """The cells of ``points`` (id, vec and more), to be searched by any number of ``radius_blocks``."""
+    return build_cells(points, points.count(), dims, chunk)
 
-def grid_dims(df: DataFrame, features: Sequence[str], eps: float) -> list[int]:
-    """The few coordinates with most cells; a projection never loses a pair within the radius."""
-    row = df.agg(*[F.stddev_pop(col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(features)]).first()
-    ranked = sorted(range(len(features)), key=lambda i: (-(row[f"s{i}"] or 0.0), i))
-    return sorted(ranked[:GRID_DIMS])
 
+def radius_blocks(celled: DataFrame, cells: Cells, eps: float, load: Callable, answer: Callable, schema: str, queries: DataFrame | None = None, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """Compare every query with the points of all cells within ``eps`` of it: those whose box and pivot distances allow it.
 
-def radius_blocks(points: DataFrame, dims: Sequence[int], eps: float, fn: Callable, schema: str, queries: DataFrame | None = None, chunk: int = CHUNK_ROWS) -> DataFrame:
-    """Compare every query with the points of its own and the adjacent grid cells, block by block.
-
-    ``points`` has id and vec, plus anything ``fn`` reads; ``queries`` has qid and vec.
+    ``celled`` has id, vec and cell, plus anything ``load`` reads; ``queries`` has qid and vec, plus what ``answer`` reads.
     """
-    def place(j: int):
-        return F.floor(F.col("vec")[j] / F.lit(eps)).cast("long")
-
-    cell = F.concat_ws("|", *[place(j).cast("string") for j in dims])
     if queries is None:
-        queries = points.select(F.col("id").alias("qid"), "vec")
-    q = queries
-    for j in dims:
-        q = q.withColumn(f"__g{j}", F.explode(F.array(place(j) - 1, place(j), place(j) + 1)))
-    q = q.withColumn("cell", F.concat_ws("|", *[F.col(f"__g{j}").cast("string") for j in dims])).drop(*[f"__g{j}" for j in dims])
-    return blocked(q, points.withColumn("cell", cell), chunk, fn, schema)
+        queries = celled.select(F.col("id").alias("qid"), "vec")
+    planned = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields) + ", cells array<long>"
+    reach = eps * (1 + 1e-12) + 10.0**-DISTANCE_DIGITS
+    asking = queries.mapInArrow(_plan(cells, lambda part, own, bound: bound <= reach), planned)
+    return blocked(asking, celled.drop("grp"), chunk, load, answer, schema)
+
+
+def _load_weights(points: pa.Table):
+    return Points(_matrix(points.column("vec"))), points.column("weight").to_numpy().astype(float)
 
 
 def _count_within(eps: float) -> Callable:
-    def count(key, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(points):
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
-        near = np.round(_distances(_matrix(queries["vec"]), _matrix(points["vec"])), DISTANCE_DIGITS) <= eps
-        return pd.DataFrame({"qid": queries["qid"], "n": (near * points["weight"].to_numpy()[None, :]).sum(axis=1)})
+    def count(ready, queries: pa.RecordBatch):
+        points, weight = ready
+        q = _matrix(queries.column("vec"))
+        n = np.concatenate([points.within(q[s], eps) @ weight for s in points.strips(len(q))]).astype(np.int64)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([queries.column("qid").take(pa.array(some)), pa.array(n[some])], ["qid", "n"])
     return count
 
 
@@ -327,12 +456,17 @@ def distinct_points(df: DataFrame, key: str, features: Sequence[str]) -> DataFra
     return rows.groupBy("vec").agg(F.min("k").alias("id"), F.count("*").alias("weight")).select("id", "vec", "weight")
 
 
+def within_counts(celled: DataFrame, cells: Cells, eps: float, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """(qid, n): how much weight lies within ``eps`` of each point of ``celled`` (id, vec, weight, cell)."""
+    counted = radius_blocks(celled, cells, eps, _load_weights, _count_within(eps), "qid long, n long", chunk=chunk)
+    return counted.groupBy("qid").agg(F.sum("n").alias("n"))
+
+
 def eps_counts(df: DataFrame, key: str, features: Sequence[str], eps: float, chunk: int = CHUNK_ROWS) -> DataFrame:
     """How many rows, itself included, lie within ``eps`` of each row."""
     points = materialise(distinct_points(df, key, features), "distinct")
-    dims = grid_dims(df, features, eps)
-    counted = radius_blocks(points, dims, eps, _count_within(eps), "qid long, n long", chunk=chunk)
-    totals = counted.groupBy("qid").agg(F.sum("n").alias("n_within"))
+    celled, cells = radius_cells(points, len(features), chunk)
+    totals = within_counts(celled, cells, eps, chunk).withColumnRenamed("n", "n_within")
     per_vec = points.join(totals, F.col("id") == F.col("qid")).select("vec", "n_within")
     rows = df.na.drop(subset=list(features)).select(col(key), vector_of(features).alias("vec"))
     return rows.join(per_vec, "vec").select(col(key), "n_within")
