@@ -1,15 +1,16 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
 1. Texts with equal shingle sets are one class. The join works on classes; a class' copies are membership.
-2. A forest of ``TREES`` tries: each class has one label of ``DEPTH`` MinHash values per trie. Labels sorted inside a trie put
-   common prefixes next to each other. Matching starts from the longest prefix and shortens it until the expected recall
-   at the threshold, ``1 - (1 - s^depth)^trees``, reaches the target; classes that share a prefix of that depth meet.
-3. Where they meet, agreement of their MinHash values bounds the similarity; pairs that may reach the threshold are united.
+2. A forest of ``TREES`` tries: each class has one label of ``DEPTH`` MinHash values per trie, and classes that share a
+   prefix of a label meet. The pass that makes the labels also compares every row exactly with a bounded sample of
+   documents; how long a prefix the true pairs share is the measured recall of each depth. From the longest on,
+   the prefix is shortened until the recall that was measured, and the one expected at the measured
+   similarities, reach the target. A level of a trie is matched as an equality of its prefixes, not by sorting the labels:
+   a run of one prefix may be a third of all classes, and sorted it would be one task.
+3. Where classes meet, agreement of their MinHash values bounds the similarity; pairs that may reach the threshold are united.
    Only a spanning forest of them is written, never the pairs.
 4. Each group of united classes is verified exactly, all its pairs, on whole shingle sets in tiles of bounded size. A tile
    returns counts per class and a spanning forest of its links.
-5. Recall audit: verified links at similarity s have been found with known probability; if the estimated share of found
-   links is below the target, the prefixes are shortened by one and the join is done again.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ WORDS = 5
 THRESHOLD = 0.8
 TREES = 32
 DEPTH = 8
-RECALL = 0.9999
+RECALL = 0.99999  # over the sample's true pairs
+WORST = 0.999  # at the threshold itself, whatever the sample holds
+AUDIT, AUDIT_BYTES = 256, 200_000  # documents of the sample, and the longest text in it
 TILE = 256  # classes per side of a tile
 MARGIN = 5.0  # standard deviations of the estimated similarity that a pair may lie below the threshold
 
@@ -70,20 +73,96 @@ def forest_depth(threshold: float, recall: float) -> int:
     return depth
 
 
-def _signatures(docs: DataFrame, n: int) -> DataFrame:
-    """(id, tkey, class, labels): per row with a word the class of its shingle set and the MinHash values."""
+class Sample:
+    """Shingle sets of the documents that all rows are compared with."""
+
+    def __init__(self, texts: list[bytes], n: int, threshold: float) -> None:
+        sets = [x for x in shingle_sets(texts, n) if len(x)]
+        self.threshold, self.size = threshold, np.array([len(x) for x in sets], dtype=np.int64)
+        self.names = [_name(x) for x in sets]
+        self.labels = np.stack([minhash(x).reshape(TREES, DEPTH) for x in sets]) if sets else np.zeros((0, TREES, DEPTH), np.uint16)
+        flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(flat, kind="stable")
+        self.hashes, self.owner = flat[order], owner[order]
+
+    def partners(self, sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each shingle set the sample's documents at the threshold or above, and the similarities."""
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        low = np.searchsorted(self.hashes, flat, "left")
+        some = np.flatnonzero(low < len(self.hashes))
+        some = some[self.hashes[low[some]] == flat[some]]
+        low = low[some]
+        n = np.searchsorted(self.hashes, flat[some], "right") - low
+        who = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        doc = np.repeat(np.repeat(np.arange(len(sets)), size)[some], n)
+        pair, shared = np.unique(doc * max(1, len(self.size)) + self.owner[who], return_counts=True)
+        doc, own = pair // max(1, len(self.size)), pair % max(1, len(self.size))
+        like = shared / (size[doc] + self.size[own] - shared)
+        near = like >= self.threshold - 1e-9
+        doc, own, like = doc[near], own[near], like[near]
+        cuts = np.searchsorted(doc, np.arange(len(sets) + 1))
+        return [(own[a:b], like[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def shared_prefix(self, labels: np.ndarray, own: int) -> int:
+        """The longest prefix that some label has in common with the sample's document."""
+        return int(np.cumprod(labels == self.labels[own], axis=1).sum(axis=1).max())
+
+
+def _name(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _signatures(docs: DataFrame, n: int, sample) -> DataFrame:
+    """(id, tkey, class, labels, near, like): per row with a word the class of its shingle set, the MinHash values, and
+    its true partners in the sample."""
 
     def sign(batches):
         for batch in slices(batches, "text"):
             sets = shingle_sets(raw(batch.column("text")), n)
             rows = [i for i, own in enumerate(sets) if len(own)]
-            classes = [hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in rows]
-            labels = [minhash(sets[i]).tobytes() for i in rows]
+            sets = [sets[i] for i in rows]
+            partners = sample.value.partners(sets)
             own = batch.select(["id", "tkey"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(classes, pa.binary()), pa.array(labels, pa.binary())], ["id", "tkey", "class", "labels"])
+            found = [pa.array([_name(x) for x in sets], pa.binary()), pa.array([minhash(x).tobytes() for x in sets], pa.binary()),
+                     pa.array([p for p, _ in partners], pa.list_(pa.int32())), pa.array([s for _, s in partners], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*own.columns, *found], ["id", "tkey", "class", "labels", "near", "like"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(sign, f"id {kind}, tkey binary, class binary, labels binary")
+    return docs.mapInArrow(sign, f"id {kind}, tkey binary, class binary, labels binary, near array<int>, like array<double>")
+
+
+def measured_prefixes(signed: DataFrame, sample) -> dict[tuple[int, float], int]:
+    """{(longest shared prefix, similarity in thousandths): true pairs} of the sample's documents with other classes."""
+
+    def compare(batches):
+        for batch in batches:
+            rows = []
+            for name, labels, near, like in zip(*(batch.column(c).to_pylist() for c in ("class", "labels", "near", "like"))):
+                table = np.frombuffer(labels, np.uint16).reshape(TREES, DEPTH)
+                rows += [(sample.value.shared_prefix(table, i), round(s, 3)) for i, s in zip(near, like) if sample.value.names[i] != name]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.float64()))], ["prefix", "s"])
+
+    once = signed.filter("size(near) > 0").select("class", "labels", "near", "like").dropDuplicates(["class"])
+    found = once.mapInArrow(compare, "prefix int, s double").groupBy("prefix", "s").agg(F.count("*").alias("n")).collect()
+    return {(r.prefix, r.s): r.n for r in found}  # at most 9 x 201
+
+
+def chosen_depth(pairs: dict[tuple[int, float], int], threshold: float, recall: float) -> int:
+    """The longest prefix with enough recall, both as measured and as expected at the measured similarities."""
+    total = sum(pairs.values())
+    if not total:
+        return forest_depth(threshold, recall)
+    depth = forest_depth(threshold, min(recall, WORST))
+    while depth > 1:
+        met = sum(n for (prefix, _), n in pairs.items() if prefix >= depth) / total
+        expected = sum(n * (1 - (1 - min(1.0, s) ** depth) ** TREES) for (_, s), n in pairs.items()) / total
+        if met >= recall and expected >= recall:
+            break
+        depth -= 1
+    return depth
 
 
 def _may_reach(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -180,8 +259,8 @@ def _candidates(classes: DataFrame, depth: int, threshold: float) -> DataFrame:
 
 
 def _verify(groups: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Rows (class, copies, links, a, b, s): for each class and tile the number of linked documents, or a link of the
-    tile's spanning forest, or the number of links at similarity s for the audit."""
+    """Rows (class, links, a, b): for each class and tile the number of linked documents, or a link of the tile's
+    spanning forest."""
     tiled = _tiles(groups, "component", "class").join(texts, "class")
     own = tiled.select("component", "tile", "class", "copies", "text", "__blocks", "__block")
 
@@ -200,7 +279,6 @@ def _verify(groups: DataFrame, texts: DataFrame, threshold: float, n: int) -> Da
                 strip[place, flat[part] - start] = 1
                 shared[np.ix_(rows, rows)] += strip @ strip.T
             union = size[:, None] + size[None, :] - shared
-            like = shared / union
             linked = shared.astype(np.float64) >= threshold * union.astype(np.float64) - 1e-9
             np.fill_diagonal(linked, False)
             if last[1] // blocks != last[1] % blocks:  # a tile of two blocks: pairs inside a block have their own tile
@@ -208,14 +286,11 @@ def _verify(groups: DataFrame, texts: DataFrame, threshold: float, n: int) -> Da
                 linked &= s[:, None] != s[None, :]
             count = (linked * np.array(copies)[None, :]).sum(axis=1)
             edges = _forest(lambda i, others: linked[i, others], len(names))
-            hist = np.bincount(np.minimum((np.triu(like)[np.triu(linked)] * 1000).astype(int), 1000), minlength=1001)
-            some = np.flatnonzero(hist)
-            out = [(names[i], int(count[i]), None, None, None) for i in np.flatnonzero(count)]
-            out += [(None, None, names[i], names[j], None) for i, j in edges]
-            out += [(None, int(hist[k]), None, None, float(k) / 1000) for k in some]
-            columns = list(zip(*out)) if out else [[]] * 5
-            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["class", "links", "a", "b", "s"])
+            out = [(names[i], int(count[i]), None, None) for i in np.flatnonzero(count)]
+            out += [(None, None, names[i], names[j]) for i, j in edges]
+            columns = list(zip(*out)) if out else [[]] * 4
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["class", "links", "a", "b"])
 
         for batch in slices(batches, "text", 1 << 20):
             found = shingle_sets(raw(batch.column("text")), n)
@@ -234,7 +309,7 @@ def _verify(groups: DataFrame, texts: DataFrame, threshold: float, n: int) -> Da
             yield close()
 
     dealt = own.repartition("component", "tile").sortWithinPartitions("component", "tile", "class")
-    return dealt.mapInArrow(check, "class binary, links bigint, a binary, b binary, s double")
+    return dealt.mapInArrow(check, "class binary, links bigint, a binary, b binary")
 
 
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS,
@@ -250,26 +325,21 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     """
     docs = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     docs = docs.withColumn("tkey", text_key(F.col("text")))
-    signed = materialise(_signatures(docs.filter("text is not null"), words), "signed")
+    asked = docs.filter(F.octet_length("text").between(1, AUDIT_BYTES)).orderBy(F.xxhash64("id"), "tkey").limit(AUDIT)
+    sample = df.sparkSession.sparkContext.broadcast(Sample([r.text.encode() for r in asked.select("text").collect()], words, threshold))
+    signed = materialise(_signatures(docs.filter("text is not null"), words, sample), "signed")
     classes = signed.groupBy("class").agg(F.min("id").alias("copies_id"), F.count("*").alias("copies"), F.min("labels").alias("labels"),
                                          F.min_by("tkey", F.struct(F.col("id").isNull(), "id", "tkey")).alias("tkey"))
     classes = materialise(classes, "classes")
-    depth = forest_depth(threshold, recall)
-    while True:
-        found = materialise(_candidates(classes, depth, threshold), "pairs")
-        ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-        groups = materialise(components(ends, found).withColumnRenamed("node", "class"), "groups")
-        one = groups.join(classes.select("class", "copies_id", "copies", F.col("tkey").alias("its_key")), "class")
-        # the text of one row per class of a group
-        at = (F.col("tkey") == F.col("its_key")) & F.col("id").eqNullSafe(F.col("copies_id"))
-        texts = docs.join(one.select("copies_id", "class", "its_key"), at).dropDuplicates(["class"]).select("class", "text")
-        verified = materialise(_verify(one.select("component", "class", "copies"), texts, threshold, words), "verified")
-        seen = verified.filter("s is not null").groupBy("s").agg(F.sum("links").alias("n")).collect()  # at most 1001 rows
-        chance = {r.s: 1 - (1 - min(1.0, r.s + 0.0005) ** depth) ** TREES for r in seen}
-        total, expected = sum(r.n for r in seen), sum(r.n / chance[r.s] for r in seen)
-        if depth == 1 or not total or total / expected >= recall:
-            break
-        depth -= 1
+    depth = chosen_depth(measured_prefixes(signed, sample), threshold, recall)
+    found = materialise(_candidates(classes, depth, threshold), "pairs")
+    ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+    groups = materialise(components(ends, found).withColumnRenamed("node", "class"), "groups")
+    one = groups.join(classes.select("class", "copies_id", "copies", F.col("tkey").alias("its_key")), "class")
+    # the text of one row per class of a group
+    at = (F.col("tkey") == F.col("its_key")) & F.col("id").eqNullSafe(F.col("copies_id"))
+    texts = docs.join(one.select("copies_id", "class", "its_key"), at).dropDuplicates(["class"]).select("class", "text")
+    verified = materialise(_verify(one.select("component", "class", "copies"), texts, threshold, words), "verified")
     counts = verified.filter("class is not null").groupBy("class").agg(F.sum("links").alias("links"))
     nodes = classes.select(F.col("copies_id").alias("node")).distinct()
     named = verified.filter("a is not null").select("a", "b")

@@ -2,6 +2,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomtab.llm import jaccard as J
 from loomtab.llm.common import components
@@ -62,7 +63,30 @@ def test_signatures_estimate_similarity():
         a, b = (np.concatenate([both, rng.integers(0, 1 << 63, int(n * (1 - s) / 2), dtype=np.uint64)]) for _ in range(2))
         agree = np.mean([np.mean(J.minhash(a ^ np.uint64(k)) == J.minhash(b ^ np.uint64(k))) for k in range(8)])
         assert abs(agree - s) < 0.04
-    assert J.forest_depth(0.8, J.RECALL) == 6
+
+
+def test_prefixes_are_shortened_by_what_is_measured(spark):
+    assert J.chosen_depth({}, 0.8, J.RECALL) == J.forest_depth(0.8, J.RECALL)
+    close = {(8, 0.99): 5000}
+    assert J.chosen_depth(close, 0.8, J.RECALL) == J.forest_depth(0.8, J.WORST) == 7
+    assert J.chosen_depth({**close, (4, 0.99): 2}, 0.8, J.RECALL) == 4  # signatures that agree too little count, not only the formula
+    assert J.chosen_depth({(8, 0.8): 5000}, 0.8, J.RECALL) < 7  # luck in the sample does not count
+    assert J.chosen_depth({(0, 0.9): 1}, 0.8, J.RECALL) == 1
+    rng = random.Random(3)
+    base = [[f"w{rng.randint(0, 3000)}" for _ in range(80)] for _ in range(25)]
+    texts = [vary(rng, w, k) for w in base for k in (0, 0, 1, 2)] + ["one two", "one two", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("tkey", J.text_key(F.col("text")))
+    own = [t.encode() for t in texts if t][:60]
+    sample = spark.sparkContext.broadcast(J.Sample(own, 5, 0.8))
+    signed = J._signatures(docs.filter("text is not null"), 5, sample)
+    sets = [shingles(t) for t in texts]
+    for r in signed.collect():
+        want = {i: len(a & sets[r.id]) / len(a | sets[r.id]) for i, a in enumerate(shingles(t.decode()) for t in own) if len(a & sets[r.id]) >= 0.8 * len(a | sets[r.id])}
+        assert dict(zip(r.near, r.like)).keys() == want.keys() and all(abs(want[i] - s) < 1e-9 for i, s in zip(r.near, r.like))
+    found = J.measured_prefixes(signed, sample)
+    classes = {frozenset(s) for s in sets if s}
+    pairs = [(a, b) for a in map(shingles, (t.decode() for t in own)) for b in classes if a != b and len(a & b) >= 0.8 * len(a | b)]
+    assert sum(found.values()) == len(pairs) > 0 and all(p > 0 for p, _ in found)
 
 
 def test_empty_and_repeated_keys(spark):
@@ -70,6 +94,9 @@ def test_empty_and_repeated_keys(spark):
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_links) for r in J.jaccard_join(df).collect()))
     assert got == [(False, 1, 1), (False, 1, 1), (False, 2, 0), (True, 0, 0)]
     assert J.jaccard_join(df.limit(0)).count() == 0
+    long = " ".join(f"w{i}" for i in range(120_000))
+    pair = spark.createDataFrame([(1, long), (2, long + " end"), (3, long[: len(long) // 2])], "doc_id long, text string")
+    assert sorted(map(tuple, J.jaccard_join(pair).collect())) == [(1, 1, 1, 1), (2, 2, 1, 1), (3, 3, 0, 3)]
 
 
 def test_components(spark):
