@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from loomtab.functions.staging import new_path
@@ -167,7 +168,7 @@ def outlier_iforest_remove(spark, sf):
 @query("cross_validate")
 def cross_validate(spark, sf):
     data = _vectors_of(_lines(spark, sf, HEAVY))
-    cv = tuning.cross_validate("decision_tree", data, LINE, "line_key", method="stratified", params={"max_depth": 4})
+    cv = tuning.cross_validate("decision_tree", data, LINE, "line_key", method="stratified")
     rows = [(f"fold{i}", s) for i, s in enumerate(cv.scores)] + [("mean", cv.mean), ("std", cv.std)]
     return spark.createDataFrame(rows, "item string, value double")
 
@@ -182,8 +183,15 @@ def _tuned(name, method, space, n_trials):
 
 
 query("tune_grid")(_tuned("decision_tree", "grid", {"max_depth": [2, 4, 6]}, 0))
-query("tune_random")(_tuned("decision_tree", "random", {"max_depth": ("int", 2, 8), "min_samples_leaf": [1, 5, 20]}, 10))
-query("tune_bayesian")(_tuned("decision_tree", "bayesian", None, 10))
+query("tune_random")(_tuned("decision_tree", "random", {"max_depth": ("int", 2, 8), "min_samples_leaf": [1, 5, 20]}, 50))
+query("tune_bayesian")(_tuned("decision_tree", "bayesian", None, 50))
+
+
+# A label that two columns with few distinct values decide: trees, forests and boosted trees must find it exactly, so SQL
+# can say what they predict for every row.
+PLANTED = "case when l_discount > 0.05 and l_tax < 0.035 then 1 else 0 end"
+LEVEL = "case when l_discount > 0.05 then 3 else 1 end + case when l_tax < 0.035 then 10 else 0 end"
+PLANTED_AT = {"at": "cast(case when l_discount > 0.05 and l_tax - 0.02 < 0.035 then 1 else 0 end as double)"}
 
 
 # explanation ----------------------------------------------------------------------------------------
@@ -230,6 +238,47 @@ def shap_local(spark, sf):
     return explain.top_contributions(explain.contributions(model, data, "line_key"), "line_key", 3)
 
 
+def _additive(model, data, scored):
+    """How many rows are explained, for how many of them contributions and base do not sum to the output, and the largest error."""
+    found = explain.contributions(model, data, "line_key", explain.vector_means(data))
+    sums = found.groupBy("line_key").agg((F.sum("contribution") + F.first("base_value")).alias("total"), F.max("std_error").alias("error"))
+    both = scored.select("line_key", F.col("out")).join(sums, "line_key")
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("out") - F.col("total")) > 1e-6).alias("off"), F.count_if(F.col("error") > 0).alias("inexact"))
+
+
+ADDITIVE = "select count(*) as n_rows, cast(0 as bigint) as off, cast(0 as bigint) as inexact from lineitem"
+
+
+@query("shap_additivity_tree", ADDITIVE)
+def shap_additivity_tree(spark, sf):
+    model, data = _forest(spark, sf)
+    chosen = F.col("scores")[F.col("prediction").cast("int")].alias("out")
+    return _additive(model, data, model.predict(data).select("line_key", chosen))
+
+
+@query("shap_additivity_any", ADDITIVE)
+def shap_additivity_any(spark, sf):
+    """Three classes of a logistic model: neither trees nor one set of weights, so all coalitions are scored."""
+    data = _vectors_of(_lines(spark, sf, BAND)).persist()
+    try:
+        model = models.train("logistic_regression", data, LINE)
+        return _additive(model, data, model.predict(data).select("line_key", F.col("scores")[F.col("prediction").cast("int")].alias("out")))
+    finally:
+        data.unpersist()
+
+
+@query("planted_what_if", f"select {PLANTED_AT['at']} as prediction, count(*) as n, count(*) as explained from lineitem group by 1")
+def planted_what_if(spark, sf):
+    """Scenarios move the tax and keep the discount; a tree that found the rule must answer by the rule."""
+    data = _planted(spark, sf, PLANTED)
+    model = models.train("decision_tree", data, ["l_discount", "l_tax"])
+    asked = _lines(spark, sf, PLANTED).select("line_key", "l_discount", F.expr("l_tax - 0.02").alias("l_tax"))
+    said = explain.what_if(model, asked, "line_key", explain.vector_means(data))
+    top = F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["contribution"]) + F.col("base_value")
+    fits = F.abs(top - F.element_at("probabilities", F.col("prediction").cast("int") + 1)) < 1e-3
+    return said.groupBy("prediction").agg(F.count("*").alias("n"), F.count_if(fits).alias("explained"))
+
+
 @query("grid_cross_join", """
     with g as (select unnest(range(50)) as i, (select min(l_quantity) from lineitem) as a, (select max(l_quantity) from lineitem) as b)
     select i::int as grid_id, round(a + i * (b - a) / 49, 6) as l_quantity, count(*) as n, round(avg(l_discount), 4) as mean_discount from g cross join lineitem group by i, a, b""")
@@ -263,7 +312,7 @@ def whatif_batch(spark, sf):
     data = _vectors_of(rows)
     model = models.train("decision_tree", data, LINE, params={"max_depth": 4})
     asked = rows.select("line_key", F.col("l_quantity").cast("string").alias("l_quantity"), F.lit("not a number").alias("l_discount"), "l_extendedprice")
-    return explain.what_if(model, asked, "line_key", explain.vector_means(data)).drop("contributions")
+    return explain.what_if(model, asked, "line_key", explain.vector_means(data))
 
 
 # whole runs -----------------------------------------------------------------------------------------
@@ -316,11 +365,23 @@ def run_roundtrip(spark, sf):
 @query("auto_explore")
 def auto_explore(spark, sf):
     config = {"models": ["decision_tree", "logistic_regression"], "shap": False}
-    result, tried = automl.auto_explore(_orders(spark, sf), "grade", config=config, key="o_orderkey", folds=3, trees=5)
+    result, tried = automl.auto_explore(_orders(spark, sf), "grade", config=config, key="o_orderkey")
     rows = [(name, score, deviation, name == max(tried, key=lambda t: t[1])[0], result.best) for name, score, deviation, _ in tried]
     return spark.createDataFrame(rows, "preset string, score double, deviation double, winner boolean, best_model string")
 
 
+@query("explore_leakage", "select preset, true as at_chance from (values ('baseline'), ('standard')) t(preset)")
+def explore_leakage(spark, sf):
+    """A random class and a text key that is different in every row, encoded by target means: a strategy whose encoding has seen
+    the rows it is tested on scores 1; a coin, or always the same class, scores two thirds at most."""
+    orders = wide_table(spark, sf, "orders")
+    rows = orders.select("o_orderkey", F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("name"), "o_totalprice",
+                         F.when(F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 8), 16, 10).cast("long") % 2 == 0, "yes").otherwise("no").alias("grade"))
+    config = {"models": ["decision_tree"], "shap": False, "transformation": {"encoding": "target"}}
+    _, tried = automl.auto_explore(rows, "grade", config=config, key="o_orderkey", trees=10, presets=["baseline", "standard"])
+    return spark.createDataFrame([(name, not error and score < 0.75) for name, score, _, error in tried], "preset string, at_chance boolean")
+
+
 @query("goal_loop")
 def goal_loop(spark, sf):
     config = {"models": ["decision_tree", "logistic_regression"], "shap": False, "stacking": False}
@@ -346,12 +407,6 @@ def report_json(spark, sf):
 
 
 # planted rules --------------------------------------------------------------------------------------
-# A label that two columns with few distinct values decide: trees, forests and boosted trees must find it exactly, so SQL
-# can say what they predict for every row.
-PLANTED = "case when l_discount > 0.05 and l_tax < 0.035 then 1 else 0 end"
-LEVEL = "case when l_discount > 0.05 then 3 else 1 end + case when l_tax < 0.035 then 10 else 0 end"
-
-
 def _planted(spark, sf, rule):
     return models.assemble(_lines(spark, sf, rule), ["l_discount", "l_tax"], ["line_key", "label"])
 
@@ -373,6 +428,32 @@ for _name in ("decision_tree", "random_forest", *models.BOOSTING):
 _planted_query("decision_tree", "regression", LEVEL)
 
 
+# A class inside a circle of the two columns' grid: no straight line parts it from the rest. Rows near the circle are left out.
+RING = "(l_discount * 100 - 5) * (l_discount * 100 - 5) + (l_tax * 100 - 4) * (l_tax * 100 - 4)"
+
+
+@query("planted_kernel_svm", f"""
+    select cast({RING} < 8 as int)::double as label, cast({RING} < 8 as int)::double as prediction, count(*) as n from lineitem
+    where {RING} < 6.5 or {RING} > 14.5 group by 1""")
+def planted_kernel_svm(spark, sf):
+    rows = _lines(spark, sf, f"cast({RING} < 8 as int)").filter(f"{RING} < 6.5 or {RING} > 14.5")
+    rows = rows.withColumns({c: F.col(c) * 100 for c in ("l_discount", "l_tax")})
+    data = models.assemble(rows, ["l_discount", "l_tax"], ["line_key", "label"])
+    model = models.train("svm", data, ["l_discount", "l_tax"], params={"kernel": "rbf", "C": 10.0})
+    return model.predict(data).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
+@query("planted_tube_regression", "select true as within_tube, count(*) as n from lineitem")
+def planted_tube_regression(spark, sf):
+    """A line of the columns plus noise no wider than the tube: the machine finds a line with all rows inside it."""
+    noise = "0.04 * (cast(round(l_extendedprice * 100) as bigint) % 3 - 1)"
+    data = _planted(spark, sf, f"3 * l_discount * 10 - 2 * l_tax * 10 + {noise}")
+    rows = data.select("line_key", "label", array_to_vector(F.transform(vector_to_array("features"), lambda x: x * 10)).alias("features"))
+    model = models.train("svm", rows, ["l_discount", "l_tax"], "regression", {"kernel": "linear", "epsilon": 0.05, "C": 100.0})
+    said = model.predict(rows)
+    return said.groupBy((F.abs(F.col("prediction") - F.col("label")) <= 0.052).alias("within_tube")).agg(F.count("*").alias("n"))
+
+
 @query("planted_roundtrip", f"select count(*) as n_rows, cast(0 as bigint) as differing, sum({PLANTED}) as predicted_ones from lineitem")
 def planted_roundtrip(spark, sf):
     """A saved and reloaded tree predicts as before, and as the rule says."""

@@ -11,11 +11,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.columns import col
-from ..functions.staging import new_path
+from ..functions.staging import materialise, new_path
 from .models import TrainedModel
 
 TOP_GLOBAL, TOP_LOCAL, GRID = 10, 15, 50
-PERMUTATIONS = 4
+ENUMERATED = 6  # features of which all coalitions are scored
+PAIRS = 8  # pairs of orders drawn at a time
+TOLERANCE = 0.02  # standard error that is small enough, as a share of what the contributions explain
 
 
 # linear models -------------------------------------------------------------------------------------
@@ -177,40 +179,86 @@ def _output(trained: Any, scored: DataFrame) -> DataFrame:
     return scored.withColumn("__out", F.col("scores")[F.col("__cls")])
 
 
-def sampled_contributions(trained: Any, df: DataFrame, key: str, background: Sequence[float], permutations: int = PERMUTATIONS, seed: int = 42) -> DataFrame:
-    """(key, feature, contribution, base_value) for a model of any kind.
-
-    Features are switched from the background to the row in random orders; each switch earns the change of
-    the output. Rows are expanded and scored by the model itself, then summed per row and feature.
-    """
-    names, d = trained.features, len(trained.features)
-    rng = np.random.default_rng(seed)
-    # each order is followed by its reverse, which evens out early and late switches
-    drawn = [rng.permutation(d).tolist() for _ in range((permutations + 1) // 2)]
-    orders = [o for p in drawn for o in (p, p[::-1])][:permutations]
-    steps = []
-    for order in orders:
-        for j in range(d + 1):
-            mask = [False] * d
-            for f in order[:j]:
-                mask[f] = True
-            gained, lost = (order[j - 1] if j else -1), (order[j] if j < d else -1)
-            steps.append(F.struct(F.array(*[F.lit(v) for v in mask]).alias("mask"), F.lit(gained).alias("gained"), F.lit(lost).alias("lost")))
+def _switched(trained: Any, df: DataFrame, key: str, background: Sequence[float], steps: list) -> DataFrame:
+    """Every row once per step (a struct with a ``mask``), features outside the mask set to the background, scored as ``__out``."""
+    d = len(trained.features)
     own = trained.predict(df).select(col(key), vector_to_array("features").alias("__v"), F.col("prediction").cast("int").alias("__cls"))
     base = F.array(*[F.lit(float(b)) for b in background])
     wide = own.withColumn("__s", F.explode(F.array(*steps)))
     mixed = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.when(F.get(F.col("__s.mask"), i), F.get(F.col("__v"), i)).otherwise(F.get(base, i)))
-    scored = _output(trained, trained.predict(wide.withColumn("features", array_to_vector(mixed))))
+    return _output(trained, trained.predict(wide.withColumn("features", array_to_vector(mixed))))
+
+
+def _mask(d: int, members: Sequence[int]):
+    return F.array(*[F.lit(i in members) for i in range(d)]).alias("mask")
+
+
+def _enumerated(trained: Any, df: DataFrame, key: str, background: Sequence[float]) -> DataFrame:
+    """(key, f, contribution, std_error) from all coalitions; f = number of features has the output of the background."""
+    d = len(trained.features)
+    weight = _shapley_weights(d)
+    steps = []
+    for code in range(1 << d):
+        members = [i for i in range(d) if code >> i & 1]
+        # a coalition earns for its members and costs the others
+        shares = [float(weight[len(members) - 1]) if i in members else -float(weight[len(members)]) for i in range(d)]
+        steps.append(F.struct(_mask(d, members), F.array(*[F.lit(s) for s in shares], F.lit(0.0 if members else 1.0)).alias("share")))
+    scored = _switched(trained, df, key, background, steps)
+    long = scored.select(col(key), "__out", F.posexplode("__s.share").alias("f", "share"))
+    return long.groupBy(col(key), "f").agg(F.sum(F.col("share") * F.col("__out")).alias("contribution"), F.lit(0.0).alias("std_error"))
+
+
+def _drawn(trained: Any, df: DataFrame, key: str, background: Sequence[float], orders: list[list[int]], first: int) -> DataFrame:
+    """(key, f, pair, v): what each feature earns, on average, in a pair of an order and its reverse."""
+    d = len(trained.features)
+    steps = []
+    for k, order in enumerate(orders):
+        for j in range(d + 1):
+            gained, lost = (order[j - 1] if j else -1), (order[j] if j < d else -1)
+            steps.append(F.struct(_mask(d, order[:j]), F.lit(gained).alias("gained"), F.lit(lost).alias("lost"), F.lit(first + k // 2).alias("pair")))
+    scored = _switched(trained, df, key, background, steps)
     parts = F.array(
         F.struct(F.col("__s.gained").alias("f"), F.col("__out").alias("v")),
         F.struct(F.col("__s.lost").alias("f"), (-F.col("__out")).alias("v")),
         F.struct(F.lit(d).alias("f"), F.when(F.col("__s.gained") == -1, F.col("__out")).alias("v")),
     )
-    long = scored.select(col(key), F.inline(parts)).filter((F.col("f") >= 0) & F.col("v").isNotNull())
-    sums = long.groupBy(col(key), "f").agg((F.sum("v") / permutations).alias("contribution"))
+    long = scored.select(col(key), F.col("__s.pair").alias("pair"), F.inline(parts)).filter((F.col("f") >= 0) & F.col("v").isNotNull())
+    return long.groupBy(col(key), "f", "pair").agg((F.sum("v") / 2).alias("v"))
+
+
+def sampled_contributions(trained: Any, df: DataFrame, key: str, background: Sequence[float], permutations: int | None = None, seed: int = 42, tolerance: float = TOLERANCE) -> DataFrame:
+    """(key, feature, contribution, base_value, std_error) for a model of any kind.
+
+    Up to ``ENUMERATED`` features all coalitions are scored: exact, with an error of 0. With more, features are switched
+    from the background to the row in random orders, each followed by its reverse, and each switch earns the
+    change of the output. Pairs of orders are added until the standard error, as a root mean square over rows and
+    features, is at most ``tolerance`` times the root mean square of what a row's contributions sum to. ``permutations``
+    asks for a fixed (even) number of orders instead. Rows are expanded and scored by the model itself.
+    """
+    names, d = trained.features, len(trained.features)
+    if permutations is None and d <= ENUMERATED:
+        sums = _enumerated(trained, df, key, background)
+    else:
+        rng, total, pairs = np.random.default_rng(seed), None, 0
+        while True:
+            more = PAIRS if permutations is None else max(1, permutations // 2)
+            orders = [o for p in (rng.permutation(d).tolist() for _ in range(more)) for o in (p, p[::-1])]
+            drawn = _drawn(trained, df, key, background, orders, pairs).groupBy(col(key), "f").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+            if total is not None:
+                drawn = total.unionByName(drawn).groupBy(col(key), "f").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
+            total, pairs = materialise(drawn, "orders"), pairs + more
+            n = F.lit(float(pairs))
+            spread = F.greatest(F.col("q") - F.col("s") * F.col("s") / n, F.lit(0.0)) / (n * F.greatest(n - 1, F.lit(1.0)))
+            sums = total.select(col(key), "f", (F.col("s") / n).alias("contribution"), F.sqrt(spread).alias("std_error"))
+            if permutations is not None:
+                break
+            per_row = sums.filter(F.col("f") < d).groupBy(col(key)).agg(F.sum("contribution").alias("c"), F.avg(F.col("std_error") ** 2).alias("e"))
+            seen = per_row.agg(F.avg(F.col("c") ** 2).alias("c"), F.avg("e").alias("e")).first()
+            if seen["e"] is None or seen["e"] <= tolerance**2 * seen["c"] or seen["e"] < 1e-24:
+                break
     with_base = sums.withColumn("base_value", F.max(F.when(F.col("f") == d, F.col("contribution"))).over(W.partitionBy(col(key))))
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("f") + 1)
-    return with_base.filter(F.col("f") < d).select(col(key), label.alias("feature"), "contribution", "base_value")
+    return with_base.filter(F.col("f") < d).select(col(key), label.alias("feature"), "contribution", "base_value", "std_error")
 
 
 def vector_means(df: DataFrame) -> list[float]:
@@ -219,17 +267,18 @@ def vector_means(df: DataFrame) -> list[float]:
 
 
 def contributions(trained: Any, df: DataFrame, key: str, background: Sequence[float] | None = None) -> DataFrame:
-    """Tree models by their paths, linear ones by their weights, everything else by sampling."""
+    """(key, feature, contribution, base_value, std_error): tree models by their paths and linear ones by their weights, both
+    exact; everything else by coalitions or orders."""
     model = getattr(trained, "model", None)
     if model is not None and any(t in type(model).__name__ for t in ("DecisionTree", "RandomForest", "GBT")):
-        return tree_contributions(trained, df, key)
+        return tree_contributions(trained, df, key).withColumn("std_error", F.lit(0.0))
     means = list(background) if background is not None else vector_means(df)
-    if model is not None and hasattr(model, "coefficients") and getattr(trained, "n_classes", 0) <= 2:
+    if model is not None and getattr(trained, "n_classes", 0) <= 2 and hasattr(model, "coefficients"):
         values = vector_to_array("features")
         wide = df.select(col(key), *[values[i].alias(f) for i, f in enumerate(trained.features)])
         weights = dict(zip(trained.features, model.coefficients.toArray()))
         base = float(model.intercept) + float(np.dot(model.coefficients.toArray(), means))
-        return linear_contributions(wide, key, weights, dict(zip(trained.features, means))).withColumn("base_value", F.lit(base))
+        return linear_contributions(wide, key, weights, dict(zip(trained.features, means))).withColumns({"base_value": F.lit(base), "std_error": F.lit(0.0)})
     return sampled_contributions(trained, df, key, means)
 
 

@@ -22,17 +22,19 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col
+from ..functions.staging import materialise
 from . import metrics
+from .kernel import COMPONENTS, KERNELS, KernelModel, fit_fourier, fit_support_regression
 from .split import kfold
 
 SEED = 42
 CLASSIFICATION = {
     "logistic_regression": "Logistic Regression", "decision_tree": "Decision Tree", "random_forest": "Random Forest", "xgboost": "Boosted Trees (deep)",
-    "lightgbm": "Boosted Trees (fast)", "catboost": "Boosted Trees (slow learning)", "svm": "Linear SVM", "mlp": "MLP Neural Network",
+    "lightgbm": "Boosted Trees (fast)", "catboost": "Boosted Trees (slow learning)", "svm": "Support Vector Machine", "mlp": "MLP Neural Network",
 }
 REGRESSION = {
     "linear_regression": "Linear Regression", "decision_tree": "Decision Tree", "random_forest": "Random Forest", "xgboost": "Boosted Trees (deep)",
-    "lightgbm": "Boosted Trees (fast)", "catboost": "Boosted Trees (slow learning)", "svm": "Robust Linear Regression",
+    "lightgbm": "Boosted Trees (fast)", "catboost": "Boosted Trees (slow learning)", "svm": "Support Vector Regression",
 }
 CLUSTERING = {"kmeans": "K-Means", "dbscan": "DBSCAN", "hierarchical": "Hierarchical Clustering", "gmm": "Gaussian Mixture Model"}
 ALIASES = {"svr": "svm", "svc": "svm"}
@@ -95,8 +97,6 @@ def make_estimator(name: str, task: str, params: dict[str, Any], n_rows: int, n_
     if name == "svm" and classify:
         base = LinearSVC(regParam=1.0 / (float(params.get("C", 1.0)) * n_rows), maxIter=int(params.get("max_iter", 100)))
         return base if n_classes <= 2 else OneVsRest(classifier=base, parallelism=4)
-    if name == "svm":
-        return LinearRegression(loss="huber", maxIter=int(params.get("max_iter", 100)))
     if name == "mlp" and classify:
         hidden = list(params.get("hidden_layer_sizes", (100, 50)))
         return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=int(params.get("max_iter", 200)), seed=int(params.get("random_state", SEED)))
@@ -183,6 +183,8 @@ def train(name: str, df: DataFrame, features: Sequence[str], task: str = "classi
     elif name == "dbscan":
         from .cluster import fit_dbscan  # noqa: PLC0415
         model = fit_dbscan(df, len(features), float(params.get("eps", 0.5)), int(params.get("min_samples", 5)))
+    elif ALIASES.get(name, name) == "svm":
+        model = _support_machine(df, task, params, n_rows, len(features), n_classes)
     else:
         model = make_estimator(name, task, params, n_rows, len(features), n_classes).fit(df)
     trained = TrainedModel(ALIASES.get(name, name), task, model, list(features), n_classes, params=params, n_samples=n_rows)
@@ -192,6 +194,20 @@ def train(name: str, df: DataFrame, features: Sequence[str], task: str = "classi
     return trained
 
 
+def _support_machine(df: DataFrame, task: str, params: dict[str, Any], n_rows: int, n_features: int, n_classes: int):
+    """Gaussian kernel unless ``kernel`` says linear."""
+    kernel = params.get("kernel", "rbf")
+    if task != "classification":
+        return fit_support_regression(df, n_features, params)
+    if kernel not in KERNELS:
+        raise ValueError(f"kernel must be one of {tuple(KERNELS)}")
+    if kernel == "linear":
+        return make_estimator("svm", task, params, n_rows, n_features, n_classes).fit(df)
+    fourier = fit_fourier(df, n_features, params.get("gamma", "scale"), int(params.get("n_components", COMPONENTS)), int(params.get("random_state", SEED)))
+    mapped = materialise(fourier.apply(df.select("label", "features")), "fourier")
+    return KernelModel(fourier, make_estimator("svm", task, params, n_rows, len(fourier.offset), n_classes).fit(mapped))
+
+
 def train_many(names: Sequence[str] | None, df: DataFrame, features: Sequence[str], task: str = "classification", params: dict[str, dict[str, Any]] | None = None, parallelism: int = 4) -> dict[str, TrainedModel | str]:
     """Each model or the text of its error: one failure leaves the others alone."""
     names = list(names or available_models(task))

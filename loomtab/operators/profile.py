@@ -67,12 +67,28 @@ def dtype_summary(df: DataFrame) -> DataFrame:
 
 
 # one row per column --------------------------------------------------------------------------------
+def filled_and_distinct(df: DataFrame, columns: Sequence[str]) -> tuple[int, list[tuple[int, int]]]:
+    """The number of rows, and for each column its filled cells and its distinct values, exactly, in one pass.
+
+    Every cell becomes a narrow row (column, 128-bit hash of the value); equal ones are merged in the tasks before
+    anything is shuffled, so a column of few values costs a few rows per task whatever the size of the table.
+    """
+    none = F.struct(F.lit(-1).alias("c"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    cells = [F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("c"), F.xxhash64(col(c)).alias("a"), F.xxhash64(F.lit(i), col(c)).alias("b"))) for i, c in enumerate(columns)]
+    merged = df.select(F.inline(F.array_compact(F.array(none, *cells)))).groupBy("c", "a", "b").agg(F.count("*").alias("n"))
+    found = {r["c"]: (r["filled"], r["kinds"]) for r in merged.groupBy("c").agg(F.sum("n").alias("filled"), F.count("*").alias("kinds")).collect()}
+    return found.get(-1, (0, 0))[0], [found.get(i, (0, 0)) for i in range(len(columns))]
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """One row with ``n_rows`` and, per column i, ``m{i}`` missing and ``d{i}`` distinct values."""
-    count = F.approx_count_distinct if approx else F.count_distinct
+    if not approx:
+        n_rows, found = filled_and_distinct(df, columns)
+        numbers = {"n_rows": n_rows, **{f"{t}{i}": v for i, (filled, kinds) in enumerate(found) for t, v in (("m", n_rows - filled), ("d", kinds))}}
+        return df.sparkSession.range(1).select(*[F.lit(v).cast("long").alias(name) for name, v in numbers.items()])
     aggs = [F.count("*").alias("n_rows")]
     for i, c in enumerate(columns):
-        aggs += [F.count(col(c)).alias(f"f{i}"), count(col(c)).alias(f"d{i}")]
+        aggs += [F.count(col(c)).alias(f"f{i}"), F.approx_count_distinct(col(c)).alias(f"d{i}")]
     wide = df.agg(*aggs)
     return wide.select("*", *[(F.col("n_rows") - F.col(f"f{i}")).alias(f"m{i}") for i in range(len(columns))])
 
@@ -315,13 +331,15 @@ def quality_alerts(df: DataFrame) -> DataFrame:
     """Rules over one row of statistics; a table without findings gives one success row."""
     numeric, text = numeric_columns(df), set(text_columns(df))
     repeated = duplicate_rows(df).first()["duplicates"]
-    aggs = [F.count("*").alias("n_rows")]
+    n_rows, found = filled_and_distinct(df, df.columns)
+    counts = {"n_rows": n_rows, **{f"{t}{i}": v for i, (filled, kinds) in enumerate(found) for t, v in (("f", filled), ("d", kinds))}}
+    aggs = []
     for i, c in enumerate(df.columns):
-        aggs += [F.count(col(c)).alias(f"f{i}"), F.count_distinct(col(c)).alias(f"d{i}")]
         if c in numeric:
             x = col(c).cast("double")
             aggs += [F.skewness(x).alias(f"g{i}"), F.stddev_samp(x).alias(f"s{i}")]
-    wide = df.agg(*aggs)
+    shape = df.agg(*aggs) if aggs else df.sparkSession.range(1)
+    wide = shape.select("*", *[F.lit(v).cast("long").alias(name) for name, v in counts.items()])
     n = F.col("n_rows")
 
     def alert(test: Column, level: Column, category: str, name: str | None, message: Column) -> Column:
@@ -356,12 +374,12 @@ def quality_alerts(df: DataFrame) -> DataFrame:
                 skew > 3, F.lit("info"), "skewness", c,
                 F.format_string('%s: lopsided, skewness %.2f', F.lit(c), skew),
             ))
-    found = F.array_compact(F.array(*rules))
+    alerts = F.array_compact(F.array(*rules))
     clean = F.array(F.struct(
         F.lit("success").alias("level"), F.lit("quality").alias("category"), F.lit(None).cast("string").alias("column"),
         F.lit("nothing found").alias("message"),
     ))
-    return wide.select(F.inline(F.when(F.size(found) > 0, found).otherwise(clean)))
+    return wide.select(F.inline(F.when(F.size(alerts) > 0, alerts).otherwise(clean)))
 
 
 def table_preview(df: DataFrame, digits: int = 4) -> DataFrame:

@@ -127,6 +127,24 @@ def test_sampled_contributions_are_exact_for_a_linear_model(data):
     assert np.allclose(a["base_value"].sort_index(), b["base_value"].sort_index(), atol=1e-9)
 
 
+def test_any_model_is_explained_exactly_or_with_its_error(data, monkeypatch):
+    df, _ = data
+    rows = vectors(df, "value").limit(25)
+    model = models.train("decision_tree", vectors(df, "value"), COLS, "regression", {"max_depth": 4})
+    means = explain.vector_means(rows)
+    exact = explain.sampled_contributions(model, rows, "id", means).toPandas().set_index(["id", "feature"]).sort_index()
+    said = model.predict(rows).toPandas().set_index("id")["prediction"]
+    assert (exact["std_error"] == 0).all()
+    assert np.allclose(exact.groupby("id")["contribution"].sum() + exact.groupby("id")["base_value"].first(), said, atol=1e-9)
+    monkeypatch.setattr(explain, "ENUMERATED", 0)
+    drawn = explain.sampled_contributions(model, rows, "id", means, tolerance=0.05).toPandas().set_index(["id", "feature"]).sort_index()
+    assert np.allclose(drawn.groupby("id")["contribution"].sum() + drawn.groupby("id")["base_value"].first(), said, atol=1e-9)
+    off = (drawn["contribution"] - exact["contribution"]).to_numpy()
+    total = exact.groupby("id")["contribution"].sum()
+    assert np.sqrt((drawn["std_error"] ** 2).mean()) <= 0.05 * np.sqrt((total**2).mean()) + 1e-12
+    assert np.sqrt((off**2).mean()) <= 3 * np.sqrt((drawn["std_error"] ** 2).mean()) + 1e-9
+
+
 def test_what_if_treats_bad_values_as_zero(spark, data):
     df, _ = data
     rows = vectors(df, "value")
