@@ -30,8 +30,9 @@ WORDS = 5
 THRESHOLD = 0.8
 TREES = 32
 DEPTH = 8
-RECALL = 0.99999  # over the sample's true pairs
+RECALL = 0.9999  # over the sample's true pairs
 WORST = 0.999  # at the threshold itself, whatever the sample holds
+PART = 1 << 19  # shared shingles counted at a time
 AUDIT, AUDIT_BYTES = 256, 200_000  # documents of the sample, and the longest text in it
 TILE = 256  # classes per side of a tile
 MARGIN = 5.0  # standard deviations of the estimated similarity that a pair may lie below the threshold
@@ -95,10 +96,16 @@ class Sample:
         some = some[self.hashes[low[some]] == flat[some]]
         low = low[some]
         n = np.searchsorted(self.hashes, flat[some], "right") - low
-        who = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        doc = np.repeat(np.repeat(np.arange(len(sets)), size)[some], n)
-        pair, shared = np.unique(doc * max(1, len(self.size)) + self.owner[who], return_counts=True)
-        doc, own = pair // max(1, len(self.size)), pair % max(1, len(self.size))
+        met, place = np.unique(np.repeat(np.arange(len(sets)), size)[some], return_inverse=True)
+        width, upto, shared = len(self.size), np.cumsum(n), 0
+        for lo in range(0, int(upto[-1]) if len(upto) else 0, PART):  # common shingles, a bounded number at a time
+            a, b = np.searchsorted(upto, [lo, lo + PART], "right")
+            part = n[a:b]
+            who = np.repeat(low[a:b] - (np.cumsum(part) - part), part) + np.arange(part.sum())
+            shared = shared + np.bincount(np.repeat(place[a:b], part) * width + self.owner[who], minlength=len(met) * width)
+        pair = np.flatnonzero(shared)
+        doc, own = met[pair // width] if len(met) else pair, pair % max(1, width)
+        shared = shared[pair] if len(pair) else pair
         like = shared / (size[doc] + self.size[own] - shared)
         near = like >= self.threshold - 1e-9
         doc, own, like = doc[near], own[near], like[near]

@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 
@@ -60,12 +61,9 @@ class Encoder:
 
     def __init__(self, path: str, control: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
+        self.path, self.control = path, control
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not control
         ranks = _ranks(file)
         self.fast = None
         if ranks:
@@ -74,6 +72,15 @@ class Encoder:
             special = {t["content"]: t["id"] for t in file.get("added_tokens", [])} if control else {}
             self.fast = tiktoken.Encoding(path, pat_str=_WORDS, mergeable_ranks=ranks, special_tokens=special)
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own tokenizer, loaded when it is needed."""
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.path)
+        own.encode_special_tokens = not self.control
+        return own
+
     def _slow(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 

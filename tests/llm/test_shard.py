@@ -39,3 +39,14 @@ def test_whole_rows_written(spark, tmp_path):
     write_shards(df, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.doc_id, r.text, r.extra) for r in back.collect()) == [(i, str(i), 2 * i) for i in range(50)]
+
+
+def test_ties_and_long_texts(spark):
+    """Rows with equal keys are each placed once, whatever ties; a very long text is one row like any other."""
+    long = "word " * 400_000
+    rows = [(i // 50, long if i == 0 else "t", "a" if i % 2 else "b") for i in range(200)]
+    got = digest(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert Counter(r.doc_id for r in got) == {k: 50 for k in range(4)}
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and {(r.shard, r.slot) for r in got} == {(s, k) for s in sizes for k in range(sizes[s])}
+    assert max(r.size for r in got) == len(long) + 8
