@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.staging import materialise
 from . import metrics
 
-BINS = 64  # of a feature, at most
-HISTOGRAM = 4 << 20  # numbers in the histograms of a pass
+BINS = 32  # of a feature, at most
+HISTOGRAM = 16 << 20  # numbers in the histograms of a pass
 PIECE = 1 << 17  # numbers of one tree's histogram that are summed together
 GROWABLE = ("decision_tree", "random_forest")
 _POISSON = np.cumsum([0.36787944117144233, 0.36787944117144233, 0.18393972058572117, 0.06131324019524039, 0.015328310048810098,
@@ -95,10 +95,11 @@ def bin_rows(df: DataFrame, widths: dict[str, int], key: str) -> tuple[DataFrame
     up to the next; edges are quantiles over all rows of the set, found in one aggregate for all features and sets.
     """
     flat = df.select("rows", "fold", F.xxhash64(F.col(key)).alias("row"), "label", vector_to_array("features").alias("x"))
-    widest = max(widths.values())
     at = [i / BINS for i in range(1, BINS)]
-    found = flat.groupBy("rows").agg(*[F.percentile_approx(F.get("x", F.lit(i)), at, 10_000).alias(f"q{i}") for i in range(widest)])
-    edges = {r["rows"]: [np.unique(np.array(r[f"q{i}"] or [], dtype=np.float64)) for i in range(widths[r["rows"]])] for r in found.collect()}
+    found = flat.select("rows", F.posexplode("x").alias("i", "v")).groupBy("rows", "i").agg(F.percentile_approx("v", at, 10_000).alias("q"))
+    edges = {name: [np.zeros(0)] * width for name, width in widths.items()}
+    for r in found.collect():  # a row per set and feature
+        edges[r["rows"]][r["i"]] = np.unique(np.array(r["q"], dtype=np.float64))
 
     def cut(batches):
         for batch in batches:
@@ -142,7 +143,7 @@ class _Pass:
     """What a task needs for one pass: models by set, and for each tree its arrays, seed and open nodes."""
 
     models: dict[str, list[tuple[int, int, bool, list[int]]]]  # set: (model, held, bootstrap, trees)
-    trees: dict[int, tuple]  # tree: (arrays, seed, open nodes, levels)
+    trees: dict[int, tuple]  # tree: (arrays, seed, open nodes, features each of them tries, levels)
     classes: int  # 0 for regression
 
     @property
@@ -156,12 +157,12 @@ def _sums(broadcast):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for name, fold, row, label, bins in _by_set(batch):
-                n_features = bins.shape[1]
-                place = np.arange(n_features, dtype=np.int64) * BINS
                 for _, held, bootstrap, trees in now.models.get(name, []):
                     inside = np.flatnonzero(fold != held)
                     for t in trees:
-                        arrays, seed, nodes, levels = now.trees[t]
+                        arrays, seed, nodes, features, levels = now.trees[t]
+                        n_features = features.shape[1]
+                        place = np.arange(n_features, dtype=np.int64) * BINS
                         slot_of = np.full(len(arrays[0]), -1, np.int64)
                         slot_of[nodes] = np.arange(len(nodes))
                         weight = draws(row[inside], seed) if bootstrap else np.ones(len(inside), np.int64)
@@ -171,7 +172,7 @@ def _sums(broadcast):
                         good = slot >= 0
                         used, weight, slot = used[good], weight[good].astype(np.float64), slot[good]
                         size = len(nodes) * n_features * BINS * now.width
-                        cell = (slot[:, None] * (n_features * BINS) + place + bins[used]) * now.width
+                        cell = (slot[:, None] * (n_features * BINS) + place + bins[used[:, None], features[slot]]) * now.width
                         if now.classes:
                             got = np.bincount((cell + label[used].astype(np.int64)[:, None]).ravel(), np.repeat(weight, n_features), size)
                         else:
@@ -207,7 +208,7 @@ def _spread(stats: np.ndarray, classes: int) -> np.ndarray:
     return np.maximum(q - s * s / np.maximum(n, 1e-300), 0.0)
 
 
-def best_splits(sums: np.ndarray, allowed: list[np.ndarray], least: int, classes: int) -> list[tuple | None]:
+def best_splits(sums: np.ndarray, least: int, classes: int) -> list[tuple | None]:
     """(feature, cut, left stats, right stats) for each node of ``sums`` [node, feature, bin, stats]; None: no gain."""
     left = np.cumsum(sums, axis=2)
     whole = left[:, :, -1:, :]
@@ -216,20 +217,15 @@ def best_splits(sums: np.ndarray, allowed: list[np.ndarray], least: int, classes
     gain = _spread(whole, classes) - _spread(left, classes) - _spread(right, classes)
     gain[(weigh(left) < least) | (weigh(right) < least)] = -1.0
     out: list[tuple | None] = []
-    for i, features in enumerate(allowed):
-        g = gain[i, features]
+    for i, g in enumerate(gain):
         f, b = np.unravel_index(int(np.argmax(g)), g.shape)
         enough = 1e-9 * max(float(_spread(whole[i, 0, 0], classes)), 1e-12)
-        if g[f, b] <= enough:
-            out.append(None)
-        else:
-            j = int(features[f])
-            out.append((j, int(b), left[i, j, b].tolist(), right[i, j, b].tolist()))
+        out.append(None if g[f, b] <= enough else (int(f), int(b), left[i, f, b].tolist(), right[i, f, b].tolist()))
     return out
 
 
 def _splits(settings):
-    """``settings``: tree -> (open nodes, features, share, seed, least, classes)."""
+    """``settings``: tree -> (open nodes, features each of them tries, least, classes)."""
 
     def split(batches):
         held: dict[tuple[int, int], np.ndarray] = {}
@@ -239,14 +235,13 @@ def _splits(settings):
                 held[t, piece] = held[t, piece] + own if (t, piece) in held else own
         rows = []
         for (t, piece), flat in held.items():
-            nodes, features, share, seed, least, classes = settings.value[t]
-            width = classes or 3
-            sums = flat.reshape(-1, features, BINS, width)
-            first = piece * _nodes_of_piece(features * BINS * width)
-            own = nodes[first : first + len(sums)]
-            found = best_splits(sums, [tried(features, share, seed, n) for n in own], least, classes)
-            for n, here, s in zip(own, sums, found):
-                rows.append((t, n, here[0].sum(axis=0).tolist(), *(s if s else (-1, 0, None, None))))
+            nodes, features, least, classes = settings.value[t]
+            width, n_features = classes or 3, features.shape[1]
+            sums = flat.reshape(-1, n_features, BINS, width)
+            first = piece * _nodes_of_piece(n_features * BINS * width)
+            own, names = nodes[first : first + len(sums)], features[first : first + len(sums)]
+            for n, feature, here, s in zip(own, names, sums, best_splits(sums, least, classes)):
+                rows.append((t, n, here[0].sum(axis=0).tolist(), *((int(feature[s[0]]), *s[1:]) if s else (-1, 0, None, None))))
         if rows:
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["tree", "node", "value", "feature", "cut", "left", "right"])
@@ -266,7 +261,8 @@ def grow(binned: DataFrame, widths: dict[str, int], models: Sequence[Model], cla
     while True:
         chosen, room = [], HISTOGRAM
         for t, tree in trees.items():
-            size = len(tree.open) * widths[models[tree.model].rows] * BINS * width
+            model = models[tree.model]
+            size = len(tree.open) * len(tried(widths[model.rows], model.share, 0, 0)) * BINS * width
             if tree.open and (not chosen or size <= room):
                 chosen.append(t)
                 room -= size
@@ -277,9 +273,10 @@ def grow(binned: DataFrame, widths: dict[str, int], models: Sequence[Model], cla
         for t in chosen:
             tree, model = trees[t], models[trees[t].model]
             by_set.setdefault(model.rows, {}).setdefault(tree.model, (tree.model, model.held, model.bootstrap, []))[3].append(t)
-            settings[t] = (tree.open, widths[model.rows], model.share, tree.seed, model.least, classes)
+            features = np.stack([tried(widths[model.rows], model.share, tree.seed, n) for n in tree.open])
+            settings[t] = (tree.open, features, model.least, classes)
         now = _Pass({s: list(m.values()) for s, m in by_set.items()},
-                    {t: (trees[t].arrays(), trees[t].seed, np.array(trees[t].open), max(trees[t].level) + 1) for t in chosen}, classes)
+                    {t: (trees[t].arrays(), trees[t].seed, np.array(trees[t].open), settings[t][1], max(trees[t].level) + 1) for t in chosen}, classes)
         state, limits = context.broadcast(now), context.broadcast(settings)
         sums = binned.mapInArrow(_sums(state), "tree int, piece int, sums binary")
         parts = max(1, min(len(chosen), 2 * context.defaultParallelism))

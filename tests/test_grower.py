@@ -53,8 +53,8 @@ def test_a_tree_equals_the_plain_one(spark, classes, monkeypatch):
     monkeypatch.setattr(G, "HISTOGRAM", 5000)  # several passes per level
     rng = np.random.default_rng(5)
     n = 400
-    x = np.stack([rng.integers(0, 30, n), rng.integers(0, 20, n), rng.integers(0, 5, n)], axis=1).astype(float)
-    y = ((x[:, 0] > 12) + (x[:, 1] + rng.integers(0, 4, n) > 9)).astype(float) if classes else x[:, 0] * (x[:, 2] > 2) + rng.normal(0, 1, n)
+    x = np.stack([rng.integers(0, 12, n), rng.integers(0, 9, n), rng.integers(0, 5, n)], axis=1).astype(float)
+    y = ((x[:, 0] > 5) + (x[:, 1] + rng.integers(0, 4, n) > 5)).astype(float) if classes else x[:, 0] * (x[:, 2] > 2) + rng.normal(0, 1, n)
     fold = rng.integers(0, 2, n)
     binned, _ = G.bin_rows(rows_of(spark, x, y, fold), {"s": 3}, "id")
     asked = [G.Model("s", held, 1, depth, least) for held in (0, 1) for depth, least in ((1, 1), (3, 15), (4, 20))]
