@@ -454,6 +454,15 @@ def planted_tube_regression(spark, sf):
     return said.groupBy((F.abs(F.col("prediction") - F.col("label")) <= 0.052).alias("within_tube")).agg(F.count("*").alias("n"))
 
 
+# Two groups of discounts with a wide gap between them: the last merge must be the one across the gap.
+@query("planted_agglomerative", "select case when l_discount > 0.05 then 1 else 0 end as cluster, count(*) as n from lineitem group by 1")
+def planted_agglomerative(spark, sf):
+    data = _lines(spark, sf, "0").withColumn("l_discount", F.expr("l_discount * 100 + case when l_discount > 0.05 then 40 else 0 end"))
+    rows = models.assemble(data, ["l_discount"], ["line_key"])
+    model = models.train("hierarchical", rows, ["l_discount"], "clustering", {"n_clusters": 2})
+    return model.predict(rows).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
+
+
 @query("planted_roundtrip", f"select count(*) as n_rows, cast(0 as bigint) as differing, sum({PLANTED}) as predicted_ones from lineitem")
 def planted_roundtrip(spark, sf):
     """A saved and reloaded tree predicts as before, and as the rule says."""

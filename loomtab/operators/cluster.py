@@ -6,9 +6,11 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col
@@ -178,6 +180,104 @@ def fit_dbscan(df: DataFrame, dims: int, eps: float = 0.5, min_samples: int = 5,
     return DbscanModel(cores, dims, eps, chunk)
 
 
+# agglomerative -------------------------------------------------------------------------------------
+def ward_merges(centres: np.ndarray, weight: np.ndarray) -> list[tuple[int, int, float]]:
+    """Ward's merges (a, b, rise of the sum of squares) of weighted points, by chains of nearest neighbours; b joins a.
+
+    A chain goes from a cluster to its nearest one until two are each other's nearest; those merge. The merges are those
+    of always taking the closest pair, in another order; sorted by their rise they are the tree.
+    """
+    n = len(centres)
+    x, w = centres.astype(float).copy(), weight.astype(float).copy()
+    alive = np.ones(n, bool)
+    merges, chain = [], []
+
+    def rises(i: int) -> np.ndarray:
+        d = np.square(x - x[i]).sum(axis=1) * (w * w[i] / (w + w[i]))
+        d[~alive] = np.inf
+        d[i] = np.inf
+        return d
+
+    while len(merges) < n - 1:
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        d = rises(chain[-1])
+        near = int(np.argmin(d))
+        if len(chain) > 1 and d[chain[-2]] <= d[near]:
+            a, b = sorted((chain.pop(), chain.pop()))
+            merges.append((a, b, float(min(d[a], d[b]))))
+            x[a] = (w[a] * x[a] + w[b] * x[b]) / (w[a] + w[b])
+            w[a] += w[b]
+            alive[b] = False
+        else:
+            chain.append(near)
+    return merges
+
+
+def cut_merges(n: int, merges: list[tuple[int, int, float]], clusters: int) -> np.ndarray:
+    """Cluster numbers after all but the last ``clusters`` - 1 merges, in the order of each cluster's first point."""
+    parent = np.arange(n)
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b, _ in sorted(merges, key=lambda m: m[2])[: max(0, n - clusters)]:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return np.unique([root(i) for i in range(n)], return_inverse=True)[1]
+
+
+class WardModel:
+    """Clusters of micro-clusters: a row belongs where its nearest centre does."""
+
+    def __init__(self, centres: np.ndarray, labels: np.ndarray) -> None:
+        self.centres, self.labels = centres, labels
+
+    def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
+        centres, labels = self.centres, self.labels
+        square = np.square(centres).sum(axis=1)
+
+        @F.pandas_udf("int")
+        def nearest(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=np.int32)
+            rows = np.stack(x.to_numpy())
+            step = max(1, (1 << 22) // len(centres))
+            found = [labels[(square - 2 * rows[lo : lo + step] @ centres.T).argmin(axis=1)] for lo in range(0, len(rows), step)]
+            return pd.Series(np.concatenate(found).astype(np.int32))
+
+        return df.withColumn("prediction", nearest(vector_to_array(features)))
+
+
+MICRO = 2000  # micro-clusters that Ward's method works on
+
+
+def fit_ward(df: DataFrame, dims: int, clusters: int = 3, most: int = MICRO, seed: int = 42) -> WardModel:
+    """Agglomerative clustering with Ward's linkage.
+
+    Up to ``most`` distinct points are merged as they are. More are first summed up in ``most`` micro-clusters (number of
+    rows and mean, by k-means over distinct points); their merges are then exact. ``clusters`` beyond the number of
+    points gives each point its own.
+    """
+    merged = df.select(vector_to_array("features").alias("vec")).groupBy("vec").agg(F.count("*").alias("weight"))
+    merged = materialise(merged, "distinct")
+    if merged.limit(most + 1).count() > most:
+        rows = merged.withColumn("features", array_to_vector("vec"))
+        near = KMeans(k=most, maxIter=5, seed=seed, weightCol="weight").fit(rows).transform(rows)
+        w = F.col("weight")
+        means = [(F.sum(w * F.get("vec", F.lit(j))) / F.sum(w)).alias(f"m{j}") for j in range(dims)]
+        found = near.groupBy("prediction").agg(F.sum("weight").alias("weight"), *means).select("weight", F.array(*[f"m{j}" for j in range(dims)]).alias("vec"))
+    else:
+        found = merged
+    held = sorted((tuple(r.vec), r.weight) for r in found.collect())  # at most ``most`` rows
+    centres = np.array([v for v, _ in held], dtype=float).reshape(len(held), dims)
+    weight = np.array([w for _, w in held], dtype=float)
+    return WardModel(centres, cut_merges(len(held), ward_merges(centres, weight), clusters))
+
+
 def silhouette(predictions: DataFrame, features: str = "features", prediction: str = "prediction") -> float | None:
     """None when there is only one cluster to judge."""
     if predictions.select(prediction).distinct().limit(2).count() < 2:

@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -100,8 +100,6 @@ def make_estimator(name: str, task: str, params: dict[str, Any], n_rows: int, n_
     if name == "mlp" and classify:
         hidden = list(params.get("hidden_layer_sizes", (100, 50)))
         return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=int(params.get("max_iter", 200)), seed=int(params.get("random_state", SEED)))
-    if name == "hierarchical":
-        return BisectingKMeans(k=int(params.get("n_clusters", 3)), seed=SEED)
     if name == "gmm":
         return GaussianMixture(k=int(params.get("n_components", 3)), seed=SEED)
     raise ValueError(f"no estimator for {name} / {task}")
@@ -180,6 +178,9 @@ def train(name: str, df: DataFrame, features: Sequence[str], task: str = "classi
         k, restarts = int(params.get("n_clusters", 3)), int(params.get("n_init", 10))
         fits = [KMeans(k=k, seed=SEED + i).fit(df) for i in range(restarts)]
         model = min(fits, key=lambda m: m.summary.trainingCost)
+    elif name == "hierarchical":
+        from .cluster import fit_ward  # noqa: PLC0415
+        model = fit_ward(df, len(features), int(params.get("n_clusters", 3)))
     elif name == "dbscan":
         from .cluster import fit_dbscan  # noqa: PLC0415
         model = fit_dbscan(df, len(features), float(params.get("eps", 0.5)), int(params.get("min_samples", 5)))
