@@ -1,7 +1,10 @@
 """A corpus pipeline: language, near copies, repeated passages, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; stages are written as Parquet in the
-checkpoint folder and read again. All but the last return the columns of ``documents``.
+checkpoint folder and read again. All but the last return the columns of ``documents``; columns beyond those pass through the
+first two stages and end with the third, whatever their names.
+
+Every stage takes nulls in any column, repeated rows, texts of any length and empty tables; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -16,19 +19,22 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an identified language stay: those without letters, or that no language explains, go."""
+    """Documents with an identified language stay: those without letters (null and empty texts too), or that no language
+    explains, go. Null labels teach nothing; repeated rows are judged alike; of equal proportions the first name wins."""
     return language.identified(docs, language.fit_on_fold(docs))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with a 5-word Jaccard similarity of 0.8 or more stays: the smallest id."""
+    """One document of each group with a 5-word Jaccard similarity of 0.8 or more stays: the smallest id. Texts without a word
+    and documents without an id are their own group unless their texts meet; rows that repeat the id that stays all stay."""
     return jaccard.one_of_each(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 35 words and more that also start elsewhere are taken out; a document that loses all its words goes.
 
-    A text that loses words is its kept words joined by one space, and ``n_chars`` its new length.
+    A text that loses words is its kept words joined by one space, and ``n_chars`` its new length. Repeated rows are each
+    other's repeats. A null text has nothing to lose and stays.
     """
     found = substrings.remove_repeats(docs).filter("n_removed = 0 or n_words > n_removed")
     cut = F.col("n_removed") > 0
@@ -36,12 +42,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which windows of benchmark items cover a twentieth of the words or more go; others stay as they are."""
+    """Documents of which windows of benchmark items cover a twentieth of the words or more go; others stay as they
+    are, repeated rows alike. A null text has no words, an empty benchmark no windows."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the kept documents with their places in sequences of 2048."""
+    """Token pieces of the kept documents with their places in sequences of 2048. A null text is an empty one, repeated rows are
+    packed each, pieces of equal length in the order they come."""
     return packing.digest(docs)
 
 

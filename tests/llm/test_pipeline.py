@@ -55,7 +55,7 @@ def test_odd_tables(spark, small):
             docs = C.materialise(stage(spark, docs, small), "odd-" + name)
             kept = {r.doc_id for r in docs.collect()}
             if name != "packing":
-                assert tuple(docs.columns) == C.COLUMNS
+                assert set(docs.columns) >= set(C.COLUMNS) and (name in ("language", "near_copies") or tuple(docs.columns) == C.COLUMNS)
             if full:
                 assert not kept & {50, 51, 52} and (name == "language" or 61 not in kept)
             else:
