@@ -16,3 +16,43 @@ def test_no_task_gets_more_rows_as_the_table_grows(spark, small, monkeypatch):
 
 def test_small_tables_are_dealt_to_all_cores(spark, small):
     assert registry.wide_table(spark, small, "lineitem").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_isolation_samples_are_the_smallest_hashes_and_few_rows_are_sorted(spark, monkeypatch):
+    from loomtab.functions.columns import shuffle_key
+    from loomtab.operators import isolation
+    written = []
+    keep = isolation.materialise
+    monkeypatch.setattr(isolation, "materialise", lambda df, label: written.append((label, keep(df, label))) or written[-1][1])
+    for ids, widest in (("id", 1.5), ("id % 3", None), ("cast(null as bigint)", None)):  # plain, repeated and null ids
+        rows = spark.range(0, 4000, 1, 1).select(F.expr(ids).alias("id"), F.array(F.col("id").cast("double")).alias("vec"))
+        got = isolation._tree_samples(rows, 4000, 3, 20, 42).select("tree", "h")
+        want = []
+        for t in range(3):
+            want += sorted((t, r.h) for r in rows.select(shuffle_key(42, F.lit(t), F.col("id")).alias("h")).collect())[:20]
+        assert sorted(map(tuple, got.collect())) == want
+        if widest:
+            assert written[-1][1].count() < 3 * 20 * isolation.BOUND * widest
+
+
+def test_isolation_deals_a_small_file_to_all_cores(spark):
+    from loomtab.operators import isolation
+    one = spark.range(0, 3000, 1, 1).select("id", F.sin("id").alias("a"))
+    flagged = isolation.isolation_flags(one, ["a"], key="id", trees=3)
+    assert len([p for p in flagged.inputFiles()]) >= spark.sparkContext.defaultParallelism
+    assert flagged.count() == 3000
+
+
+def test_rows_without_a_key_are_paired_by_many_tasks(spark):
+    from loomtab.operators import combine
+    left = spark.range(0, 400, 1, 1).select(F.expr("case when id % 2 = 0 then null else id end").alias("k"), F.col("id").alias("a"))
+    right = spark.range(0, 300, 1, 1).select(F.expr("case when id % 3 = 0 then null else id end").alias("k"), F.col("id").alias("b"))
+    for how in ("inner", "left", "right", "outer"):
+        for l, r in ((left, right), (left.filter("k is not null"), right), (left, right.filter("k is not null"))):
+            want = l.alias("l").join(r.alias("r"), F.col("l.k").eqNullSafe(F.col("r.k")), how).select(F.coalesce("l.k", "r.k").alias("k"), "a", "b")
+            got = combine.join_on(l, r, "k", how)
+            assert got.columns == ["k", "a", "b"]
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    bare = combine.join_on(left, right, "k", "right").filter("k is null")
+    sizes = [r["count"] for r in bare.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 4_000
