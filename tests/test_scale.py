@@ -56,3 +56,40 @@ def test_rows_without_a_key_are_paired_by_many_tasks(spark):
     bare = combine.join_on(left, right, "k", "right").filter("k is null")
     sizes = [r["count"] for r in bare.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 20_000 and max(sizes) < 4_000
+
+
+def test_trees_in_common_are_grown_once_and_cut_back(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.functions import array_to_vector
+    from loomtab.operators import grower, tune
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 3))
+    pdf = pd.DataFrame({"id": np.arange(600), "label": ((x[:, 0] * x[:, 1] > 0) ^ (rng.random(600) < 0.1)).astype(float), "x": x.tolist()})
+    df = spark.createDataFrame(pdf).select("id", "label", array_to_vector("x").alias("features"))
+    rows = df.select(F.lit("").alias("rows"), (F.col("id") % 3).cast("int").alias("fold"), "id", "label", "features")
+    binned, _ = grower.bin_rows(rows, {"": 3}, "id")
+    for classes in (2, 0):
+        for name in grower.GROWABLE:
+            task = "classification" if classes else "regression"
+            ask = lambda: [grower.forest_model(name, {"n_estimators": n, "max_depth": d, "min_samples_leaf": least}, task, "", f, 8, 10)
+                           for n, d, least in ((3, 2, 1), (2, 5, 1), (2, 3, 4), (2, 5, 1)) for f in (0, 1)]
+            alone, together, later = ask(), ask(), ask()
+            for m in alone:
+                grower.grow(binned, {"": 3}, [m], classes)
+            grower.grow(binned, {"": 3}, together, classes)
+            known = {}
+            for m in later:
+                grower.grow(binned, {"": 3}, [m], classes, known)
+            for a, b, c in zip(alone, together, later):
+                for t, u, v in zip(a.grown, b.grown, c.grown, strict=True):
+                    assert (t.feature, t.cut, t.left, t.right, t.level) == (u.feature, u.cut, u.left, u.right, u.level) == (v.feature, v.cut, v.left, v.right, v.level)
+                    assert np.allclose(np.array(t.value), np.array(u.value)) and np.allclose(np.array(t.value), np.array(v.value))
+            assert sum(len(w.grown) for w in known.values()) == (10 if name == "random_forest" else 4)
+    binnings, passes = [], []
+    bin_rows, grow_open = grower.bin_rows, grower._grow_open
+    monkeypatch.setattr(grower, "bin_rows", lambda *a: binnings.append(a) or bin_rows(*a))
+    monkeypatch.setattr(grower, "_grow_open", lambda *a: passes.append(a[2]) or grow_open(*a))
+    space = {"max_depth": ("int", 1, 3), "min_samples_leaf": ("int", 1, 2)}
+    found = tune.tune("decision_tree", df, ["a", "b", "c"], "id", method="bayesian", space=space, n_trials=12)
+    assert len(found.trials) == 12 and len(binnings) == 1 and all(len(p) <= 6 for p in passes)
