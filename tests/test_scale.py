@@ -93,3 +93,23 @@ def test_trees_in_common_are_grown_once_and_cut_back(spark, monkeypatch):
     space = {"max_depth": ("int", 1, 3), "min_samples_leaf": ("int", 1, 2)}
     found = tune.tune("decision_tree", df, ["a", "b", "c"], "id", method="bayesian", space=space, n_trials=12)
     assert len(found.trials) == 12 and len(binnings) == 1 and all(len(p) <= 6 for p in passes)
+
+
+def test_rows_of_one_pattern_are_explained_once(monkeypatch):
+    import numpy as np
+    from loomtab.operators import explain
+    rng = np.random.default_rng(5)
+    data = rng.random((3000, 4))
+    rule = lambda cut: (np.array([cut]), False)
+    leaves = [(np.array([0.2, 0.8]), [(0, 0.3, [(rule(0.3), True)]), (2, 0.6, [(rule(0.4), False), (rule(0.9), True)]), (3, 0.5, [(rule(0.5), True)])]),
+              (np.array([0.7, 0.3]), [(1, 0.25, [(rule(0.75), False)])])]
+    seen = []
+    gains = explain._gains
+    monkeypatch.setattr(explain, "_gains", lambda hits, shares: seen.append(len(hits)) or gains(hits, shares))
+    many = explain._leaf_contributions(data, leaves, 2)
+    assert seen == [8, 2]
+    each = np.concatenate([explain._leaf_contributions(data[i : i + 1], leaves, 2) for i in range(len(data))])
+    assert np.allclose(many, each, atol=1e-15)
+    # contributions sum to what the leaves give the row less what they give on average
+    out = sum(np.prod([explain._passes(data[:, f], t) for f, _, t in p], axis=0)[:, None] * v for v, p in leaves)
+    assert np.allclose(many.sum(axis=1), out - sum(np.prod([z for _, z, _ in p]) * v for v, p in leaves))
