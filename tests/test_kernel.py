@@ -92,3 +92,33 @@ def test_density_clusters_by_name(spark, tmp_path):
     save_model(model, spark, str(tmp_path / "dense"))
     assert {r.id: r.prediction for r in load_model(spark, str(tmp_path / "dense")).predict(df).collect()} == found
     assert models.train("dbscan", df, names, "clustering", {"eps": 1e-9}).predict(df).filter("prediction <> -1").count() == 0
+
+
+def test_no_table_as_wide_as_the_cosines_is_written(spark, monkeypatch):
+    """A machine keeps the rows it was given, not the features made from them."""
+    from loomtab.operators import blocks as B
+    written = []
+    keep = B.materialise
+    monkeypatch.setattr(B, "materialise", lambda df, label: written.append(keep(df, label)) or written[-1])
+    monkeypatch.setattr(K, "materialise", lambda df, label: written.append(keep(df, label)) or written[-1], raising=False)
+    monkeypatch.setattr(models, "materialise", lambda df, label: written.append(keep(df, label)) or written[-1], raising=False)
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 1, (300, 2))
+    y = (x[:, 0] > 0) + (x[:, 1] > 0.3) * 1.0  # three classes
+    df, names = table(spark, x, y)
+    model = models.train("svm", df, names, params={"C": 10.0, "n_components": 64, "max_iter": 15})
+    assert len(written) == 1 and written[0].columns == ["data"]
+    assert sum(len(r.data) for r in written[0].collect()) == 300 * 3 * 8
+    said = model.predict(df).select("id", "label", "prediction", "scores").toPandas()
+    assert (said.label == said.prediction).mean() > 0.85 and np.allclose([sum(s) for s in said.scores], 1.0)
+
+
+def test_sums_over_blocks_are_those_over_rows(spark):
+    from loomtab.operators import blocks as B
+    x = np.arange(2000.0).reshape(1000, 2)
+    df, _ = table(spark, x, np.arange(1000))
+    rows = B.blocks(df)
+    assert np.allclose(B.total(rows, 2, lambda k, x, y: np.array([len(y), k * x.sum(), (x[:, 0] * y).sum()]), 2.0, 3), [1000, 2 * x.sum(), (x[:, 0] * np.arange(1000)).sum()])
+    big = B.total(rows, 2, lambda _, x, y: np.repeat(x.sum(axis=0), B.PIECE), None, 2 * B.PIECE)
+    assert np.allclose(big, np.repeat(x.sum(axis=0), B.PIECE))
+    assert B.total(B.blocks(df.limit(0)), 2, lambda *_: np.ones(1), None, 1) == [0.0]
