@@ -145,6 +145,22 @@ def test_any_model_is_explained_exactly_or_with_its_error(data, monkeypatch):
     assert np.sqrt((off**2).mean()) <= 3 * np.sqrt((drawn["std_error"] ** 2).mean()) + 1e-9
 
 
+def test_coalitions_of_a_softmax_are_scored_without_copies_of_rows(data, monkeypatch):
+    df, _ = data
+    twice = vectors(df, "three").unionByName(vectors(df, "three").filter("id < 20"))
+    model = models.train("logistic_regression", vectors(df, "three"), COLS)
+    means = explain.vector_means(twice)
+    found = explain.sampled_contributions(model, twice, "id", means)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1  # a row per key; and no rows per coalition
+    assert "explode([[" not in plan
+    got = found.toPandas().set_index(["id", "feature"]).sort_index()
+    monkeypatch.setattr(explain, "_softmax_weights", lambda _: None)
+    want = explain.sampled_contributions(model, twice, "id", means).toPandas().set_index(["id", "feature"]).sort_index()
+    assert len(got) == 1500 and (got["std_error"] == 0).all()
+    assert np.allclose(got[["contribution", "base_value"]], want[["contribution", "base_value"]], atol=1e-12)
+
+
 def test_what_if_treats_bad_values_as_zero(spark, data):
     df, _ = data
     rows = vectors(df, "value")
