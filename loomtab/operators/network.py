@@ -1,0 +1,81 @@
+"""Multilayer perceptrons: MLlib's network, starting weights and model, trained by matrix products over blocks of rows.
+
+MLlib's own training multiplies in the JVM, which takes several times as long unless a native library was installed there.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame
+
+from .blocks import blocks, total
+from .kernel import _descend
+
+
+def layer_parts(w: np.ndarray, layers: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(weights [in, out], offsets) of each layer, as views of all weights in MLlib's order."""
+    out, at = [], 0
+    for wide, high in zip(layers, layers[1:]):
+        end = at + wide * high
+        out.append((w[at:end].reshape(wide, high), w[end : end + high]))
+        at = end + high
+    return out
+
+
+def loss_and_slope(w: np.ndarray, layers: Sequence[int], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Summed cross-entropy of the rows, its slope by every weight, and the number of rows: sigmoids inside, a softmax on top."""
+    label = y.astype(np.int64)
+    if (label != y).any() or (label < 0).any() or (label >= layers[-1]).any():
+        raise ValueError(f"labels must be whole numbers from 0 to {layers[-1] - 1}")
+    parts, seen = layer_parts(w, layers), [x]
+    for i, (weights, offsets) in enumerate(parts):
+        z = seen[-1] @ weights
+        z += offsets
+        if i < len(parts) - 1:
+            np.negative(z, out=z)
+            with np.errstate(over="ignore"):
+                np.exp(z, out=z)
+            z += 1.0
+            np.reciprocal(z, out=z)
+        seen.append(z)
+    top = seen.pop()
+    top -= top.max(axis=1, keepdims=True)
+    scores, rows = np.exp(top), np.arange(len(y))
+    whole = scores.sum(axis=1)
+    out = np.empty(len(w) + 2)
+    out[-2:] = np.log(whole).sum() - top[rows, label].sum(), len(y)
+    slope = scores / whole[:, None]
+    slope[rows, label] -= 1.0
+    for i, (weights, offsets) in reversed(list(enumerate(layer_parts(out[:-2], layers)))):
+        np.matmul(seen[i].T, slope, out=weights)
+        offsets[:] = slope.sum(axis=0)
+        if i:
+            slope = slope @ parts[i][0].T
+            slope *= seen[i]
+            slope *= np.subtract(1.0, seen[i], out=seen[i])
+    return out
+
+
+def fit_network(df: DataFrame, layers: Sequence[int], max_iter: int, seed: int, tolerance: float = 1e-6) -> MultilayerPerceptronClassificationModel:
+    """Mean cross-entropy by L-BFGS from the weights that MLlib draws for ``seed``, until its rules of tolerance or ``max_iter`` end it."""
+    layers = [int(n) for n in layers]
+    one_row = df.sparkSession.createDataFrame([(0.0, Vectors.dense([0.0] * layers[0]))], ["label", "features"])
+
+    def untrained(**weights) -> MultilayerPerceptronClassificationModel:
+        return MultilayerPerceptronClassifier(layers=layers, maxIter=0, seed=seed, **weights).fit(one_row)
+
+    start = untrained().weights.toArray()
+    rows = blocks(df)
+
+    def value(w: np.ndarray) -> tuple[float, np.ndarray]:
+        found = total(rows, layers[0], lambda w, x, y: loss_and_slope(w, layers, x, y), w, len(w) + 2)
+        if not found[-1]:
+            raise ValueError("no rows to learn from")
+        return float(found[-2] / found[-1]), found[:-2] / found[-1]
+
+    w = _descend(value, start, max_iter, tolerance, settled=tolerance)
+    return untrained(initialWeights=Vectors.dense(w))

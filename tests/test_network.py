@@ -1,0 +1,55 @@
+"""The multilayer perceptron against MLlib's own and against differences of its loss."""
+import numpy as np
+import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.linalg import Vectors
+
+from loomtab.operators import models
+from loomtab.operators.network import loss_and_slope
+
+LAYERS = [2, 4, 3]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 2))
+    y = np.where(x[:, 0] > 0.5, 2.0, (x[:, 1] > 0).astype(float))
+    data = [(float(b), Vectors.dense(a)) for a, b in zip(x, y)]
+    return spark.createDataFrame(data, ["label", "features"]).repartition(4), x, y
+
+
+def test_slope_is_the_change_of_the_loss():
+    rng = np.random.default_rng(5)
+    x, y, w = rng.normal(size=(9, 2)), rng.integers(0, 3, 9).astype(float), rng.normal(size=27)
+    found = loss_and_slope(w, LAYERS, x, y)
+    step = 1e-6 * np.eye(27)
+    near = [(loss_and_slope(w + s, LAYERS, x, y)[-2] - loss_and_slope(w - s, LAYERS, x, y)[-2]) / 2e-6 for s in step]
+    assert np.allclose(found[:-2], near, atol=1e-6) and found[-1] == 9
+    with pytest.raises(ValueError):
+        loss_and_slope(w, LAYERS, x, y + 1)
+
+
+def test_mlp_is_trained_without_mllibs_passes_and_as_well(rows, monkeypatch):
+    df, x, y = rows
+    params = {"hidden_layer_sizes": (4,), "max_iter": 100}
+    theirs = MultilayerPerceptronClassifier(layers=LAYERS, maxIter=100, seed=models.SEED).fit(df)
+    fitted = []
+    fit = MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(MultilayerPerceptronClassifier, "fit", lambda self, t: (fitted.append((t.count(), self.getMaxIter())), fit(self, t))[1])
+    ours = models.train("mlp", df, ["a", "b"], params=params)
+    assert fitted == [(1, 0), (1, 0)]  # for the starting weights, and to make a model of the trained ones
+    loss = [loss_and_slope(m.weights.toArray(), LAYERS, x, y)[-2] / len(y) for m in (ours.model, theirs)]
+    assert loss[0] <= loss[1] * 1.05 + 1e-3
+    scored = ours.predict(df).select("label", "prediction", "scores").toPandas()
+    assert (scored["label"] == scored["prediction"]).mean() > 0.95
+    assert np.allclose([sum(s) for s in scored["scores"]], 1.0)
+
+
+def test_a_network_as_mllib_reads_its_weights(rows):
+    """MLlib's scores of the model are those the training computed."""
+    df, x, y = rows
+    model = models.train("mlp", df, ["a", "b"], params={"hidden_layer_sizes": (4,), "max_iter": 3})
+    scored = model.predict(df).select("label", "scores").toPandas()
+    loss = -np.log([s[int(b)] for s, b in zip(scored["scores"], scored["label"])]).mean()
+    assert np.isclose(loss, loss_and_slope(model.model.weights.toArray(), LAYERS, x, y)[-2] / len(y), atol=1e-9)
